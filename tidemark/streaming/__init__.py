@@ -1,0 +1,7 @@
+"""Deliberately empty: the feature set has no streaming operators.
+
+Late data is handled by publication dates and append-only versions
+(`tidemark.operators.pit`, `tidemark.sources.versions`). The row-wise functions
+there (`as_of`, `publish_lag`, scalar functions) hold no state and accept a
+streaming DataFrame unchanged.
+"""
