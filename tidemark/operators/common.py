@@ -32,6 +32,19 @@ def same(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> D
     return a.join(b, list(on), how)
 
 
-def totals_broadcastable(df: DataFrame) -> DataFrame:
-    """A global aggregate: exactly one row by construction, so the broadcast size is proven."""
+def single_row(df: DataFrame) -> DataFrame:
+    """A global aggregate: exactly one row by construction, so its broadcast is bounded."""
     return F.broadcast(df)
+
+
+def if_small(side: DataFrame, source: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """Ask for a broadcast of `side` only when the table it is built from is known to be small.
+
+    `source` is the scan that bounds it (a many-to-one lookup keeps its row count). Beyond the
+    limit, or where the size is unknown, no hint is given and the join shuffles.
+    """
+    try:
+        size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:
+        return side
+    return F.broadcast(side) if size <= limit else side

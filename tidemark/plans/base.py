@@ -9,11 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.common import if_small
+
 from .registry import Tables
 
 
+def whole(x) -> F.Column:
+    """Nearest whole number of a non-negative value, without Spark's decimal-based round."""
+    return F.floor(x + F.lit(0.5)).cast("long")
+
+
 def cents(c: str) -> F.Column:
-    return F.round(F.col(c) * 100).cast("long")
+    return whole(F.col(c) * 100)
 
 
 def mean_cents(x) -> F.Column:
@@ -62,13 +69,20 @@ OBS = """obs AS (
 
 def places(t: Tables) -> DataFrame:
     """(point, state, belt, lag): supplier -> nation -> region."""
-    return (
-        t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("s_suppkey").alias("point"), F.col("n_name").alias("state"), F.col("r_name").alias("belt"),
-            (F.lit(2) + F.col("n_nationkey") % 3).alias("lag"),
-        )
+    return t.supplier.join(F.broadcast(states(t)), "s_nationkey").select(
+        F.col("s_suppkey").alias("point"), "state", "belt", "lag"
+    )
+
+
+def small_places(t: Tables) -> DataFrame:
+    return if_small(places(t), t.supplier)
+
+
+def states(t: Tables) -> DataFrame:
+    """The 25 nations with their region: fixed size whatever the scale."""
+    return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("state"), F.col("r_name").alias("belt"),
+        (F.lit(2) + F.col("n_nationkey") % 3).alias("lag"),
     )
 
 
@@ -90,26 +104,43 @@ def obs(t: Tables) -> DataFrame:
             (F.sum(cents("l_discount")).cast("double") / n).alias("rain"),
         )
     )
-    return days.join(places(t), "point").select(
+    return days.join(small_places(t), "point").select(
         "belt", "state", "point", "d", "tmax", "tmin", "rain", F.expr("date_add(d, lag)").alias("pub")
     )
 
 
-BELT = OBS + """, belt_state AS (
-  SELECT belt, state, d, round(avg(tmax), 9) AS tmax, round(avg(tmin), 9) AS tmin, round(avg(rain), 9) AS rain, max(pub) AS pub, count(DISTINCT point) AS points
-  FROM obs GROUP BY belt, state, d),
+BELT = """belt_state AS (
+  SELECT r_name AS belt, n_name AS state, CAST(l_shipdate AS DATE) AS d,
+         CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS tmax,
+         CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS tmin,
+         CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS rain,
+         CAST(l_shipdate AS DATE) + CAST(2 + n_nationkey % 3 AS INTEGER) AS pub
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey
+  GROUP BY r_name, n_name, n_nationkey, CAST(l_shipdate AS DATE)),
 belt AS (
-  SELECT belt AS k, d, round(avg(tmax), 9) AS tmax, min(tmin) AS tmin, round(avg(rain), 9) AS rain, max(pub) AS pub, count(DISTINCT state) AS states
+  SELECT belt AS k, d, round(avg(tmax), 9) AS tmax, round(avg(tmin), 9) AS tmin, round(avg(rain), 9) AS rain,
+         max(pub) AS pub, count(*) AS states
   FROM belt_state GROUP BY belt, d)"""
 
 
+def belt_state(t: Tables) -> DataFrame:
+    """(belt, state, d, tmax, tmin, rain, pub): whole readings added up per state and day."""
+    n = F.count(F.lit(1))
+    rows = t.lineitem.select(
+        F.col("l_suppkey").alias("point"), F.col("l_shipdate").cast("date").alias("d"), "l_quantity", "l_tax", "l_discount"
+    ).join(small_places(t), "point")
+    return rows.groupBy("belt", "state", "lag", "d").agg(
+        (F.sum(F.col("l_quantity").cast("long")).cast("double") / n).alias("tmax"),
+        (F.sum(cents("l_tax")).cast("double") / n).alias("tmin"),
+        (F.sum(cents("l_discount")).cast("double") / n).alias("rain"),
+    ).select("belt", "state", "d", "tmax", "tmin", "rain", F.expr("date_add(d, lag)").alias("pub"))
+
+
 def belt(t: Tables) -> DataFrame:
-    """(k, d, tmax, tmin, rain, pub, states): points -> states -> belt, one row per belt and day."""
-    by_state = obs(t).groupBy("belt", "state", "d").agg(
-        mean("tmax"), mean("tmin"), mean("rain"), F.max("pub").alias("pub")
-    )
-    return by_state.groupBy(F.col("belt").alias("k"), "d").agg(
-        mean("tmax"), F.min("tmin").alias("tmin"), mean("rain"),
+    """(k, d, tmax, tmin, rain, pub, states): states -> belt, one row per belt and day."""
+    return belt_state(t).groupBy(F.col("belt").alias("k"), "d").agg(
+        mean("tmax"), mean("tmin"), mean("rain"),
         F.max("pub").alias("pub"), F.count(F.lit(1)).alias("states"),
     )
 
@@ -125,11 +156,8 @@ grid AS (
 
 
 def homes(t: Tables) -> DataFrame:
-    return (
-        t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("k"))
-    )
+    named = t.customer.withColumnRenamed("c_nationkey", "s_nationkey").join(F.broadcast(states(t)), "s_nationkey")
+    return if_small(named.select(F.col("c_custkey").alias("o_custkey"), F.col("belt").alias("k")), t.customer)
 
 
 def ordk(t: Tables) -> DataFrame:
@@ -178,8 +206,8 @@ def panel(t: Tables) -> DataFrame:
     nxt = F.make_date(F.year(d) + 1, F.col("l_linenumber") + 5, F.lit(14))
     rows = t.lineitem.select(
         F.col("l_returnflag").alias("root"), d.alias("d"),
-        F.round(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("long").alias("cents"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 / F.col("l_quantity")).cast("long").alias("net"),
+        whole(F.col("l_extendedprice") * 100 / F.col("l_quantity")).alias("cents"),
+        whole(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 / F.col("l_quantity")).alias("net"),
         F.col("l_quantity").cast("long").alias("qty"),
         F.when(d <= this, this).otherwise(nxt).alias("expiry"),
     )
