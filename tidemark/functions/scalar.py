@@ -76,8 +76,9 @@ def busdays(a: str | Column, b: str | Column) -> Column:
 
 
 def prev_sunday(d: str | Column) -> Column:
-    """The Sunday strictly before the week of a release (a Sunday maps to itself)."""
-    return F.date_sub(col(d), F.dayofweek(col(d)) - F.lit(1))
+    """The last Sunday strictly before a release; a Sunday release looks back a full week."""
+    dow = F.dayofweek(col(d))
+    return F.date_sub(col(d), F.when(dow == 1, 7).otherwise(dow - 1))
 
 
 def week_fri(d: str | Column) -> Column:

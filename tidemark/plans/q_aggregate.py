@@ -150,13 +150,13 @@ WINDOW = BELT + """, w AS (SELECT *, CAST(CASE WHEN month(d) >= 10 THEN year(d)
     meas AS (SELECT belt, state, crop_year, sum(rain) AS rain_sum, count(*) FILTER (rain < 1.0) AS dry_days, count(*) FILTER (rain > 8.0) AS wet_days,
       count(*) FILTER (tmax > 29.0) AS heat_days, sum(greatest(tmax - 29.0, 0.0)) AS heat_dd, avg(tmax) AS tmax_mean,
       CASE WHEN count(tn) > 0 THEN count(*) FILTER (tn < 2.0) END AS frost_days, min(tn) AS min_tmin, count(*) AS days
-    FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 12 * 18)"""
+    FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 12 * 10)"""
 
 
 def measures(t):
     rows = belt_state(t).withColumn("tn", F.when(F.col("belt") != "EUROPE", F.col("tmin")))
     return AG.window_measures(
-        rows, ["belt", "state"], "d", CAL, tmax="tmax", tmin="tn", rain="rain", heat=29.0, frost=2.0, dry=1.0, wet=8.0, min_days=18
+        rows, ["belt", "state"], "d", CAL, tmax="tmax", tmin="tn", rain="rain", heat=29.0, frost=2.0, dry=1.0, wet=8.0, min_days=10
     )
 
 

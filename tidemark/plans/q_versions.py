@@ -1 +1,105 @@
+"""Fetch-log queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.sources import versions as V
+
+from .base import LOG, log, with_sql
+from .registry import query
+
+
+@query("ver1_content_hash", "SELECT doc_id, sha256(text) AS sha FROM documents")
+def _(t):
+    return t.documents.select("doc_id", V.content_hash("text").alias("sha"))
+
+
+@query(
+    "ver2_rowset_fingerprint",
+    """WITH r AS (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS d,
+        md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))) AS h FROM lineitem),
+      s AS (SELECT l_returnflag, d, count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS b FROM r GROUP BY 1, 2)
+    SELECT l_returnflag, d, rows, sha256(CAST(rows AS VARCHAR) || ':' || a || ':' || b) AS fingerprint FROM s""",
+)
+def _(t):
+    rows = t.lineitem.select(
+        "l_returnflag", F.col("l_shipdate").cast("date").alias("d"), "l_orderkey", "l_linenumber", "l_partkey",
+        F.col("l_quantity").cast("long").alias("q"),
+    )
+    return V.rowset_fingerprint(rows, ["l_returnflag", "d"], ["l_orderkey", "l_linenumber", "l_partkey", "q"])
+
+
+@query("ver3_history", with_sql(LOG) + "SELECT source, key, pos, fetched_at, sha FROM log WHERE source = 'purchase' ORDER BY pos")
+def _(t):
+    return V.history(log(t), source="purchase").select("source", "key", "pos", "fetched_at", "sha").orderBy("pos")
+
+
+@query("ver4_versions", with_sql(LOG) + "SELECT source, key, sha, min(fetched_at) AS first_seen, count(*) AS fetches FROM log GROUP BY 1, 2, 3")
+def _(t):
+    return V.versions(log(t))
+
+
+@query(
+    "ver5_latest",
+    with_sql(LOG) + "SELECT source, key, pos, fetched_at, sha FROM log QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY fetched_at DESC, pos DESC) = 1",
+)
+def _(t):
+    return V.latest(log(t), ["pos", "fetched_at", "sha"])
+
+
+@query("ver6_first_seen", with_sql(LOG) + "SELECT source, key, min(pos) AS first_pos FROM log GROUP BY 1, 2 ORDER BY 3")
+def _(t):
+    return V.first_seen(log(t), ["source", "key"]).orderBy("first_pos")
+
+
+@query(
+    "ver7_archive_status",
+    with_sql(LOG) + """SELECT source, count(DISTINCT key) AS keys, count(DISTINCT (key, sha)) AS versions, count(*) AS fetches,
+      max(fetched_at) AS newest_fetch, max(pub) AS newest_publication FROM log GROUP BY 1""",
+)
+def _(t):
+    return V.archive_status(log(t))
+
+
+@query(
+    "ver8_snapshot",
+    with_sql(LOG) + "SELECT source, count(*) AS fetch_records, max(fetched_at) AS latest_fetch, max(pub) AS latest_publication FROM log GROUP BY 1",
+)
+def _(t):
+    return V.snapshot(log(t))
+
+
+@query("ver8_file_digests")
+def _(t):
+    return V.file_digests(t.spark, f"{t.sf_dir}/*.parquet")
+
+
+@query(
+    "ver9_plan_missing",
+    with_sql(LOG) + """, g AS (SELECT key, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS pub FROM (SELECT DISTINCT key FROM log))
+    SELECT key, pub FROM g WHERE pub = DATE '2024-01-30' OR (key, pub) NOT IN (SELECT (key, pub) FROM log)""",
+)
+def _(t):
+    lg = log(t)
+    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    return V.plan_missing(lg.select("key").distinct(), lg, ["key"], "pub", days, F.lit("2024-01-30").cast("date"))
+
+
+@query(
+    "ver10_dedupe_last",
+    with_sql(LOG) + """SELECT key, pub, arg_max(body, pos) AS body, max(pos) AS pos, count(*) - 1 AS dropped FROM log GROUP BY 1, 2""",
+)
+def _(t):
+    return V.dedupe_last(log(t), ["key", "pub"], ["pos"], ["body", "pos"])
+
+
+@query(
+    "ver11_dedupe_strongest",
+    """SELECT user_id, event_type, value - 50 AS anomaly, event_id FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY abs(value - 50) DESC, event_id DESC) = 1""",
+    d="anomaly",
+)
+def _(t):
+    e = t.events.withColumn("anomaly", F.col("value") - 50)
+    return V.dedupe_strongest(e, ["user_id", "event_type"], "anomaly", ["anomaly", "event_id"], ["event_id"])

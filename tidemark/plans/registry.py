@@ -46,7 +46,7 @@ class Query:
     def oracle(self) -> str | None:
         if self.sql is None:
             return None
-        swaps = [f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in self.doubles]
+        swaps = [f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in self.doubles]
         swaps += [f"CAST({c} AS BIGINT) AS {c}" for c in self.longs]
         if not swaps:
             return self.sql
