@@ -183,12 +183,13 @@ def equity(keys: Sequence[str], order: Sequence[str], net: str) -> Column:
     return F.when(dead == 1, 0.0).when(negatives % 2 == 1, -size).otherwise(size)
 
 
-def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], net: str) -> DataFrame:
-    """Equity, its running peak (never below the starting 1.0) and the drop from it."""
+def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], net: str, start: float | None = None) -> DataFrame:
+    """Equity, its running peak (from `start` when given) and the drop from it."""
     w = by(keys, *order).rowsBetween(W.unboundedPreceding, 0)
+    peak = F.max("equity").over(w)
     return (
         df.withColumn("equity", equity(keys, order, net))
-        .withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(1.0)))
+        .withColumn("peak", peak if start is None else F.greatest(peak, F.lit(start)))
         .withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
     )
 

@@ -291,7 +291,7 @@ def _(t):
     with_sql(DAILY, RET) + """, nn AS (SELECT k, d, r / 500.0 - 0.002 AS net FROM rets),
     e AS (SELECT k, d, exp(sum(ln(1 + coalesce(net, 0.0))) OVER w) AS equity FROM nn
       WINDOW w AS (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING)),
-    p AS (SELECT k, d, equity, greatest(max(equity) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING), 1.0) AS peak FROM e)
+    p AS (SELECT k, d, equity, max(equity) OVER (PARTITION BY k ORDER BY d ROWS UNBOUNDED PRECEDING) AS peak FROM e)
     SELECT k, d, equity, equity / peak - 1 AS drawdown FROM p""",
     d="equity drawdown",
 )
