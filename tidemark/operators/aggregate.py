@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import div
 
+from .common import spread_join
+
 # ------------------------------------------------------------------ belts
 
 
@@ -214,9 +216,9 @@ def weighted_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], c: str, out: str) -> DataFrame:
-    """Value over its group's total: totals are a small grouped table joined back."""
+    """Value over its group's total: one total per group, joined back with hot groups spread."""
     total = df.groupBy(*keys).agg(F.sum(c).alias("_t"))
-    return df.join(total, list(keys)).withColumn(out, div(c, "_t")).drop("_t")
+    return spread_join(df, total, keys).withColumn(out, div(c, "_t")).drop("_t")
 
 
 def balanced_daily(

@@ -48,3 +48,14 @@ def if_small(side: DataFrame, source: DataFrame, limit: int = 64 << 20) -> DataF
     except AttributeError:
         return side
     return F.broadcast(side) if size <= limit else side
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, on: Sequence[str], salts: int = 16) -> DataFrame:
+    """Inner join of raw rows to one row per key, with hot keys spread over `salts` tasks.
+
+    The per-key side is an aggregate, so copying it a fixed number of times is cheap; the raw
+    side gets a salt from its own content, which a retried task reproduces.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")

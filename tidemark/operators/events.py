@@ -36,15 +36,17 @@ def decluster(df: DataFrame, keys: Sequence[str], date: str, mag: str, spacing:
     w = by(keys, date)
     near = F.datediff(F.col(date), F.lag(date).over(w)) < spacing
     cut = df.withColumn("_i", F.sum(F.when(near, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col(mag)).alias("m"), F.col(date).alias("d"))))
+    rest = [c for c in df.columns if c not in (*keys, date)]
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col(mag)).alias("_m"), date, *rest)))
     lists = cut.groupBy(*keys, "_i").agg(ranked.alias("_a"))
 
     def step(acc: Column, x: Column) -> Column:
-        clear = F.forall(acc, lambda k: F.abs(F.datediff(k, x["d"])) >= spacing)
-        return F.when(clear, F.concat(acc, F.array(x["d"]))).otherwise(acc)
+        clear = F.forall(acc, lambda k: F.abs(F.datediff(k, x[date])) >= spacing)
+        return F.when(clear, F.concat(acc, F.array(x[date]))).otherwise(acc)
 
-    kept = lists.select(*keys, F.explode(F.aggregate("_a", F.array().cast("array<date>"), step)).alias(date))
-    return df.join(kept, [*keys, date], "left_semi")
+    folded = lists.select(*keys, "_a", F.aggregate("_a", F.array().cast("array<date>"), step).alias("_k"))
+    rows = folded.select(*keys, "_k", F.inline("_a"))
+    return rows.filter(F.array_contains("_k", F.col(date))).select(*df.columns)
 
 
 def episodes(df: DataFrame, keys: Sequence[str], date: str, gap: int, by_col: str, payload: Sequence[str]) -> DataFrame:

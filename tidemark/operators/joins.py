@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import busdays
 
+from .common import single_row
+
 
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "many_to_one") -> DataFrame:
     """Equi-join that fails the job when a side that must be unique holds a key twice.
 
-    The check is an aggregation on the join key itself, so it shares the join's shuffle; one
-    partial row per key and task is all a repeated key costs before the job stops.
+    The check counts repeated keys in its own aggregation and hands the join a single row. The
+    join itself stays a plain shuffle of both sides, which adaptive execution can split when
+    one key holds a large part of the many side.
     """
     on = list(on)
 
     def unique(df: DataFrame) -> DataFrame:
-        rest = [c for c in df.columns if c not in on]
-        once = df.groupBy(*on).agg(*[F.any_value(c).alias(c) for c in rest], F.count(F.lit(1)).alias("_n"))
-        guard = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"duplicate key over {on}")).cast("boolean"))
-        return once.filter(guard).drop("_n")
+        seen = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        repeated = seen.agg(F.coalesce(F.sum((F.col("_n") > 1).cast("long")), F.lit(0)).alias("_dups"))
+        fail = F.raise_error(F.lit(f"duplicate key over {on}")).cast("boolean")
+        return df.crossJoin(single_row(repeated)).filter(F.when(F.col("_dups") == 0, F.lit(True)).otherwise(fail)).drop("_dups")
 
     if validate not in ("one_to_one", "many_to_one", "one_to_many"):
         raise ValueError(validate)
@@ -75,14 +78,21 @@ def select_contract(
 ) -> DataFrame:
     """Nearest contract quoted at entry and exit with more than `roll` business days left at exit.
 
-    Two equi-joins on (root, date) and one grouped minimum; decisions without such a contract drop out.
+    Each decision asks for its two dates in one equi-join on (root, date); a contract counts
+    where both answers came back. The nearest one is a grouped minimum. Decisions without such
+    a contract drop out.
     """
     keys = list(keys)
-    at_entry = panel.select(root, F.col(date).alias(entry), contract, expiry, F.col(price).alias("entry_price"))
-    at_exit = panel.select(root, F.col(date).alias(exit), contract, F.col(price).alias("exit_price"))
-    j = decisions.join(at_entry, [root, entry]).filter(busdays(exit, expiry) > roll).join(at_exit, [root, exit, contract])
+    asks = decisions.select(*keys, root, entry, exit).dropna(subset=[root, entry, exit])
+    asks = asks.select("*", F.explode(F.array_distinct(F.array(entry, exit))).alias(date))
+    quotes = panel.select(root, date, contract, expiry, F.col(price).alias("_p"))
+    j = asks.join(quotes, [root, date]).filter(busdays(exit, expiry) > roll)
+    both = j.groupBy(*keys, root, entry, exit, contract, expiry).agg(
+        F.max(F.when(F.col(date) == F.col(entry), F.col("_p"))).alias("entry_price"),
+        F.max(F.when(F.col(date) == F.col(exit), F.col("_p"))).alias("exit_price"),
+    ).filter("entry_price IS NOT NULL AND exit_price IS NOT NULL")
     s = F.struct(contract, expiry, "entry_price", "exit_price")
-    return j.groupBy(*keys, root, entry, exit).agg(F.min_by(s, F.struct(expiry, contract)).alias("_s")).select(
+    return both.groupBy(*keys, root, entry, exit).agg(F.min_by(s, F.struct(expiry, contract)).alias("_s")).select(
         *keys, root, entry, exit, "_s.*"
     )
 

@@ -44,16 +44,21 @@ def both_legs(
     panel: DataFrame, decisions: DataFrame, pairs: Mapping[str, tuple[str, str]], entry: str, exit: str, price: str, roll: int
 ) -> DataFrame:
     """Selected contract and prices of the near and far leg per decision; both must exist."""
-    def leg(side: int, tag: str) -> DataFrame:
-        root = F.create_map(*[F.lit(x) for p, legs in pairs.items() for x in (p, legs[side])])[F.col("pair")]
-        d = decisions.select("pair", "date", entry, exit).dropna().withColumn("root", root)
-        c = select_contract(panel, d, ["pair", "date"], "root", "d", "contract", "expiry", price, entry, exit, roll)
-        return c.select(
-            "pair", "date", F.col("contract").alias(f"{tag}_contract"), F.col("expiry").alias(f"{tag}_expiry"),
-            F.col("entry_price").alias(f"{tag}_entry"), F.col("exit_price").alias(f"{tag}_exit"),
-        )
+    legs = F.array(*[
+        F.struct(F.lit(p).alias("_p"), F.lit(tag).alias("leg"), F.lit(r).alias("root"))
+        for p, (near, far) in pairs.items() for tag, r in (("near", near), ("far", far))
+    ])
+    d = decisions.select("pair", "date", entry, exit).dropna().select("*", F.inline(legs)).filter("pair = _p").drop("_p")
+    c = select_contract(panel, d, ["pair", "date", "leg"], "root", "d", "contract", "expiry", price, entry, exit, roll)
 
-    return leg(0, "near").join(leg(1, "far"), ["pair", "date"])
+    def of(tag: str, name: str) -> Column:
+        return F.max(F.when(F.col("leg") == tag, F.col(name)))
+
+    out = c.groupBy("pair", "date").agg(*[
+        of(tag, name).alias(f"{tag}_{short}")
+        for tag in ("near", "far") for name, short in (("contract", "contract"), ("expiry", "expiry"), ("entry_price", "entry"), ("exit_price", "exit"))
+    ])
+    return out.filter("near_contract IS NOT NULL AND far_contract IS NOT NULL")
 
 
 def execution_outcomes(
@@ -78,21 +83,20 @@ def execution_outcomes(
     j = j.withColumn("gross", div(pnl, notional)).withColumn("near_return", div("near_exit", "near_entry") - 1).withColumn(
         "far_return", div("far_exit", "far_entry") - 1
     ).withColumn("cost", div(trade_cost(F.col("near_qty"), F.col("far_qty"), commission, ticks, tick_value), notional))
-    done = j.filter(F.col("gross").isNotNull())
+    # A decision without an outcome cannot block a later one.
+    j = j.withColumn("_live", F.when(F.col("gross").isNotNull(), F.col("signal")).otherwise(0))
     if allow_overlap:
-        run = done.select("pair", "date", F.col("signal").alias("executed"))
+        out = j.withColumn("executed", F.col("_live"))
     else:
-        run = no_overlap(done.select("pair", "date", "entry_date", "exit_date", "signal"), ["pair"], "entry_date", "exit_date", "signal").select(
-            "pair", "date", "executed"
-        )
-    out = j.join(run, ["pair", "date"], "left")
+        out = no_overlap(j, ["pair"], "entry_date", "exit_date", "_live", "executed", order=["date"])
+    out = out.withColumn("executed", F.when(F.col("gross").isNotNull(), F.col("executed")))
     status = (
         F.when(F.col("exit_date").isNull(), "SKIPPED_NO_EXIT").when(F.col("gross").isNull(), "SKIPPED_NO_CONTRACT")
         .when(F.col("signal") == 0, "HOLD").when(F.col("executed") == 0, "SKIPPED_OVERLAP").otherwise("EXECUTED")
     )
     out = out.withColumn("status", status)
     net = F.col("executed") * F.col("gross") - F.abs("executed") * F.col("cost")
-    return out.withColumn("net", net).drop("_na", "_nb", "_q")
+    return out.withColumn("net", net).drop("_na", "_nb", "_q", "_live")
 
 
 def rolled_forward(outcomes: DataFrame, panel: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -164,7 +168,7 @@ def align_predictions(pred: DataFrame, outcomes: DataFrame, keys: Sequence[str],
         F.when(F.col("signal").isin(-1, 0, 1), F.col("signal").cast("int")).otherwise(F.raise_error(F.lit("signals must be -1, 0 or 1")).cast("int")),
     ).drop("signal")
     j = checked_join(signals, outcomes, [*keys, date], validate="one_to_one")
-    run = no_overlap(j, keys, "entry_date", "exit_date", "raw_signal", "signal")
+    run = no_overlap(j, keys, "entry_date", "exit_date", "raw_signal", "signal", order=[date])
     return run.withColumn("net", F.col("signal") * F.col("gross") - F.abs("signal") * F.lit(multiplier) * F.col("cost"))
 
 

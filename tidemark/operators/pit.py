@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import col
 
+from .common import spread_join
+
 
 # ------------------------------------------------------------------ filters
 
@@ -29,7 +31,7 @@ def from_first_coverage(df: DataFrame, keys: Sequence[str], date: str, cols: Seq
     """Drop rows before the first date on which any column of the family is filled."""
     filled = F.coalesce(*[F.col(c).cast("string") for c in cols]).isNotNull()
     start = df.filter(filled).groupBy(*keys).agg(F.min(date).alias("_start"))
-    return df.join(start, list(keys)).filter(F.col(date) >= F.col("_start")).drop("_start")
+    return spread_join(df, start, keys).filter(F.col(date) >= F.col("_start")).drop("_start")
 
 
 def completed_rows(rows: DataFrame, end: str, decisions: DataFrame, decision: str, keys: Sequence[str]) -> DataFrame:
@@ -119,12 +121,13 @@ def asof_join(
     asks = left.filter(F.col(cutoff).isNotNull()).select(*keys, ask.alias("_t")).distinct()
     asks = asks.withColumn("_hit", F.lit(None).cast(hits.schema["_hit"].dataType)).withColumn("_ask", F.lit(True))
     both = hits.unionByName(asks).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
+    # The window and the carried rows below read the same partitioning: one shuffle serves both.
+    both = both.repartition(*keys, "_b")
 
     # At equal instants an inclusive join must meet the right row before the question.
     side = F.col("_ask") if not strict else ~F.col("_ask")
     order = (F.col("_t").asc(), side.asc()) if back else (F.col("_t").desc(), side.asc())
     within = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    edge = F.max_by("_hit", "_t") if back else F.min_by("_hit", "_t")
     only = F.when(~F.col("_ask"), F.col("_t"))
     edge = F.max_by("_hit", only) if back else F.min_by("_hit", only)
     step = F.col("_b").asc() if back else F.col("_b").desc()

@@ -38,11 +38,13 @@ def point_in_polygon(
 ) -> DataFrame:
     """Per (issue, point) the most probable contour around it; none means Normal at zero.
 
-    points: point, lon, lat. polys: keys + rings + probability + category. issues: keys.
+    points: point, lon, lat. polys: keys + rings + probability + category, and x0, x1, y0, y1
+    where the decoder already knows the bounding box. issues: keys. `cell` should be about as
+    wide as a contour, which then covers only a few cells.
     Contours are spread over the grid cells of their bounding box and meet points by an
     equi-join on the cell, so contours and points that are far apart are never paired.
     """
-    box = bounds("rings")
+    box = {n: F.col(n) for n in ("x0", "x1", "y0", "y1")} if "x0" in polys.columns else bounds("rings")
     p = polys.select(*keys, "rings", probability, category, *[c.alias(f"_{n}") for n, c in box.items()])
 
     def cells(lo: str, hi: str) -> Column:

@@ -21,49 +21,62 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
     return df.withColumn("_r", F.row_number().over(by(keys, *order))).filter(F.col("_r") <= n).drop("_r")
 
 
+def _packed(df: DataFrame, first: Sequence[str], keys: Sequence[str]) -> Column:
+    """All non-key columns of a row as one struct that sorts by `first`."""
+    rest = [c for c in df.columns if c not in (*first, *keys, "_i")]
+    return F.struct(*first, *rest)
+
+
 def thin_rows(df: DataFrame, keys: Sequence[str], idx: str, horizon: int) -> DataFrame:
     """Rows spaced at least `horizon` positions apart, first one kept. One row per (key, idx)."""
     keys = list(keys)
     w = by(keys, idx)
     gap = F.col(idx) - F.lag(idx).over(w)
     cut = df.withColumn("_i", F.sum(F.when(gap < horizon, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    lists = cut.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(idx)).alias("_a"))
+    lists = cut.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(_packed(df, [idx], keys))).alias("_a"))
 
     def step(acc: Column, x: Column) -> Column:
-        return F.when((F.size(acc) == 0) | (x - F.coalesce(F.try_element_at(acc, F.lit(-1)), x) >= horizon), F.concat(acc, F.array(x))).otherwise(acc)
+        last = F.try_element_at(acc, F.lit(-1))
+        return F.when(last.isNull() | (x[idx] - last >= horizon), F.concat(acc, F.array(x[idx]))).otherwise(acc)
 
     empty = F.array().cast(f"array<{df.schema[idx].dataType.simpleString()}>")
-    kept = lists.select(*keys, F.explode(F.aggregate("_a", empty, step)).alias(idx))
-    return df.join(kept, [*keys, idx], "left_semi")
+    folded = lists.select(*keys, "_a", F.aggregate("_a", empty, step).alias("_k"))
+    rows = folded.select(*keys, "_k", F.inline("_a"))
+    return rows.filter(F.array_contains("_k", F.col(idx))).select(*df.columns)
 
 
-def no_overlap(df: DataFrame, keys: Sequence[str], entry: str, exit: str, signal: str, out: str = "executed") -> DataFrame:
+def no_overlap(
+    df: DataFrame, keys: Sequence[str], entry: str, exit: str, signal: str, out: str = "executed", order: Sequence[str] = ()
+) -> DataFrame:
     """Signals whose entry is not after the last executed exit become 0; equality is overlap.
 
-    A zero signal and a suppressed one do not extend the block. The key includes candidate
-    and fold, and a decision day appears once per key.
+    Rows are taken in `order` (entry, exit unless given). A zero signal and a suppressed one do
+    not extend the block; a row without an entry is never executed. An island starts where every
+    later entry lies after every earlier exit. Rows travel with their island through the fold,
+    so nothing is joined back.
     """
-    keys = list(keys)
-    w = by(keys, entry, exit)
-    busiest = F.max(F.when(F.col(signal) != 0, F.col(exit))).over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = df.withColumn(
-        "_i", F.sum(F.when(F.col(entry) <= busiest, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    )
-    # Island numbers need the running maximum first, so they are a second window on the same partitioning.
-    lists = cut.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(F.struct(entry, exit, signal))).alias("_a"))
+    keys, first = list(keys), list(order) or [entry, exit]
+    w = by(keys, *first)
+    live = F.col(signal) != 0
+    busiest = F.max(F.when(live, F.col(exit))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    soonest = F.min(F.when(live, F.col(entry))).over(w.rowsBetween(0, W.unboundedFollowing))
+    # Island numbers need the running extremes first, so they are a second window on the same partitioning.
+    cut = df.withColumn("_i", F.when(soonest <= busiest, 0).otherwise(1))
+    cut = cut.withColumn("_i", F.sum("_i").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    lists = cut.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(_packed(df, first, keys))).alias("_a"))
     date = df.schema[exit].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(date).alias("last"), F.array().cast(f"array<{df.schema[entry].dataType.simpleString()}>").alias("kept"))
+    start = F.struct(F.lit(None).cast(date).alias("last"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
-        take = (x[signal] != 0) & (acc["last"].isNull() | (x[entry] > acc["last"]))
+        take = x[entry].isNotNull() & (x[signal] != 0) & (acc["last"].isNull() | (x[entry] > acc["last"]))
         return F.struct(
-            F.when(take, x[exit]).otherwise(acc["last"]).alias("last"),
-            F.when(take, F.concat(acc["kept"], F.array(x[entry]))).otherwise(acc["kept"]).alias("kept"),
+            F.when(take, x[exit]).otherwise(acc["last"]).alias("last"), (acc["pos"] + 1).alias("pos"),
+            F.when(take, F.concat(acc["kept"], F.array(acc["pos"]))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    kept = lists.select(*keys, F.explode(F.aggregate("_a", start, step, lambda acc: acc["kept"])).alias(entry)).withColumn("_take", F.lit(True))
-    j = df.join(kept, [*keys, entry], "left")
-    return j.withColumn(out, F.when(F.col("_take") & (F.col(signal) != 0), F.col(signal)).otherwise(0)).drop("_take")
+    folded = lists.select(*keys, "_a", F.aggregate("_a", start, step, lambda acc: acc["kept"]).alias("_k"))
+    rows = folded.select(*keys, "_k", F.posexplode("_a").alias("_p", "_r")).select(*keys, "_k", "_p", "_r.*")
+    return rows.select(*df.columns, F.when(F.array_contains("_k", F.col("_p")), F.col(signal)).otherwise(0).alias(out))
 
 
 def pick_best(df: DataFrame, keys: Sequence[str], candidate: Sequence[str], sharpe: str, net: str) -> DataFrame:

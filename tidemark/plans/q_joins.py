@@ -57,7 +57,9 @@ def contours(t):
         F.when(F.col("l_linenumber").isin(1, 3, 5, 7), "Above").otherwise("Below").alias("category"),
     )
     rings = F.when(F.col("l_returnflag") == "R", F.array(ring(1.0), ring(0.5))).otherwise(F.array(ring(1.0)))
-    return p.select("issued", rings.alias("rings"), "probability", "category")
+    r = F.col("r")
+    box = {"x0": F.col("cx") - r, "x1": F.col("cx") + r, "y0": F.col("cy") - r, "y1": F.col("cy") + r}
+    return p.select("issued", rings.alias("rings"), "probability", "category", *[c.alias(n) for n, c in box.items()])
 
 
 @query(
@@ -74,7 +76,7 @@ def _(t):
         F.col("n_name").alias("point"), (F.col("n_nationkey") * 4 + 0.5).alias("lon"), ((F.col("n_nationkey") * 17) % 100 + 0.3).alias("lat")
     )
     issues = t.lineitem.select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("issued"))
-    return spatial.point_in_polygon(pts, contours(t), issues, ["issued"], cell=10.0)
+    return spatial.point_in_polygon(pts, contours(t), issues, ["issued"], cell=25.0)
 
 
 @query(

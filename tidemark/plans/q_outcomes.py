@@ -41,7 +41,7 @@ sz{sfx} AS (SELECT pair, date, i AS qa, j AS qb, imb FROM (SELECT pair, date, i,
   SELECT pair, date, i, j, abs(near_entry * 50.0 * i - far_entry * 50.0 * j) / (near_entry * 50.0 * i + far_entry * 50.0 * j) AS imb FROM legs{sfx}, generate_series(1, 8) x(i), generate_series(1, 8) y(j))) WHERE rk = 1),
 o1{sfx} AS (SELECT d.*, l.* EXCLUDE (pair, date), s.qa, s.qb, s.imb, (qa * near_entry * 50.0 + qb * far_entry * 50.0) / 2.0 AS notional FROM dated d LEFT JOIN legs{sfx} l ON l.pair = d.pair AND l.date = d.date LEFT JOIN sz{sfx} s ON s.pair = d.pair AND s.date = d.date),
 o2{sfx} AS (SELECT *, (qa * (near_exit - near_entry) * 50.0 - qb * (far_exit - far_entry) * 50.0) / notional AS gross, 2.0 * (qa + qb) * {fee} / notional AS cost FROM o1{sfx}),
-lst{sfx} AS (SELECT pair, date, entry_date, exit_date, signal, row_number() OVER (PARTITION BY pair ORDER BY entry_date) AS rn FROM o2{sfx} WHERE gross IS NOT NULL),
+lst{sfx} AS (SELECT pair, date, entry_date, exit_date, signal, row_number() OVER (PARTITION BY pair ORDER BY date) AS rn FROM o2{sfx} WHERE gross IS NOT NULL),
 ov{sfx} AS (SELECT pair, date, rn, signal AS executed, CASE WHEN signal <> 0 THEN exit_date END AS last FROM lst{sfx} WHERE rn = 1
   UNION ALL SELECT n.pair, n.date, n.rn, CASE WHEN n.signal <> 0 AND (r.last IS NULL OR n.entry_date > r.last) THEN n.signal ELSE 0 END,
     CASE WHEN n.signal <> 0 AND (r.last IS NULL OR n.entry_date > r.last) THEN n.exit_date ELSE r.last END FROM ov{sfx} r JOIN lst{sfx} n ON n.pair = r.pair AND n.rn = r.rn + 1),
@@ -149,7 +149,7 @@ BELT_OF = {"A": "AFRICA", "N": "AMERICA", "R": "ASIA"}
     ah AS (SELECT root, contract, d, lead(d) OVER w AS entry_date, lead(open_cents) OVER w AS entry_open, lead(d, 6) OVER w AS exit_date, lead(open_cents, 6) OVER w AS exit_open FROM panel WINDOW w AS (PARTITION BY root, contract ORDER BY d)),
     f AS (SELECT e.root, e.d, e.contract, e.mom5, a.entry_date, a.exit_date, a.exit_open / a.entry_open - 1 AS target, 2 * 15.0 / (a.entry_open * 50.0) AS cost_rate FROM e JOIN ah a ON a.root = e.root AND a.contract = e.contract AND a.d = e.d WHERE rk = 1 AND a.exit_date IS NOT NULL),
     w AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY root, CAST(date_trunc('week', d + 2) AS DATE) ORDER BY d DESC) = 1),
-    n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY entry_date, exit_date) AS rn FROM w),
+    n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY d) AS rn FROM w),
     r AS (SELECT root, d, rn, true AS keep, exit_date AS last FROM n WHERE rn = 1 UNION ALL SELECT n.root, n.d, n.rn, n.entry_date > r.last, CASE WHEN n.entry_date > r.last THEN n.exit_date ELSE r.last END FROM r JOIN n ON n.root = r.root AND n.rn = r.rn + 1),
     wx AS (SELECT CASE k WHEN 'AFRICA' THEN 'A' WHEN 'AMERICA' THEN 'N' ELSE 'R' END AS root, pub, max(d) AS weather_date, arg_max(rain, d) AS rain FROM belt WHERE k IN ('AFRICA', 'AMERICA', 'ASIA') GROUP BY 1, 2)
     SELECT w.*, x.weather_date, x.rain FROM (SELECT w.* FROM w JOIN r ON r.root = w.root AND r.d = w.d AND r.keep) w ASOF LEFT JOIN wx x ON x.root = w.root AND w.d >= x.pub""",
@@ -162,7 +162,7 @@ def _(t):
     f = TR.contract_targets(front, p, ["root"], 5, lambda c: TR.cost_rate(c, 2.5, 1.0, 12.5, 5000.0))
     cols = ["contract", "mom5", "entry_date", "exit_date", "target", "cost_rate"]
     weekly = WN.last_of_period(f, ["root"], S.week_fri("d"), "d", cols).drop("period")
-    kept = TK.no_overlap(weekly.withColumn("one", F.lit(1)), ["root"], "entry_date", "exit_date", "one").filter("executed = 1").drop("one", "executed")
+    kept = TK.no_overlap(weekly.withColumn("one", F.lit(1)), ["root"], "entry_date", "exit_date", "one", order=["d"]).filter("executed = 1").drop("one", "executed")
     of = F.create_map(*[F.lit(x) for r, b in BELT_OF.items() for x in (b, r)])
     wx = belt(t).filter(F.col("k").isin(*BELT_OF.values())).select(of[F.col("k")].alias("root"), "pub", F.col("d").alias("weather_date"), "rain")
     out = asof_join(kept, wx, ["root"], "d", "pub", ["weather_date", "rain"], ["weather_date"])
