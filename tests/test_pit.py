@@ -37,20 +37,22 @@ def brute(left, right, strict, forward):
 
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("grid", [False, True])
 @pytest.mark.parametrize("bucket", ["week", "year"])
-def test_asof_equals_row_wise_search(spark, strict, direction, bucket):
+def test_asof_equals_row_wise_search(spark, strict, direction, bucket, grid):
     left, right = random_case(7)
     l = spark.createDataFrame(left, "k string, i int, cut date")
     r = spark.createDataFrame(right, "k string, pub date, seq int, v double")
-    got = pit.asof_join(l, r, ["k"], "cut", "pub", ["v"], ["seq"], strict=strict, direction=direction, bucket=bucket)
+    got = pit.asof_join(l, r, ["k"], "cut", "pub", ["v"], ["seq"], strict=strict, direction=direction, bucket=bucket, grid=grid)
     assert {x.i: x.v for x in got.collect()} == brute(left, right, strict, direction == "forward")
 
 
 def test_asof_keeps_every_left_row_and_null_cutoffs(spark):
     l = spark.createDataFrame([("a", 1, d("2020-01-05")), ("a", 2, None), ("z", 3, d("2020-01-05"))], "k string, i int, cut date")
     r = spark.createDataFrame([("a", d("2020-01-01"), 1.0)], "k string, pub date, v double")
-    got = {x.i: x.v for x in pit.asof_join(l, r, ["k"], "cut", "pub", ["v"]).collect()}
-    assert got == {1: 1.0, 2: None, 3: None}
+    for grid in (False, True):
+        got = {x.i: x.v for x in pit.asof_join(l, r, ["k"], "cut", "pub", ["v"], grid=grid).collect()}
+        assert got == {1: 1.0, 2: None, 3: None}
 
 
 def test_peek_admits_exactly_k_days(spark):

@@ -23,6 +23,16 @@ def div(a: str | Column, b: str | Column) -> Column:
     return col(a).cast("double") / F.when(den != 0.0, den)
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation as an aggregate; NULL for a constant or too few pairs.
+
+    The built-in `corr` divides by zero there, which ANSI mode turns into a failed job.
+    """
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x).cast("double")), F.when(both, col(y).cast("double"))
+    return div(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
+
+
 # ------------------------------------------------------------------ missing values
 
 

@@ -77,7 +77,7 @@ def event_windows(
     """
     keys = list(keys)
     s = indexed(series, keys, date)
-    snapped = snap_forward(events.select(*keys, event_date).distinct(), series, keys, event_date, date)
+    snapped = snap_forward(events.select(*keys, event_date).distinct(), series, keys, event_date, date, grid=True)
     at = snapped.join(s.select(*keys, F.col(date).alias("session_date"), F.col("idx").alias("_at")), [*keys, "session_date"], "left")
     length = s.groupBy(*keys).agg(F.max("idx").alias("_len"))
     fits = (F.col("_at") - pre >= 1) & (F.col("_at") + post <= F.col("_len"))
@@ -193,7 +193,7 @@ def event_outcomes(
         span = o.groupBy(*keys).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
         inside = events.join(span, list(keys)).filter(F.col(pub).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
         right = o.select(*keys, F.col(date).alias("_on"), date, *payload)
-        parts.append(asof_join(inside, right, keys, pub, "_on", [date, *payload], direction="forward").withColumn("horizon", F.lit(h)))
+        parts.append(asof_join(inside, right, keys, pub, "_on", [date, *payload], direction="forward", grid=True).withColumn("horizon", F.lit(h)))
     return reduce(DataFrame.unionByName, parts)
 
 

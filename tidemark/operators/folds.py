@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import div, position
+from tidemark.functions.scalar import corr, div, position
 
 from .common import by
 from .stats import moment_exprs, slopes
@@ -235,7 +235,7 @@ def loyo(df: DataFrame, keys: Sequence[str], year: str, y: str, sets: Mapping[st
     p = refit(f, [*keys, "fold"], year, y, sets, alpha, 8).filter("feature_set <> 'trend_only'")
     g = p.groupBy(*keys, "feature_set").agg(
         F.count(F.lit(1)).alias("years"), F.sum((F.col("actual_anomaly") - F.col("predicted_anomaly")) ** 2).alias("_e"),
-        (F.var_pop("actual_anomaly") * F.count(F.lit(1))).alias("_t"), F.corr("predicted_anomaly", "actual_anomaly").alias("r"),
+        (F.var_pop("actual_anomaly") * F.count(F.lit(1))).alias("_t"), corr("predicted_anomaly", "actual_anomaly").alias("r"),
     )
     return g.filter(F.col("years") >= min_years).select(*keys, "feature_set", "years", (1 - div("_e", "_t")).alias("r2"), "r")
 

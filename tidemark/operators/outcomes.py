@@ -71,7 +71,7 @@ def execution_outcomes(
     back with a status; returns are on the average leg notional.
     """
     sessions = pair_sessions(panel, pairs, "root", "d")
-    dated = entry_exit(decisions, sessions, ["pair"], "date", "d", hold)
+    dated = entry_exit(decisions, sessions, ["pair"], "date", "d", hold, grid=True)
     legs = both_legs(panel, dated, pairs, "entry_date", "exit_date", "open_cents", roll)
     j = dated.join(legs, ["pair", "date"], "left")
     unit = size / 100.0
@@ -133,10 +133,10 @@ def decision_frame(
 
     keys = list(keys)
     j = features.join(outcomes, [*keys, date])
-    last = j.groupBy(*keys, "entry_date").agg(F.max(date).alias(date))
-    j = j.join(last, [*keys, "entry_date", date], "left_semi")
+    rest = [c for c in j.columns if c not in (*keys, "entry_date")]
+    j = j.groupBy(*keys, "entry_date").agg(F.max_by(F.struct(*rest), F.col(date)).alias("_s")).select(*keys, "entry_date", "_s.*")
     m = market.select(*keys, F.col(market_date).alias("_q"), F.col(market_date).alias("market_data_through"), *payload)
-    out = asof_join(j, m, keys, date, "_q", ["market_data_through", *payload], strict=strict)
+    out = asof_join(j, m, keys, date, "_q", ["market_data_through", *payload], strict=strict, grid=True)
     late = F.col("market_data_through") >= F.col(date) if strict else F.col("market_data_through") > F.col(date)
     bad = F.coalesce(late, F.lit(False)) | (F.col("entry_date") <= F.col(date)) | (F.col("exit_date") <= F.col("entry_date"))
     guard = F.when(bad, F.raise_error(F.lit("decision frame breaks its timing rules")).cast("boolean")).otherwise(F.lit(True))

@@ -96,12 +96,17 @@ def asof_join(
     direction: str = "backward",
     peek_days: int = 0,
     bucket: str = "quarter",
+    grid: bool = False,
 ) -> DataFrame:
     """Last (or, forward, first) right row at or before (after) each left cutoff, per key.
 
     Right rows without a publication date are dropped. Equal publication instants are
     settled by `tiebreak` (last wins backward, first wins forward). `strict` refuses an
     equal instant; `peek_days` shifts the cutoff forward as a control experiment.
+
+    `grid` says that the left side has few rows per (key, cutoff), like a calendar: its rows
+    then travel through the windows themselves. Otherwise only distinct cutoffs do, and the raw
+    rows join the answers, so any number of rows may share a key and a cutoff.
     """
     if peek_days < 0:
         raise ValueError("peek_days must be >= 0")
@@ -116,9 +121,14 @@ def asof_join(
         right.filter(F.col(pub).isNotNull())
         .groupBy(*keys, F.col(pub).alias("_t"))
         .agg(pick(F.struct(*payload), tie).alias("_hit"))
+        .withColumn("_ask", F.lit(False))
     )
-    hits = hits.withColumn("_ask", F.lit(False))
-    asks = left.filter(F.col(cutoff).isNotNull()).select(*keys, ask.alias("_t")).distinct()
+    rest = [c for c in left.columns if c not in keys]
+    if grid:
+        asks = left.select(*keys, ask.alias("_t"), F.struct(*rest).alias("_row"))
+        hits = hits.withColumn("_row", F.lit(None).cast(asks.schema["_row"].dataType))
+    else:
+        asks = left.filter(F.col(cutoff).isNotNull()).select(*keys, ask.alias("_t")).distinct()
     asks = asks.withColumn("_hit", F.lit(None).cast(hits.schema["_hit"].dataType)).withColumn("_ask", F.lit(True))
     both = hits.unionByName(asks).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
     # The window and the carried rows below read the same partitioning: one shuffle serves both.
@@ -133,27 +143,28 @@ def asof_join(
     step = F.col("_b").asc() if back else F.col("_b").desc()
     across = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        both.groupBy(*keys, "_b").agg(edge.alias("_edge"))
+        both.filter("_b IS NOT NULL").groupBy(*keys, "_b").agg(edge.alias("_edge"))
         .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
         .drop("_edge")
     )
-    found = (
-        both.withColumn("_in", F.last("_hit", ignorenulls=True).over(within))
-        .filter("_ask")
-        .join(carried, [*keys, "_b"])
-        .select(*keys, F.col("_t").alias("_at"), F.coalesce("_in", "_carry").alias("_got"))
-    )
-    out = left.withColumn("_at", ask).join(found, [*keys, "_at"], "left")
+    # Left rows without a cutoff have no bucket; the outer join lets them through unanswered.
+    found = both.withColumn("_in", F.last("_hit", ignorenulls=True).over(within)).filter("_ask").join(carried, [*keys, "_b"], "left")
+    got = F.when(F.col("_t").isNotNull(), F.coalesce("_in", "_carry")).alias("_got")
+    if grid:
+        out = found.select(*keys, F.col("_row.*"), got)
+    else:
+        answers = found.select(*keys, F.col("_t").alias("_at"), got)
+        out = left.withColumn("_at", ask).join(answers, [*keys, "_at"], "left")
     return out.select(*left.columns, *[F.col(f"_got.{c}").alias(c) for c in payload])
 
 
 # ------------------------------------------------------------------ sessions
 
 
-def snap_forward(dates: DataFrame, sessions: DataFrame, keys: Sequence[str], date: str, session: str) -> DataFrame:
+def snap_forward(dates: DataFrame, sessions: DataFrame, keys: Sequence[str], date: str, session: str, grid: bool = False) -> DataFrame:
     """First session on or after each date; NULL past the end of the calendar."""
     cal = sessions.select(*keys, F.col(session).alias("_pub"), F.col(session).alias("session_date")).distinct()
-    return asof_join(dates, cal, keys, date, "_pub", ["session_date"], direction="forward", bucket="year")
+    return asof_join(dates, cal, keys, date, "_pub", ["session_date"], direction="forward", bucket="year", grid=grid)
 
 
 def session_index(sessions: DataFrame, keys: Sequence[str], session: str) -> DataFrame:
@@ -162,7 +173,9 @@ def session_index(sessions: DataFrame, keys: Sequence[str], session: str) -> Dat
     return cal.withColumn("idx", F.row_number().over(W.partitionBy(*keys).orderBy(session)))
 
 
-def entry_exit(decisions: DataFrame, sessions: DataFrame, keys: Sequence[str], date: str, session: str, hold: int) -> DataFrame:
+def entry_exit(
+    decisions: DataFrame, sessions: DataFrame, keys: Sequence[str], date: str, session: str, hold: int, grid: bool = False
+) -> DataFrame:
     """Next session strictly after a decision and the `hold`-th session after that."""
     keys = list(keys)
     cal = session_index(sessions, keys, session)
@@ -172,7 +185,7 @@ def entry_exit(decisions: DataFrame, sessions: DataFrame, keys: Sequence[str], d
         F.lead(session, hold).over(nxt).alias("exit_date"),
     )
     return asof_join(
-        decisions, plan, keys, date, "_pub", ["entry_date", "exit_date"], strict=True, direction="forward", bucket="year"
+        decisions, plan, keys, date, "_pub", ["entry_date", "exit_date"], strict=True, direction="forward", bucket="year", grid=grid,
     )
 
 

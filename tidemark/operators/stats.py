@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import col, div, normal_two_sided_p, null_if
+from tidemark.functions.scalar import corr, div, normal_two_sided_p
 
 from .common import by, single_row
 from .pit import asof_join
@@ -30,7 +30,7 @@ def correlate(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 8
     """Pearson r, n, normal-approximation p and stars; NULL below min_n or for a constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     out = df.groupBy(*keys).agg(
-        null_if(F.corr(F.when(both, F.col(x)), F.when(both, F.col(y)))).alias("_r"), F.sum(both.cast("long")).alias("n")
+        corr(x, y).alias("_r"), F.sum(both.cast("long")).alias("n")
     )
     r = F.when(F.col("n") >= min_n, F.col("_r"))
     t = r * F.sqrt((F.col("n") - 2) / F.greatest(F.lit(1e-12), F.lit(1.0) - r * r))
@@ -241,9 +241,9 @@ def horse_race(df: DataFrame, keys: Sequence[str], actual: str, forecast: str, p
 def price_signal(series: DataFrame, keys: Sequence[str], date: str, price: str, issues: DataFrame, baseline: str, issue: str) -> DataFrame:
     """Log change from the last price on or before a baseline date to the last before an issue date."""
     quotes = series.filter(F.col(price) > 0).select(*keys, F.col(date).alias("_q"), F.col(date).alias("baseline_date"), F.col(price).alias("_p0"))
-    a = asof_join(issues, quotes, keys, baseline, "_q", ["baseline_date", "_p0"])
+    a = asof_join(issues, quotes, keys, baseline, "_q", ["baseline_date", "_p0"], grid=True)
     later = series.select(*keys, F.col(date).alias("_q"), F.col(date).alias("signal_date"), F.col(price).alias("_p1"))
-    b = asof_join(a, later, keys, issue, "_q", ["signal_date", "_p1"], strict=True)
+    b = asof_join(a, later, keys, issue, "_q", ["signal_date", "_p1"], strict=True, grid=True)
     ok = F.col("_p0").isNotNull() & (F.col("_p1") > 0) & (F.col("signal_date") >= F.col(baseline))
     return b.filter(ok).withColumn("price_change", F.log(F.col("_p1") / F.col("_p0"))).drop("_p0", "_p1")
 
@@ -294,7 +294,7 @@ def pair_comovement(df: DataFrame, on: Sequence[str], member: str, a: str, b: st
         F.max(F.when(F.col(member) == a, F.col(value))).alias("_a"), F.max(F.when(F.col(member) == b, F.col(value))).alias("_b")
     ).dropna(subset=["_a", "_b"])
     return wide.agg(
-        null_if(F.corr("_a", "_b")).alias("r"), F.count(F.lit(1)).alias("n"),
+        corr("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"),
         F.sum((F.col("_a") * F.col("_b") < 0).cast("long")).alias("opposite"),
     )
 
@@ -306,7 +306,7 @@ def compare_returns(a: DataFrame, b: DataFrame, keys: Sequence[str], date: str,
     j = j.withColumn("_x", div(x, F.lag(x).over(w)) - 1).withColumn("_y", div(y, F.lag(y).over(w)) - 1).dropna(subset=["_x", "_y"])
     gap = F.abs(F.col("_x") - F.col("_y"))
     return j.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("observations"), F.corr("_x", "_y").alias("correlation"),
+        F.count(F.lit(1)).alias("observations"), corr("_x", "_y").alias("correlation"),
         F.percentile(gap, F.lit(0.5)).alias("median_gap"), F.max(gap).alias("max_gap"),
     )
 
@@ -316,5 +316,5 @@ def agreement(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     rows = df.dropna(subset=[x, y])
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.signum(x) == F.signum(y)).cast("double")).alias("same_sign"),
-        null_if(F.corr(x, y)).alias("r"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mean_gap"),
+        corr(x, y).alias("r"), F.avg(F.abs(F.col(x) - F.col(y))).alias("mean_gap"),
     )

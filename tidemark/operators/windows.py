@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import col, div
+from tidemark.functions.scalar import corr, div
 
 from .common import by, days_back, guarded, rows_back, single_row
 
@@ -293,7 +293,7 @@ def quantile_bucket(
 def autocorr(df: DataFrame, keys: Sequence[str], order: str, c: str, k: int) -> DataFrame:
     lagged = df.withColumn("_l", F.lag(c, k).over(by(keys, order)))
     return lagged.groupBy(*keys).agg(
-        F.corr(c, "_l").alias("autocorr"), F.count(F.when(F.col("_l").isNotNull(), F.col(c))).alias("pairs")
+        corr(c, "_l").alias("autocorr"), F.count(F.when(F.col("_l").isNotNull(), F.col(c))).alias("pairs")
     )
 
 
@@ -312,7 +312,7 @@ def lead_lag_frame(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str,
     a = a.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).withColumn("_j", F.col("_i") + F.col("k"))
     b = df.select(*keys, F.col(idx).alias("_j"), F.col(y).alias("_y"))
     return a.join(b, [*keys, "_j"]).groupBy(*keys, "k").agg(
-        F.corr("_x", "_y").alias("r"), F.count(F.when(F.col("_y").isNotNull(), F.col("_x"))).alias("n")
+        corr("_x", "_y").alias("r"), F.count(F.when(F.col("_y").isNotNull(), F.col("_x"))).alias("n")
     )
 
 

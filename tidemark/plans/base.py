@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.common import if_small
 
-from .registry import Tables
+from .registry import Tables, shared
 
 
 def whole(x) -> F.Column:
@@ -46,6 +46,7 @@ DAILY = """daily AS (
   FROM orders GROUP BY 1, 2)"""
 
 
+@shared
 def daily(t: Tables) -> DataFrame:
     """(k, d, px, n): mean order price per priority and day; at most one row per calendar day."""
     return (
@@ -67,6 +68,7 @@ OBS = """obs AS (
   GROUP BY r_name, n_name, n_nationkey, l_suppkey, CAST(l_shipdate AS DATE))"""
 
 
+@shared
 def places(t: Tables) -> DataFrame:
     """(point, state, belt, lag): supplier -> nation -> region."""
     return t.supplier.join(F.broadcast(states(t)), "s_nationkey").select(
@@ -74,10 +76,12 @@ def places(t: Tables) -> DataFrame:
     )
 
 
+@shared
 def small_places(t: Tables) -> DataFrame:
     return if_small(places(t), t.supplier)
 
 
+@shared
 def states(t: Tables) -> DataFrame:
     """The 25 nations with their region: fixed size whatever the scale."""
     return t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -86,6 +90,7 @@ def states(t: Tables) -> DataFrame:
     )
 
 
+@shared
 def obs(t: Tables) -> DataFrame:
     """(belt, state, point, d, tmax, tmin, rain, pub): one row per point and day.
 
@@ -124,6 +129,7 @@ belt AS (
   FROM belt_state GROUP BY belt, d)"""
 
 
+@shared
 def belt_state(t: Tables) -> DataFrame:
     """(belt, state, d, tmax, tmin, rain, pub): whole readings added up per state and day."""
     n = F.count(F.lit(1))
@@ -137,6 +143,7 @@ def belt_state(t: Tables) -> DataFrame:
     ).select("belt", "state", "d", "tmax", "tmin", "rain", F.expr("date_add(d, lag)").alias("pub"))
 
 
+@shared
 def belt(t: Tables) -> DataFrame:
     """(k, d, tmax, tmin, rain, pub, states): states -> belt, one row per belt and day."""
     return belt_state(t).groupBy(F.col("belt").alias("k"), "d").agg(
@@ -155,11 +162,13 @@ grid AS (
   SELECT k, d, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS DOUBLE) / (100.0 * count(*)) AS px FROM ordk GROUP BY 1, 2)"""
 
 
+@shared
 def homes(t: Tables) -> DataFrame:
     named = t.customer.withColumnRenamed("c_nationkey", "s_nationkey").join(F.broadcast(states(t)), "s_nationkey")
     return if_small(named.select(F.col("c_custkey").alias("o_custkey"), F.col("belt").alias("k")), t.customer)
 
 
+@shared
 def ordk(t: Tables) -> DataFrame:
     """(o_orderkey, k, d, price, priority): every order with the belt of its customer."""
     return t.orders.join(homes(t), "o_custkey").select(
@@ -168,6 +177,7 @@ def ordk(t: Tables) -> DataFrame:
     )
 
 
+@shared
 def grid(t: Tables) -> DataFrame:
     """(k, d, px): decision days, one row per belt and day."""
     return ordk(t).groupBy("k", "d").agg(mean_cents(cents("price")).alias("px"))
@@ -195,6 +205,7 @@ PANEL = """panel AS (
   GROUP BY root, contract, expiry, d)"""
 
 
+@shared
 def panel(t: Tables) -> DataFrame:
     """(root, contract, expiry, d, open/high/low/settle cents, volume, oi).
 
@@ -233,6 +244,7 @@ LOG = """log AS (
   FROM events)"""
 
 
+@shared
 def log(t: Tables) -> DataFrame:
     """(source, key, pos, fetched_at, body, sha, n_bytes, pub): the append-only fetch log."""
     return t.events.select(
@@ -256,6 +268,7 @@ annual AS (
   SELECT k, year, heat, rain, peak, days, yield FROM weather_year JOIN yield_year USING (k, year))"""
 
 
+@shared
 def annual(t: Tables) -> DataFrame:
     """(k, year, heat, rain, peak, days, yield): one row per belt and harvest year."""
     hot = F.greatest(F.col("tmax") - 29.0, F.lit(0.0))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import BELT, ORDK, belt, cents, ordk
-from .registry import Tables
+from .registry import Tables, shared
 
 H = "CAST((year(d) - 1995) * 4 + quarter(d) AS BIGINT)"
 
@@ -24,6 +24,7 @@ def harvest(c: str = "d") -> F.Column:
     return ((F.year(c) - 1995) * 4 + F.quarter(c)).cast("long")
 
 
+@shared
 def harvests(t: Tables) -> DataFrame:
     """(k, h, heat, rain, peak, yield): one row per belt and harvest."""
     hot = F.greatest(F.col("tmax") - 29.0, F.lit(0.0))

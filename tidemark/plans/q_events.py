@@ -10,7 +10,7 @@ from tidemark.operators import events as EV
 from tidemark.operators import windows as WN
 
 from .base import BELT, DAILY, ORDK, belt, grid, mean, with_sql
-from .registry import query
+from .registry import query, shared
 
 FRI = "CAST(date_trunc('week', d + 2) AS DATE) + 4"
 WEEK = BELT + f""", wk AS (SELECT k, {FRI} AS map_date, round(avg(tmax), 9) AS lvl FROM belt GROUP BY 1, 2),
@@ -25,15 +25,18 @@ picked AS (SELECT k, unnest(arg_max(kept, rn)) AS pub FROM greedy GROUP BY k),
 ev AS (SELECT c.* EXCLUDE (rn) FROM ranked c JOIN picked p ON c.k = p.k AND c.pub = p.pub)"""
 
 
+@shared
 def maps(t):
     wk = belt(t).groupBy("k", S.week_fri("d").alias("map_date")).agg(F.round(F.avg("tmax"), 9).alias("lvl"))
     return wk.select("k", "map_date", F.date_add("map_date", 2).alias("pub"), "lvl", WN.diff(["k"], "map_date", "lvl").alias("jump"))
 
 
+@shared
 def candidates(t):
     return EV.event_candidates(maps(t), ["k"], "jump", 0.83)
 
 
+@shared
 def picked(t):
     return EV.decluster(candidates(t), ["k"], "pub", "jump", 42)
 
@@ -90,14 +93,17 @@ win AS (SELECT a.k, a.pub, o.o AS "offset", s.r AS value FROM anchor a CROSS JOI
 sums AS (SELECT k, pub, sum(value) FILTER ("offset" BETWEEN -10 AND -1) AS before, sum(value) FILTER ("offset" BETWEEN 1 AND 10) AS after FROM win GROUP BY 1, 2)"""
 
 
+@shared
 def series(t):
     return grid(t).select("k", "d", WN.pct_change(["k"], "d", "px").alias("r"))
 
 
+@shared
 def windows(t):
     return EV.event_windows(picked(t), series(t), ["k"], "pub", "d", "r", 10, 10)
 
 
+@shared
 def sums(t):
     w = windows(t)
     return EV.window_sum(w, ["k"], "pub", -10, -1, "before").join(EV.window_sum(w, ["k"], "pub", 1, 10, "after"), ["k", "pub"])

@@ -12,7 +12,7 @@ from tidemark.operators.pit import asof_join
 
 from .base import BELT, PANEL, belt, panel
 from .q_windows import ELIG, busday_sql
-from .registry import query
+from .registry import query, shared
 
 PAIRS = {"AN": ("A", "N"), "AR": ("A", "R"), "NR": ("N", "R")}
 
@@ -54,6 +54,7 @@ def rec(*parts: str) -> str:
     return "WITH RECURSIVE " + ", ".join(parts) + " "
 
 
+@shared
 def sessions(t):
     rpx = panel(t).groupBy("root", "d").agg((F.sum(F.col("settle_cents") * F.col("oi")) / F.sum("oi")).alias("px"))
     cells = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(a).alias("_n"), F.lit(b).alias("_f")) for p, (a, b) in PAIRS.items()])
@@ -65,6 +66,7 @@ def sessions(t):
     return g.filter("a IS NOT NULL AND b IS NOT NULL").select("pair", "d", (F.col("a") / F.col("b")).alias("ratio"))
 
 
+@shared
 def decisions(t):
     w = WN.last_of_period(sessions(t), ["pair"], S.week_fri("d"), "d", ["ratio"])
     sig = F.when(F.col("ratio") > 1.02, -1).when(F.col("ratio") < 0.98, 1).otherwise(0)
@@ -90,6 +92,7 @@ def _(t):
 SETTLE = """, sd AS (SELECT dec.pair, dec.date, dec.signal, dec.date AS entry_date, c.x AS exit_date FROM dec JOIN cal c ON c.pair = dec.pair AND c.d = dec.date)"""
 
 
+@shared
 def settle(t):
     from pyspark.sql import Window as W
 
@@ -165,7 +168,7 @@ def _(t):
     kept = TK.no_overlap(weekly.withColumn("one", F.lit(1)), ["root"], "entry_date", "exit_date", "one", order=["d"]).filter("executed = 1").drop("one", "executed")
     of = F.create_map(*[F.lit(x) for r, b in BELT_OF.items() for x in (b, r)])
     wx = belt(t).filter(F.col("k").isin(*BELT_OF.values())).select(of[F.col("k")].alias("root"), "pub", F.col("d").alias("weather_date"), "rain")
-    out = asof_join(kept, wx, ["root"], "d", "pub", ["weather_date", "rain"], ["weather_date"])
+    out = asof_join(kept, wx, ["root"], "d", "pub", ["weather_date", "rain"], ["weather_date"], grid=True)
     return out.select("root", "d", *cols, "weather_date", "rain")
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.operators import pit
 
 from .base import BELT, DAILY, OBS, ORDK, belt, daily, grid, obs, ordk, with_sql
-from .registry import query
+from .registry import query, shared
 
 # Publication is missing where the belt reported no rain at all: the forced NULL of these tests.
 TIMELINE = BELT + """, timeline AS (
   SELECT k, d AS map_date, tmax, rain, CASE WHEN rain > 0 THEN pub END AS pub FROM belt)"""
 
 
+@shared
 def timeline(t):
     return belt(t).select(
         "k", F.col("d").alias("map_date"), "tmax", "rain", F.when(F.col("rain") > 0, F.col("pub")).alias("pub")
@@ -148,7 +149,7 @@ def _(t):
     # Five priorities by calendar days: both sides are bounded by the calendar, not by the data.
     prios = t.orders.groupBy().agg(F.collect_set("o_orderpriority").alias("_k"))
     events = dates.crossJoin(F.broadcast(prios)).select(F.explode("_k").alias("k"), "event_date")
-    return pit.snap_forward(events, cal, ["k"], "event_date", "d").select("k", "event_date", "session_date")
+    return pit.snap_forward(events, cal, ["k"], "event_date", "d", grid=True).select("k", "event_date", "session_date")
 
 
 @query(
@@ -158,7 +159,7 @@ def _(t):
 )
 def _(t):
     cal = daily(t).select("k", "d")
-    return pit.entry_exit(cal, cal, ["k"], "d", "d", 5)
+    return pit.entry_exit(cal, cal, ["k"], "d", "d", 5, grid=True)
 
 
 @query(
@@ -178,6 +179,7 @@ ISSUES = """issues AS (
   FROM lineitem, (VALUES (7), (8), (9)) v(m))"""
 
 
+@shared
 def issues(t):
     return (
         t.lineitem.select(F.year("l_shipdate").alias("year")).distinct()
@@ -291,7 +293,7 @@ def _(t):
     prios = t.orders.groupBy().agg(F.collect_set("o_orderpriority").alias("_k"))
     runs = t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("run_date")).agg(F.count(F.lit(1)).alias("rows"))
     runs = runs.crossJoin(F.broadcast(prios)).select(F.explode("_k").alias("k"), "run_date", "rows")
-    e = pit.entry_exit(runs, cal, ["k"], "run_date", "d", 0).filter(F.col("entry_date").isNotNull())
+    e = pit.entry_exit(runs, cal, ["k"], "run_date", "d", 0, grid=True).filter(F.col("entry_date").isNotNull())
     return pit.last_before_entry(e, ["k"], "entry_date", "run_date", ["rows"])
 
 
@@ -320,6 +322,6 @@ def minimum_slice(t):
         pit.monotone_pub(["k"], "map_date", "pub").alias("pub"),
     )
     g = grid(t)
-    out = pit.asof_join(g, lvl, ["k"], "d", "pub", ["level", "delta1", "map_date"], ["map_date"])
+    out = pit.asof_join(g, lvl, ["k"], "d", "pub", ["level", "delta1", "map_date"], ["map_date"], grid=True)
     fwd = F.lead("px", 5).over(W.partitionBy("k").orderBy("d")) / F.col("px") - 1
     return out.withColumn("fwd5", fwd)

@@ -427,7 +427,7 @@ def _(t):
 )
 def _(t):
     g = grid(t).select("k", F.col("d").alias("_d"), F.col("d").alias("priced_on"), "px")
-    return pit.asof_join(belt(t).select("k", "pub").distinct(), g, ["k"], "pub", "_d", ["priced_on", "px"])
+    return pit.asof_join(belt(t).select("k", "pub").distinct(), g, ["k"], "pub", "_d", ["priced_on", "px"], grid=True)
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,10 +17,26 @@ class Tables:
     """Lazy parquet readers by table name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._seen = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.once(name, lambda: self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The same logical frame each time it is asked for within one query (nothing is cached)."""
+        if name not in self._seen:
+            self._seen[name] = make()
+        return self._seen[name]
+
+
+def shared(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """A derived frame many plans start from: analysed once per query, so subplans can be reused."""
+
+    @functools.wraps(fn)
+    def wrapped(t: Tables) -> DataFrame:
+        return t.once(f"{fn.__module__}.{fn.__name__}", lambda: fn(t))
+
+    return wrapped
 
 
 @dataclass(frozen=True)
