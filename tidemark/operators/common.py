@@ -44,7 +44,7 @@ def if_small(side: DataFrame, source: DataFrame, limit: int = 64 << 20) -> DataF
     limit, or where the size is unknown, no hint is given and the join shuffles.
     """
     try:
-        size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return side
     return F.broadcast(side) if size <= limit else side

@@ -104,9 +104,10 @@ def asof_join(
     settled by `tiebreak` (last wins backward, first wins forward). `strict` refuses an
     equal instant; `peek_days` shifts the cutoff forward as a control experiment.
 
-    `grid` says that the left side has few rows per (key, cutoff), like a calendar: its rows
-    then travel through the windows themselves. Otherwise only distinct cutoffs do, and the raw
-    rows join the answers, so any number of rows may share a key and a cutoff.
+    `grid` says that both sides are calendars: at most a few rows per (key, day). One window per
+    key then answers everything in a single shuffle, and its size is bounded by the calendar.
+    Otherwise distinct cutoffs are answered per (key, time bucket), with one carried row per
+    bucket, and the raw rows join the answers, so any number of rows may share a key.
     """
     if peek_days < 0:
         raise ValueError("peek_days must be >= 0")
@@ -130,30 +131,30 @@ def asof_join(
     else:
         asks = left.filter(F.col(cutoff).isNotNull()).select(*keys, ask.alias("_t")).distinct()
     asks = asks.withColumn("_hit", F.lit(None).cast(hits.schema["_hit"].dataType)).withColumn("_ask", F.lit(True))
-    both = hits.unionByName(asks).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
-    # The window and the carried rows below read the same partitioning: one shuffle serves both.
-    both = both.repartition(*keys, "_b")
-
+    both = hits.unionByName(asks)
     # At equal instants an inclusive join must meet the right row before the question.
     side = F.col("_ask") if not strict else ~F.col("_ask")
     order = (F.col("_t").asc(), side.asc()) if back else (F.col("_t").desc(), side.asc())
-    within = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    only = F.when(~F.col("_ask"), F.col("_t"))
-    edge = F.max_by("_hit", only) if back else F.min_by("_hit", only)
-    step = F.col("_b").asc() if back else F.col("_b").desc()
-    across = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        both.filter("_b IS NOT NULL").groupBy(*keys, "_b").agg(edge.alias("_edge"))
-        .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across))
-        .drop("_edge")
-    )
-    # Left rows without a cutoff have no bucket; the outer join lets them through unanswered.
-    found = both.withColumn("_in", F.last("_hit", ignorenulls=True).over(within)).filter("_ask").join(carried, [*keys, "_b"], "left")
-    got = F.when(F.col("_t").isNotNull(), F.coalesce("_in", "_carry")).alias("_got")
+
+    def latest(*part: str) -> Column:
+        return F.last("_hit", ignorenulls=True).over(W.partitionBy(*keys, *part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+
     if grid:
-        out = found.select(*keys, F.col("_row.*"), got)
+        got = F.when(F.col("_t").isNotNull(), F.col("_in")).alias("_got")
+        out = both.withColumn("_in", latest()).filter("_ask").select(*keys, F.col("_row.*"), got)
     else:
-        answers = found.select(*keys, F.col("_t").alias("_at"), got)
+        # The window and the carried rows below read the same partitioning.
+        both = both.withColumn("_b", F.date_trunc(bucket, F.col("_t"))).repartition(*keys, "_b")
+        only = F.when(~F.col("_ask"), F.col("_t"))
+        edge = F.max_by("_hit", only) if back else F.min_by("_hit", only)
+        step = F.col("_b").asc() if back else F.col("_b").desc()
+        across = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, -1)
+        carried = (
+            both.groupBy(*keys, "_b").agg(edge.alias("_edge"))
+            .withColumn("_carry", F.last("_edge", ignorenulls=True).over(across)).drop("_edge")
+        )
+        found = both.withColumn("_in", latest("_b")).filter("_ask").join(carried, [*keys, "_b"])
+        answers = found.select(*keys, F.col("_t").alias("_at"), F.coalesce("_in", "_carry").alias("_got"))
         out = left.withColumn("_at", ask).join(answers, [*keys, "_at"], "left")
     return out.select(*left.columns, *[F.col(f"_got.{c}").alias(c) for c in payload])
 
