@@ -30,7 +30,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, "tidemark-bench")
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from conftest import d
@@ -126,7 +127,7 @@ def test_store_and_results(spark, tmp_path):
 def test_corrupt_manifest_line_is_fatal(spark, tmp_path):
     path = tmp_path / "m.jsonl"
     path.write_text('{"source":"a","key":"k","sha256":"x"}\n{broken\n')
-    with pytest.raises(PySparkException):
+    with pytest.raises((PySparkException, Py4JJavaError)):
         V.read_manifest(spark, str(path)).collect()
 
 
@@ -148,3 +149,5 @@ def test_point_in_polygon_holes_and_strongest(spark):
     for cell in (1.0, 7.0, 100.0):
         got = {r.point: (r.category, r.covered) for r in spatial.point_in_polygon(pts, polys, polys, ["issue"], cell=cell).collect()}
         assert got == {"in": ("Above", True), "hole": ("Normal", False), "both": ("Below", True), "far": ("Normal", False)}
+    with pytest.raises((PySparkException, Py4JJavaError), match="more than 3 places"):
+        spatial.point_in_polygon(pts, polys, polys, ["issue"], cell=7.0, max_places=3).collect()

@@ -410,6 +410,7 @@ def calibration(iv: DataFrame, keys: Sequence[str], year: str, grid: Sequence[fl
     )
 
 
+# The compared provisioning strategies.
 STRATEGIES = ("no_buffer", "climatology", "climatology_scaled", "model", "model_point_only")
 
 

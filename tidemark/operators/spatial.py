@@ -34,7 +34,7 @@ def bounds(rings: str) -> dict[str, Column]:
 
 def point_in_polygon(
     points: DataFrame, polys: DataFrame, issues: DataFrame, keys: list[str], *, cell: float,
-    probability: str = "probability", category: str = "category",
+    probability: str = "probability", category: str = "category", max_places: int = 10_000,
 ) -> DataFrame:
     """Per (issue, point) the most probable contour around it; none means Normal at zero.
 
@@ -59,8 +59,11 @@ def point_in_polygon(
     best = inside.groupBy(*keys, "point").agg(
         F.max(probability).alias(probability), F.max_by(category, probability).alias(category)
     )
-    # Every issue speaks about every place: the place list is short configuration, carried in one row.
-    places = points.agg(F.collect_set("point").alias("_p"))
+    # Every issue speaks about every place. The place list is short configuration and travels in one
+    # row; a longer list fails instead of growing that row.
+    short = points.limit(max_places + 1).agg(F.collect_set("point").alias("_p"))
+    too_long = F.raise_error(F.lit(f"more than {max_places} places")).cast("boolean")
+    places = short.filter(F.when(F.size("_p") <= max_places, F.lit(True)).otherwise(too_long))
     grid = issues.select(*keys).distinct().crossJoin(F.broadcast(places)).select(*keys, F.explode("_p").alias("point"))
     out = grid.join(best, [*keys, "point"], "left")
     return out.withColumn("covered", F.col(category).isNotNull()).withColumn(category, F.coalesce(category, F.lit("Normal")))

@@ -59,7 +59,12 @@ def no_overlap(
     w = by(keys, *first)
     live = F.col(signal) != 0
     busiest = F.max(F.when(live, F.col(exit))).over(w.rowsBetween(W.unboundedPreceding, -1))
-    soonest = F.min(F.when(live, F.col(entry))).over(w.rowsBetween(0, W.unboundedFollowing))
+    if order:
+        # Earliest entry still to come, as a running minimum from the end: one pass over the reversed order.
+        back = by(keys, *[F.col(c).desc() for c in first])
+        soonest = F.min(F.when(live, F.col(entry))).over(back.rowsBetween(W.unboundedPreceding, 0))
+    else:
+        soonest = F.col(entry)
     # Island numbers need the running extremes first, so they are a second window on the same partitioning.
     cut = df.withColumn("_i", F.when(soonest <= busiest, 0).otherwise(1))
     cut = cut.withColumn("_i", F.sum("_i").over(w.rowsBetween(W.unboundedPreceding, 0)))

@@ -55,6 +55,7 @@ def prediction_r2(df: DataFrame, keys: Sequence[str], actual: str, score: str, b
     return df.groupBy(*keys).agg((1 - div(F.sum(e * e), F.sum(b * b))).alias("r2"))
 
 
+# The deterministic baseline rules.
 RULES = ("no_trade", "long_only", "short_only", "momentum", "mean_reversion", "trailing_mean", "seasonal_mean")
 
 
