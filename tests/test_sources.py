@@ -98,6 +98,13 @@ def test_links_conflicts_and_pages(spark):
     assert df.select(P.page_number("url")).first()[0] == 12
 
 
+def test_typed_links_need_a_dated_label_and_the_file_type(spark):
+    rows = [(1, "/a.TXT?x=1", "Jun 3 2024 - txt", "h", True), (1, "/b.pdf", "Jun 3 2024 - txt", "h", True), (1, "/c.txt", "About", "h", True)]
+    links = spark.createDataFrame(rows, "i int, href string, label string, host string, allowed boolean")
+    got = P.typed_links(links, r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{4})\s+-\s+txt$", "MMM d yyyy", ".txt").collect()
+    assert [(r.href, r.release_date) for r in got] == [("/a.TXT?x=1", d("2024-06-03"))]
+
+
 def test_export_mapping_is_explicit(spark):
     df = spark.createDataFrame([("A", 1.5), ("B", 2.0)], "r string, p double")
     good, bad = P.import_export(df, {"root": "r", "open": "p"}, "root", {"A": "ZA"}, ["open"], 100.0)

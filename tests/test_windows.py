@@ -92,7 +92,7 @@ def test_half_covered_window_is_absent_and_no_thermometer_is_not_no_frost(spark)
     half = [("half", x, 31.0, 1.0, 0.5) for x in days[:40]]
     df = spark.createDataFrame(full + half, "p string, d date, tx double, tn double, r double")
     got = AG.window_measures(df, ["p"], "d", [(10, -1), (11, -1)], tmax="tx", tmin="tn", rain="r", heat=29.0, frost=2.0).collect()
-    assert [(x.p, x.crop_year, x.frost_days, x.min_tmin, x.heat_dd, x.dry_days) for x in got] == [("full", 2024, None, None, 122.0, 61)]
+    assert [(x.p, x.crop_year, x.frost_days, x.min_tmin, x.heat_dd, x.dry_days, x.max_dry_spell) for x in got] == [("full", 2024, None, None, 122.0, 61, 61)]
 
 
 def test_small_states_are_not_outvoted(spark):

@@ -131,10 +131,15 @@ def window_measures(
     """Measures of one crop-year window per key, only where the window is nearly covered."""
     from tidemark.functions.scalar import crop_year, excess
 
+    from .windows import run_so_far
+
     rows = df.withColumn("crop_year", crop_year(date, calendar)).filter("crop_year IS NOT NULL")
+    # Runs are counted inside one (key, crop year): at most 366 rows per window.
+    rows = run_so_far(rows.withColumn("_dry", F.col(rain) < dry), [*keys, "crop_year"], date, "_dry", "_run")
     out = rows.groupBy(*keys, "crop_year").agg(
         F.sum(rain).alias("rain_sum"),
         F.sum((F.col(rain) < dry).cast("int")).alias("dry_days"),
+        F.max("_run").alias("max_dry_spell"),
         F.sum((F.col(rain) > wet).cast("int")).alias("wet_days"),
         F.sum((F.col(tmax) > heat).cast("int")).alias("heat_days"),
         F.sum(excess(tmax, heat)).alias("heat_dd"),
@@ -149,7 +154,7 @@ def window_measures(
 
 # How each measure combines over the points of one region.
 POINT_RULES = {
-    "min_tmin": "min", "frost_days": "max", "heat_dd": "avg", "heat_days": "avg", "tmax_mean": "avg",
+    "min_tmin": "min", "frost_days": "max", "max_dry_spell": "max", "heat_dd": "avg", "heat_days": "avg", "tmax_mean": "avg",
     "rain_sum": "avg", "dry_days": "avg", "wet_days": "avg", "days": "avg",
 }
 

@@ -145,9 +145,11 @@ def _(t):
 
 # Crop year October..September; tmin is missing for one belt.
 CAL = [(m, -1) for m in (10, 11, 12)] + [(m, 0) for m in range(1, 10)]
-WINDOW = BELT + """, w AS (SELECT *, CAST(CASE WHEN month(d) >= 10 THEN year(d) + 1 ELSE year(d) END AS BIGINT) AS crop_year,
+WINDOW = BELT + """, w0 AS (SELECT *, CAST(CASE WHEN month(d) >= 10 THEN year(d) + 1 ELSE year(d) END AS BIGINT) AS crop_year,
       CASE WHEN belt <> 'EUROPE' THEN tmin END AS tn FROM belt_state),
-    meas AS (SELECT belt, state, crop_year, sum(rain) AS rain_sum, count(*) FILTER (rain < 1.0) AS dry_days, count(*) FILTER (rain > 8.0) AS wet_days,
+    w1 AS (SELECT *, row_number() OVER (PARTITION BY belt, state, crop_year ORDER BY d) AS pos FROM w0),
+    w AS (SELECT *, pos - coalesce(max(CASE WHEN NOT rain < 1.0 THEN pos END) OVER (PARTITION BY belt, state, crop_year ORDER BY d ROWS UNBOUNDED PRECEDING), 0) AS run FROM w1),
+    meas AS (SELECT belt, state, crop_year, sum(rain) AS rain_sum, count(*) FILTER (rain < 1.0) AS dry_days, max(run) AS max_dry_spell, count(*) FILTER (rain > 8.0) AS wet_days,
       count(*) FILTER (tmax > 29.0) AS heat_days, sum(greatest(tmax - 29.0, 0.0)) AS heat_dd, avg(tmax) AS tmax_mean,
       CASE WHEN count(tn) > 0 THEN count(*) FILTER (tn < 2.0) END AS frost_days, min(tn) AS min_tmin, count(*) AS days
     FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 12 * 10)"""
@@ -168,10 +170,10 @@ def _(t):
 @query(
     "ag10_combine_points",
     with_sql(WINDOW) + """, size AS (SELECT r_name AS belt, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
-    SELECT belt, crop_year, min(min_tmin) AS min_tmin, CAST(max(frost_days) AS DOUBLE) AS frost_days, avg(heat_dd) AS heat_dd, avg(heat_days) AS heat_days,
+    SELECT belt, crop_year, min(min_tmin) AS min_tmin, CAST(max(frost_days) AS DOUBLE) AS frost_days, max(max_dry_spell) AS max_dry_spell, avg(heat_dd) AS heat_dd, avg(heat_days) AS heat_days,
       avg(tmax_mean) AS tmax_mean, avg(rain_sum) AS rain_sum, avg(dry_days) AS dry_days, avg(wet_days) AS wet_days, avg(days) AS days, count(*) AS points
     FROM meas JOIN size USING (belt) GROUP BY belt, crop_year, n HAVING count(*) = n""",
-    d="min_tmin frost_days heat_dd heat_days tmax_mean rain_sum dry_days wet_days days",
+    d="min_tmin frost_days max_dry_spell heat_dd heat_days tmax_mean rain_sum dry_days wet_days days",
 )
 def _(t):
     return AG.combine_points(measures(t), ["belt"], "crop_year", AG.POINT_RULES, F.broadcast(size(t)), "n")

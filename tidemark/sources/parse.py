@@ -319,6 +319,17 @@ def extract_links(df: DataFrame, html: str, url: str, pattern: str, hosts: Seque
     ).withColumn("allowed", F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: F.col("host").endswith(h)))
 
 
+def typed_links(links: DataFrame, label_pattern: str, date_format: str, suffix: str) -> DataFrame:
+    """Links whose label is a dated release and whose target has the wanted file type, with that date.
+
+    Group 1 of `label_pattern` is the date. A release on a host that is not allowed is kept and
+    marked, so a caller can refuse the page.
+    """
+    path = F.lower(F.regexp_replace("href", r"[?#].*$", ""))
+    text = F.regexp_replace(F.regexp_extract("label", label_pattern, 1), r"\s+", " ")
+    return links.filter((text != "") & path.endswith(suffix)).withColumn("release_date", F.try_to_date(text, date_format))
+
+
 def link_conflicts(links: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Labels of a page that point at more than one target."""
     return links.groupBy(*keys, "label").agg(
