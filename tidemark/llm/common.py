@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -34,21 +35,32 @@ def row_key(*cols: str) -> list[Column]:
     ]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's checkpoint folder and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names, for tables that cut a lineage.
 
-    The folder is the one `spark.checkpoint.dir` names. A single-process session without one gets
-    a folder of its own; a cluster without one is refused, because its executors would not see it.
+    A single-process session without one gets a folder of its own; a cluster without one is refused,
+    because its executors would not see each other's files.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and go on from it.
+
+    What follows neither recomputes `df` nor depends on any executor's disk, and reads only the
+    columns it needs. The tables lie beside the session's checkpoints and may go with them.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, quality
+from . import bpe, language, licenses, lines, mixing, neardup, quality, topk
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -18,6 +18,20 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_duplicates(documents(spark, sf_dir))
+    listed = F.concat_ws(",", F.col("removed_lines").cast("array<string>"))
+    return found.select("doc_id", "n_lines", "n_compared", "n_removed", listed.alias("removed_lines"))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir)).drop("_k1", "_k2", "_first")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).drop("_k1", "_k2", "removed_lines")
 
@@ -26,6 +40,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("_k1", "_k2")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir)).drop("spans")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,11 +52,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_license_scan": op2_license_scan,
+    "op3_top_k": op3_top_k,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_mix_sources": op8_mix_sources,
+    "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
 ORACLES = {
+    "op3_top_k": topk.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
