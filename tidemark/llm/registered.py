@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, lines, mixing, neardup, quality, topk
+from . import bpe, language, licenses, lines, mixing, neardup, quality, scoring, substrings, topk
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
@@ -22,6 +26,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.line_duplicates(documents(spark, sf_dir))
     listed = F.concat_ws(",", F.col("removed_lines").cast("array<string>"))
@@ -51,8 +59,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_top_k": op3_top_k,
+    "op4_lm_score": op4_lm_score,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
