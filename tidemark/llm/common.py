@@ -109,8 +109,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.select("node", F.col("f").alias("component"))
 
 
-def stack(frames: Sequence[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows as one column _row beside `more`, so no column of theirs clashes with an operator's."""
+    return docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"), *more)
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], text: Column | None = None) -> DataFrame:
+    """The columns of the rows again; with a new text, and its length where there is an n_chars."""
+    named = df if text is None else df.withColumn("_text", text)
+    new = {} if text is None else {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return named.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.common import spread_join
 
-from .common import WORD, cut, row_key, text_or_empty
-from .quality import with_text
+from .common import WORD, cut, packed, row_key, text_or_empty, unpacked
 
 #: Weights of sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -134,7 +133,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
     second round is appended after a line feed. Same columns, n_chars recounted.
     """
     taken = mix_sources(docs, **how).groupBy("_k1", "_k2").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    keyed = docs.select("*", *row_key("text", "source")).join(taken.filter("_taken > 0"), ["_k1", "_k2"])
+    keyed = packed(docs, *row_key("text", "source")).join(taken.filter("_taken > 0"), ["_k1", "_k2"])
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
 
     def first(n: Column) -> Column:
@@ -146,7 +145,7 @@ def apply_mix(docs: DataFrame, **how) -> DataFrame:
         .when(F.col("_taken") < 2 * F.col("_size"), F.concat("text", F.lit("\n"), first(F.col("_taken") - F.col("_size"))))
         .otherwise(F.concat("text", F.lit("\n"), F.col("text")))
     )
-    return with_text(keyed, text, docs.columns)
+    return unpacked(keyed, docs.columns, text)
 
 
 ORACLE = r"""

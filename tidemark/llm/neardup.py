@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, row_key
+from .common import chunks, components, cut, packed, row_key, unpacked
 
 LIMIT = 3
 FAMILIES = 6
@@ -154,5 +154,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def apply_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, with the same columns; of repeated rows one."""
     stay = near_duplicates(docs).filter("_first").select("_k1", "_k2").distinct()
-    kept = docs.select("*", *row_key("text")).join(stay, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    return kept.select(*docs.columns)
+    kept = packed(docs, *row_key("text")).join(stay, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return unpacked(kept, docs.columns)

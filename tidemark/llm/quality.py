@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, row_key, text_or_empty
+from .common import WORD, WS, packed, row_key, text_or_empty, unpacked
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -136,17 +136,9 @@ def apply_quality(docs: DataFrame, **rules) -> DataFrame:
     """The kept documents with their frequent lines taken out; same columns, n_chars recounted."""
     host = rules.get("host", "source")
     verdict = quality_rules(docs, **rules).filter("kept").select("_k1", "_k2", F.col("removed_lines").alias("_gone"))
-    keyed = docs.select("*", *row_key("text", host)).join(verdict, ["_k1", "_k2"])
+    keyed = packed(docs, *row_key("text", host)).join(verdict, ["_k1", "_k2"])
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    cleaned = F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))
-    return with_text(keyed, cleaned, docs.columns)
-
-
-def with_text(df: DataFrame, text: Column, columns: list[str]) -> DataFrame:
-    """The given columns with a new text, and the length of it where there is an n_chars."""
-    named = df.withColumn("_text", text)
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return named.select(*[(new[c].alias(c) if c in new else F.col(c)) for c in columns])
+    return unpacked(keyed, docs.columns, F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
 
 
 ORACLE = r"""
