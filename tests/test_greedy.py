@@ -101,6 +101,36 @@ def test_placebo_needs_a_large_enough_pool(spark):
     assert {r.k for r in got} == {"b"} and {r["mean"] for r in got} == {4.0}
 
 
+def test_a_draw_takes_different_days_and_repeats(spark):
+    drawn = EV.sample_without(3, "1", 40, 25)
+    assert len(set(drawn)) == 25 and min(drawn) >= 0 and max(drawn) < 40 and drawn == EV.sample_without(3, "1", 40, 25)
+    counts = [0] * 6
+    for i in range(3000):
+        for j in EV.sample_without(1, str(i), 6, 2):
+            counts[j] += 1
+    assert all(900 < c < 1100 for c in counts)
+
+
+def test_matched_null_refuses_thin_and_empty_strata(spark):
+    pool = spark.createDataFrame([("a", 2020, i, float(i)) for i in range(3)], "k string, year int, d int, v double")
+    ok = spark.createDataFrame([("a", 2020, 3)], "k string, year int, n int")
+    assert {(r["mean"], r.n) for r in EV.matched_null(pool, ok, ["k"], "year", "d", "v", "n", 4, 1).collect()} == {(1.0, 3)}
+    for bad in ([("a", 2020, 4)], [("a", 2020, 1), ("a", 2021, 2)]):
+        sizes = spark.createDataFrame(bad, "k string, year int, n int")
+        with pytest.raises(Exception, match="too few days"):
+            EV.matched_null(pool, sizes, ["k"], "year", "d", "v", "n", 4, 1).collect()
+
+
+def test_a_dense_key_is_one_pass(spark):
+    n = 100_000
+    rows = spark.range(n).selectExpr("'a' as k", "id as i", "date_add(date'2000-01-01', cast(id div 40 as int)) as e", "1 as s")
+    assert TK.thin_rows(rows, ["k"], "i", 12).count() == -(-n // 12)
+    held = rows.selectExpr("k", "i", "e", "date_add(e, 3) as x", "s")
+    assert TK.no_overlap(held, ["k"], "e", "x", "s", order=["e", "x", "i"]).filter("executed <> 0").count() == n // 40 // 4
+    days = spark.range(n).selectExpr("'a' as k", "date_add(date'1800-01-01', cast(id as int)) as d", "cast(id * 7919 % 10007 as double) as m")
+    assert EV.decluster(days, ["k"], "d", "m", 14).count() > n // 28
+
+
 def test_pair_sizes_prefer_fewer_contracts_and_respect_the_budget(spark):
     df = spark.createDataFrame([(100.0, 200.0, 10.0, 10.0)], "a double, b double, ma double, mb double")
     s = df.select(TK.size_pairs("a", "b", 8).alias("s"), TK.size_pairs("a", "b", 8, ("ma", "mb", 20.0)).alias("t"), TK.size_pairs("a", "b", 8, ("ma", "mb", 5.0)).alias("u")).first()

@@ -1,4 +1,6 @@
 import datetime as dt
+import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -140,7 +142,7 @@ def test_elastic_net_matches_coordinate_descent(spark):
     X = rng.normal(size=(80, 2)) * [3.0, 0.5] + 1
     y = X @ [0.4, -1.0] + rng.normal(size=80)
     alpha, l1 = 0.1, 0.5
-    Z = (X - X.mean(0)) / X.std(0, ddof=1)
+    Z = (X - X.mean(0)) / X.std(0)
     w, yc = np.zeros(2), y - y.mean()
     for _ in range(500):
         for j in range(2):
@@ -148,9 +150,32 @@ def test_elastic_net_matches_coordinate_descent(spark):
             rho = Z[:, j] @ r / 80
             w[j] = np.sign(rho) * max(abs(rho) - alpha * l1, 0) / (Z[:, j] @ Z[:, j] / 80 + alpha * (1 - l1))
     want = y.mean() + Z @ w
-    df = spark.createDataFrame([(float(a), float(b), float(v)) for (a, b), v in zip(X, y)], "a double, b double, y double")
-    got = np.array([r.score for r in ML.fit_enet(df, df, "y", ["a", "b"], alpha, l1).collect()])
-    assert np.abs(np.sort(got) - np.sort(want)).max() < 1e-3
+    rows = [(1, role, float(a), float(b), float(v)) for role in ("train", "test") for (a, b), v in zip(X, y)]
+    df = spark.createDataFrame(rows, "fold int, role string, a double, b double, y double")
+    got = ML.fit_enet(df, ["fold"], "y", ["a", "b"], {"off": (0.0, 0.5), "on": (alpha, l1)}).filter("candidate = 'on'")
+    assert np.abs(np.sort([r.score for r in got.collect()]) - np.sort(want)).max() < 1e-9
+
+
+def test_equal_cells_go_to_the_first_listed_candidate(spark):
+    rows = [("a", c, place, (-1.0) ** i, 0.01 * (-1) ** i + 0.002 * i, 0.001) for c, place in (("z", 0), ("a", 1)) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, c string, place int, s double, y double, cost double")
+    r = WF.choose(df, ["k"], "c", "s", "y", "cost", place="place").first()
+    assert (r.c, r.threshold) == ("z", 0.001)
+    fixed = WF.choose(df, ["k"], "c", "s", "y", "cost", place="place", fixed=WF.PROBABILITY_THRESHOLDS).first()
+    assert (fixed.c, fixed.threshold) == ("z", 0.0)
+
+
+def test_choice_sees_training_rows_only(spark):
+    rng = random.Random(4)
+    base = [("a", 1, "train" if i < 150 else "test", i, rng.gauss(0, 1), rng.gauss(0, 1), 0.001) for i in range(180)]
+    other = [(*r[:4], r[4], 99.0, r[6]) if r[2] == "test" else r for r in base]
+    picks = []
+    for rows in (base, other):
+        df = spark.createDataFrame(rows, "k string, fold int, role string, d int, x double, y double, cost double")
+        chosen = WF.nested_choice(df, ["k", "fold"], "d", "y", ["x"], "cost", {"alpha=1": 1.0, "alpha=100": 100.0})
+        picks.append(chosen.first())
+        assert WF.refit_choice(df, chosen, ["k", "fold"], "y", ["x"], {"alpha=1": 1.0, "alpha=100": 100.0}).count() == 30
+    assert picks[0] == picks[1]
 
 
 def test_no_cell_with_enough_trades_means_no_trade(spark):
@@ -187,6 +212,40 @@ def test_bootstrap_is_repeatable_and_bounded(spark):
     assert a == b and a.p025 < a.median < a.p975 and 0 < a.probability_positive < 1
 
 
+def test_shift_null_equals_the_sequential_rule(spark):
+    rng = random.Random(8)
+    rows, day = [], dt.date(2022, 10, 1)
+    for _ in range(120):
+        day += dt.timedelta(days=rng.randrange(1, 6))
+        rows.append(("a", day, day + dt.timedelta(days=rng.randrange(0, 15)), day.year, rng.choice([-1, 0, 1]), rng.gauss(0, 0.02), 0.001))
+    df = spark.createDataFrame(rows, "k string, e date, x date, year int, raw int, gross double, cost double")
+    got = {r.draw: r.total for r in UN.circular_null(df, ["k"], "e", "year", "raw", "e", "x", "gross", "cost", 40, 3).collect()}
+    for draw in range(1, 41):
+        last, total = None, 0.0
+        for year in sorted({r[3] for r in rows}):
+            mine = [r for r in rows if r[3] == year]
+            off = int(hashlib.md5(f"3:{draw}:{year}".encode()).hexdigest()[:8], 16) % len(mine)
+            for i, (_, e, x, _, _, gross, cost) in enumerate(mine):
+                s = mine[(i - off) % len(mine)][4]
+                if s and (last is None or e > last):
+                    total += s * gross - abs(s) * cost
+                    last = x
+        assert abs(got[draw] - total) < 1e-12
+
+
+def test_coefficient_draws_are_weighted_regressions(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a", i, float(a), float(b), float(a - 2 * b + c)) for i, (a, b, c) in enumerate(rng.normal(size=(12, 3)))]
+    got = UN.coef_bootstrap(spark.createDataFrame(rows, "k string, h int, a double, b double, y double"), ["k"], "h", "y", ["a", "b"], 60, 7).first()
+    values = []
+    for draw in range(1, 61):
+        at = [int(hashlib.md5(f"7:{draw}:{s}".encode()).hexdigest()[:8], 16) % 12 for s in range(1, 13)]
+        if len(set(at)) >= 4:
+            m = np.array([rows[i][2:] for i in at])
+            values.append(np.linalg.lstsq(np.column_stack([m[:, :2], np.ones(12)]), m[:, 2], rcond=None)[0][0])
+    assert got.draws == len(values) and abs(got.median - np.median(values)) < 1e-9
+
+
 def test_shift_by_the_whole_year_keeps_totals(spark):
     rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=3 * i), dt.date(2024, 1, 2) + dt.timedelta(days=3 * i), 2024, 1, 0.01, 0.0) for i in range(20)]
     df = spark.createDataFrame(rows, "k string, e date, x date, year int, raw int, gross double, cost double")

@@ -1,7 +1,4 @@
-"""Registered queries next to their SQL on the small tables.
-
-A cross-section runs by default; TIDEMARK_ALL=1 runs every query.
-"""
+"""Every registered query next to its SQL on the small tables."""
 
 import os
 import sys
@@ -16,7 +13,8 @@ from tools.check import compare, duck  # noqa: E402
 
 SF = os.environ.get("TIDEMARK_SF", "/root/testdata/sf0.001")
 NAMES = sorted(load())
-PICK = NAMES if os.environ.get("TIDEMARK_ALL") else NAMES[::6]
+#: The Spark ML fits, whose numbers depend on the solver, and file digests: rows only.
+UNCHECKED = {"wf7_fit_logit", "wf8_fit_gbt", "ver8_file_digests"}
 
 
 @pytest.fixture(scope="module")
@@ -27,13 +25,18 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", PICK)
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in UNCHECKED])
 def test_query_agrees_with_sql(spark, con, name):
     status, note, _ = compare(spark, con, load()[name], SF)
-    assert status in ("ok", "rows"), note
+    assert status == "ok", note
     assert "TYPES" not in note, note
 
 
+def test_the_rest_has_no_sql(spark):
+    assert {n for n, q in load().items() if q.sql is None} == UNCHECKED
+    assert load()["ver8_file_digests"].run(spark, SF).count() > 10
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 

@@ -118,3 +118,17 @@ def test_completed_rows_are_strictly_earlier(spark):
     q = spark.createDataFrame([("a", d("2024-01-05")), ("a", d("2024-01-07"))], "k string, d date")
     got = {x.d: x.train_rows for x in pit.completed_rows(r, "e", q, "d", ["k"]).collect()}
     assert got == {d("2024-01-05"): 0, d("2024-01-07"): 2}
+
+
+def test_issue_window_may_begin_before_new_year(spark):
+    rows = [("a", d(f"{y}-{m:02d}-{x:02d}"), d(f"{y}-{m:02d}-{x:02d}"), 1.0) for y, m, days in ((2023, 12, (30, 31)), (2024, 1, (1, 2))) for x in days]
+    o = spark.createDataFrame(rows, "k string, d date, pub date, v double")
+    i = spark.createDataFrame([(2024, d("2024-01-05"), d("2023-12-30"), d("2024-01-02"))], "year int, issue_date date, start date, end date")
+    r = pit.issue_table(o, i, ["k"], "d", "pub", "v").first()
+    assert (r.year, r.expected_days, r.seen_days, r.feature) == (2024, 4, 4, 1.0)
+
+
+def test_of_two_decisions_on_a_day_the_smaller_counts(spark):
+    for rows in ([("a", d("2024-01-09"), 1), ("a", d("2024-01-09"), -1)], [("a", d("2024-01-09"), -1), ("a", d("2024-01-09"), 1)]):
+        df = spark.createDataFrame(rows, "k string, d date, s int")
+        assert pit.latest_decision(df, ["k"], "d", "s", F.lit("2024-01-10").cast("date"), 7).first().action == "SELL"

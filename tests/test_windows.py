@@ -108,3 +108,9 @@ def test_strict_belt_has_no_row_for_an_incomplete_day(spark):
     n = spark.createDataFrame([("x", 2)], "b string, n int")
     got = AG.strict_belt_mean(df, ["b"], "d", ["v"], "pub", n, "n").collect()
     assert [(x.d, x.v, x.pub) for x in got] == [(d("2024-01-01"), 2.0, d("2024-01-04"))]
+
+
+def test_percentile_rank_leaves_unknown_values_out(spark):
+    df = spark.createDataFrame([("a", None), ("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", None)], "k string, v double")
+    got = sorted(((r.k, r.v, r.p) for r in WN.pct_rank(df, ["k"], "v", "p").collect()), key=str)
+    assert got == sorted([("a", None, None), ("a", 1.0, 1 / 3), ("a", 2.0, 2.5 / 3), ("a", 2.0, 2.5 / 3), ("b", None, None)], key=str)

@@ -7,7 +7,8 @@ whole-stage code generation and can be pushed towards the scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,14 +48,27 @@ def null_if(c: str | Column, *sentinels: float) -> Column:
 
 # ------------------------------------------------------------------ text
 
-# Latin letters with a diacritic and their base letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BASE = "aaaaaaceeeeiiiinooooouuuuyy"
+def _bases(points: Iterable[int]) -> dict[str, str]:
+    """Letters whose compatibility decomposition starts from ASCII, and what is left without marks."""
+    found = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in points}
+    return {c: base for c, base in found.items() if base}
+
+
+#: Latin-1 letters, Latin Extended-A, -B and Additional, ligatures and full-width forms.
+BASES = _bases([*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)])
 
 
 def fold(c: str | Column) -> Column:
-    """Accent-insensitive, case-insensitive, trimmed form for comparing names."""
-    return F.trim(F.translate(F.lower(col(c)), ACCENTED, BASE))
+    """Form for comparing names: decomposed, ASCII only, lower case, trimmed.
+
+    Letters keep their base, combining marks and everything else outside ASCII go.
+    """
+    single = {k: v for k, v in BASES.items() if len(v) == 1}
+    out = F.translate(col(c), "".join(single), "".join(single.values()))
+    wide = {k: v for k, v in BASES.items() if len(v) > 1}
+    for letters in sorted(set(wide.values())):
+        out = F.regexp_replace(out, "[" + "".join(k for k, v in wide.items() if v == letters) + "]", letters)
+    return F.trim(F.lower(F.regexp_replace(out, r"[^\x00-\x7F]+", "")))
 
 
 def slug(c: str | Column) -> Column:

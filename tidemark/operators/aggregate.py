@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import div
+from tidemark.functions.scalar import div, null_if
 
 from .common import spread_join
 
@@ -58,18 +58,29 @@ def strict_belt_mean(
 
 
 def strict_nested_mean(
-    df: DataFrame, belt: str, state: str, member: str, date: str, measure: str
+    df: DataFrame, belt: str, state: str, member: str, date: str, measure: str, pub: str
 ) -> DataFrame:
-    """Nested mean, only for dates carrying exactly the members seen on the belt's earliest date."""
-    first = df.groupBy(belt).agg(F.min(date).alias("_first"))
-    ref = df.join(first, belt).filter(F.col(date) == F.col("_first")).select(belt, member).distinct()
-    size = ref.groupBy(belt).agg(F.count(F.lit(1)).alias("_ref"))
-    per_day = df.join(ref.withColumn("_in", F.lit(1)), [belt, member], "left").groupBy(belt, date).agg(
-        F.sum("_in").alias("_hit")
+    """Nested mean of dates on which every state is complete, with the latest publication.
+
+    The members seen on a belt's earliest date are its reference. A state is complete on a date when
+    as many members as its reference has are there, each with a value and a publication date; a date
+    needs all states of the reference. Members added later are left out. One row per (belt, state,
+    member, date). The reference is one grouped minimum per member, so raw rows are shuffled by
+    member and by (state, date) only.
+    """
+    known = df.withColumn(measure, null_if(measure))
+    since = known.groupBy(belt, state, member).agg(F.min(date).alias("_since"))
+    first = since.groupBy(belt).agg(F.min("_since").alias("_first"))
+    ref = since.join(first, belt).filter(F.col("_since") == F.col("_first")).select(belt, state, member)
+    per_state = ref.groupBy(belt, state).agg(F.count(F.lit(1)).alias("_ref"))
+    states = per_state.groupBy(belt).agg(F.count(F.lit(1)).alias("_states"))
+    days = known.join(ref, [belt, state, member], "left_semi").groupBy(belt, state, date).agg(
+        F.avg(measure).alias(measure), F.count(F.lit(1)).alias("_n"), F.count(measure).alias("_v"), F.count(pub).alias("_p"), F.max(pub).alias(pub)
     )
-    ok = per_day.join(size, belt).filter(F.col("_hit") == F.col("_ref")).select(belt, date)
-    rows = df.join(ref, [belt, member], "left_semi").join(ok, [belt, date], "left_semi")
-    return nested_mean(rows, [belt, state, date], [belt, date], [measure])
+    n = F.col("_ref")
+    full = days.join(per_state, [belt, state]).filter((F.col("_n") == n) & (F.col("_v") == n) & (F.col("_p") == n))
+    out = full.groupBy(belt, date).agg(F.avg(measure).alias(measure), F.max(pub).alias(pub), F.count(F.lit(1)).alias("_full"))
+    return out.join(states, belt).filter(F.col("_full") == F.col("_states")).drop("_full", "_states")
 
 
 def publication_audit(df: DataFrame, keys: Sequence[str], date: str, pub: str, member: str, expected: DataFrame, n: str) -> DataFrame:

@@ -54,7 +54,10 @@ def inconsistent(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def panel_rules(root: str, ticks: Mapping[str, float], letters: Mapping[str, str]) -> dict[str, Rule]:
-    """Row-level rules of a dated contract panel (see the schema in the panel query)."""
+    """Row-level rules of a dated contract panel (see the schema in the panel query).
+
+    Codes and severities are fixed values that reports rely on.
+    """
     prices = ("open_cents", "high_cents", "low_cents", "settle_cents")
     have = F.lit(True)
     for p in prices:
@@ -86,10 +89,21 @@ def panel_rules(root: str, ticks: Mapping[str, float], letters: Mapping[str, str
     return out
 
 
+# Findings for columns that a panel may lack.
+OPTIONAL = {"volume": ("WARNING", "MISSING_VOLUME"), "oi": ("WARNING", "MISSING_OPEN_INTEREST"), "margin": ("BLOCKER", "MISSING_MARGIN")}
+
+
 def audit_panel(
     df: DataFrame, root: str, keys: Sequence[str], rules: Mapping[str, Rule], required_roots: Sequence[str], min_unit: float = 50.0
 ) -> DataFrame:
-    """All findings of a contract panel: row rules, duplicates, conflicting expiries, missing roots, suspect units."""
+    """All findings of a contract panel: row rules, duplicates, conflicting expiries, missing roots, suspect units.
+
+    A panel without volume, open interest or margin is audited all the same; the absent column is one
+    finding about all rows, in place of its row rule.
+    """
+    absent = [c for c in OPTIONAL if c not in df.columns]
+    rules = {code: rule for code, rule in rules.items() if code not in [OPTIONAL[c][1].replace("MISSING", "INVALID") for c in absent]}
+    everything = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(None).cast("string").alias("examples"))
     text = F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys])
     found = violations(df, rules, text)
     dup = duplicate_keys(df, keys).agg(F.sum("rows").alias("rows"), F.min(text).alias("examples"))
@@ -107,6 +121,8 @@ def audit_panel(
         return part.filter("rows > 0").select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col("rows").cast("long").alias("rows"), "examples")
 
     out = found
+    for c in absent:
+        out = out.unionByName(tagged(everything, *OPTIONAL[c]))
     for part, sev, code in (
         (dup, "ERROR", "DUPLICATE_ROWS"), (exp, "ERROR", "INCONSISTENT_LAST_TRADE_DATE"), (missing, "ERROR", "MISSING_ROOTS"),
         (unit, "WARNING", "SUSPECT_PRICE_UNIT"),
@@ -115,10 +131,6 @@ def audit_panel(
     return out
 
 
-def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
-    return sorted(set(required) - set(df.columns))
-
-
 def session_gaps(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """Weekdays without a session between two sessions of a contract."""
     prev = F.lag(date).over(by(keys, date))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def by(keys: Sequence[str], *order) -> W:
@@ -37,19 +41,6 @@ def single_row(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def if_small(side: DataFrame, source: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """Ask for a broadcast of `side` only when the table it is built from is known to be small.
-
-    `source` is the scan that bounds it (a many-to-one lookup keeps its row count). Beyond the
-    limit, or where the size is unknown, no hint is given and the join shuffles.
-    """
-    try:
-        size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return side
-    return F.broadcast(side) if size <= limit else side
-
-
 def spread_join(rows: DataFrame, per_key: DataFrame, on: Sequence[str], salts: int = 16) -> DataFrame:
     """Inner join of raw rows to one row per key, with hot keys spread over `salts` tasks.
 
@@ -59,3 +50,20 @@ def spread_join(rows: DataFrame, per_key: DataFrame, on: Sequence[str], salts: i
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def in_turn(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], read: Sequence[str], decide: Callable[..., list], out: str, kind: T.DataType
+) -> DataFrame:
+    """The rows with a column that a sequential rule fills, group by group in `order` (nulls last).
+
+    `decide` gets the values of the columns `read`, row after row, and returns one value a row. A task
+    goes through a group once and keeps only what the rule itself remembers.
+    """
+    names, first, arrow = list(read), [(c, "ascending") for c in order], to_arrow_type(kind)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(first)
+        return table.append_column(out, pa.array(decide(*[table[c].to_pylist() for c in names]), arrow))
+
+    return df.groupBy(*group).applyInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))

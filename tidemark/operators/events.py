@@ -7,13 +7,18 @@ per pseudo-event instead of a whole window.
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by
+from .common import by, in_turn
 from .pit import snap_forward
 
 # ------------------------------------------------------------------ selection
@@ -36,17 +41,19 @@ def decluster(df: DataFrame, keys: Sequence[str], date: str, mag: str, spacing:
     w = by(keys, date)
     near = F.datediff(F.col(date), F.lag(date).over(w)) < spacing
     cut = df.withColumn("_i", F.sum(F.when(near, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rest = [c for c in df.columns if c not in (*keys, date)]
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col(mag)).alias("_m"), date, *rest)))
-    lists = cut.groupBy(*keys, "_i").agg(ranked.alias("_a"))
+    cut = cut.withColumn("_m", -F.col(mag))
 
-    def step(acc: Column, x: Column) -> Column:
-        clear = F.forall(acc, lambda k: F.abs(F.datediff(k, x[date])) >= spacing)
-        return F.when(clear, F.concat(acc, F.array(x[date]))).otherwise(acc)
+    def keep(days: list) -> list:
+        taken: list[int] = []  # days kept so far, in order of time
+        kept = []
+        for day in (x.toordinal() for x in days):
+            at = bisect.bisect(taken, day)
+            kept.append((at == 0 or day - taken[at - 1] >= spacing) and (at == len(taken) or taken[at] - day >= spacing))
+            if kept[-1]:
+                taken.insert(at, day)
+        return kept
 
-    folded = lists.select(*keys, "_a", F.aggregate("_a", F.array().cast("array<date>"), step).alias("_k"))
-    rows = folded.select(*keys, "_k", F.inline("_a"))
-    return rows.filter(F.array_contains("_k", F.col(date))).select(*df.columns)
+    return in_turn(cut, [*keys, "_i"], ["_m", date], [date], keep, "_keep", T.BooleanType()).filter("_keep").select(*df.columns)
 
 
 def episodes(df: DataFrame, keys: Sequence[str], date: str, gap: int, by_col: str, payload: Sequence[str]) -> DataFrame:
@@ -115,27 +122,55 @@ def day_sums(series: DataFrame, keys: Sequence[str], date: str, value: str, a: i
 # ------------------------------------------------------------------ nulls
 
 
-def draw_order(seed: int, draw: str, item: str) -> Column:
-    """Repeatable random order: md5 of (seed, draw, item) as text, the same in any engine."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(draw).cast("string"), F.col(item).cast("string")))
+def sample_without(seed: int, what: str, size: int, n: int) -> list[int]:
+    """n different places of 0 ... size - 1, each set equally likely: Floyd's method on digests.
 
+    For j from size - n to size - 1 a place up to j is drawn, or j itself if that one is taken. A place
+    comes from md5 of (seed, what, j) as text, so any engine repeats it, in n steps whatever the size.
+    """
+    taken: set[int] = set()
+    for j in range(size - n, size):
+        t = int(hashlib.md5(f"{seed}:{what}:{j}".encode()).hexdigest()[:8], 16) % (j + 1)
+        taken.add(j if t in taken else t)
+    return sorted(taken)
+
+
+def _drawn(packed: DataFrame, keys: Sequence[str], draws: int, seed: int, name: str | None) -> DataFrame:
+    """Sum and count of the values of each draw from packed pools (_a: values, _n: how many to draw)."""
+    names = [*keys, *([name] if name else [])]
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                values, n = np.array([np.nan if v is None else v for v in row[-2]], float), int(row[-1])
+                mark = f":{row[len(names) - 1]}" if name else ""
+                chosen = [values[sample_without(seed, f"{d}{mark}", len(values), n)] for d in range(1, draws + 1)]
+                out = pd.DataFrame([row[: len(keys)]] * draws, columns=list(keys))
+                out["draw"] = range(1, draws + 1)
+                out["total"] = [float(np.nansum(c)) for c in chosen]
+                out["n"] = [int((~np.isnan(c)).sum()) for c in chosen]
+                yield out
 
-def with_draws(df: DataFrame, draws: int) -> DataFrame:
-    return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*keys).schema.fields)
+    schema = ", ".join(filter(None, [fields, "draw int, total double, n bigint"]))
+    return packed.select(*names, "_a", "_n").mapInPandas(run, schema)
+
+
+def _pools(pool: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFrame:
+    packed = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(item, value))).alias("_a"))
+    return packed.select(*keys, F.col("_a").getField(value).cast("array<double>").alias("_a"))
 
 
 def placebo(pool: DataFrame, sizes: DataFrame, keys: Sequence[str], item: str, value: str, n: str, draws: int, seed: int) -> DataFrame:
     """Mean value of n pseudo-events per draw, picked without replacement from each key's pool.
 
-    The pool has one row per eligible day, so a (key, draw) partition is bounded by the
-    calendar and the draws spread evenly over tasks. A pool smaller than n gives no draws.
+    The pool has one row per eligible day, so a key's pool is one array bounded by the calendar; a
+    draw reads n of its places. A pool smaller than n gives no draws.
     """
     keys = list(keys)
-    have = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
-    ok = sizes.join(have, keys).filter((F.col(n) > 0) & (F.col("_have") >= F.col(n))).select(*keys, n)
-    rows = with_draws(pool.join(ok, keys), draws).withColumn("_o", draw_order(seed, "draw", item))
-    picked = rows.withColumn("_r", F.row_number().over(by([*keys, "draw"], "_o", item))).filter(F.col("_r") <= F.col(n))
-    return picked.groupBy(*keys, "draw").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    packed = _pools(pool, keys, item, value).join(sizes.select(*keys, F.col(n).alias("_n")), keys)
+    out = _drawn(packed.filter((F.col("_n") > 0) & (F.size("_a") >= F.col("_n"))), keys, draws, seed, None)
+    return out.select(*keys, "draw", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("mean"), "n")
 
 
 def quantile_of(observed: DataFrame, dist: DataFrame, keys: Sequence[str], obs: str, value: str) -> DataFrame:
@@ -157,12 +192,19 @@ def matched_pool(days: DataFrame, events: DataFrame, keys: Sequence[str], date:
 def matched_null(
     pool: DataFrame, sizes: DataFrame, keys: Sequence[str], stratum: str, item: str, value: str, n: str, draws: int, seed: int
 ) -> DataFrame:
-    """Like `placebo`, drawing each stratum's (year's) own number of days; the mean is over all of them."""
+    """Like `placebo`, drawing each stratum's (year's) own number of days; the mean is over all of them.
+
+    A stratum with fewer pool days than events cannot be matched: the job fails and names it.
+    """
     keys = list(keys)
-    rows = with_draws(pool.join(sizes, [*keys, stratum]), draws).withColumn("_o", draw_order(seed, "draw", item))
-    w = by([*keys, stratum, "draw"], "_o", item)
-    picked = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col(n))
-    return picked.groupBy(*keys, "draw").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    known = pool.filter(F.col(value).isNotNull())
+    packed = sizes.select(*keys, stratum, F.col(n).alias("_n")).join(_pools(known, [*keys, stratum], item, value), [*keys, stratum], "left")
+    have = F.coalesce(F.size("_a"), F.lit(0))
+    name = F.concat_ws(" ", *[F.col(c).cast("string") for c in (*keys, stratum)])
+    few = F.raise_error(F.concat(F.lit("too few days to match the events of "), name)).cast("boolean")
+    checked = packed.filter(F.when(F.greatest(have, F.lit(0)) >= F.col("_n"), F.lit(True)).otherwise(few)).filter("_n > 0")
+    drawn = _drawn(checked, keys, draws, seed, stratum).groupBy(*keys, "draw").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return drawn.select(*keys, "draw", (F.col("total") / F.col("n")).alias("mean"), "n")
 
 
 # ------------------------------------------------------------------ reports

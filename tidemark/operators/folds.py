@@ -112,6 +112,43 @@ def fit_ridge(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], alp
     return df.join(fit, list(keys)).withColumn(out, score).drop("intercept", *[f"_b{i}" for i in range(len(xs))])
 
 
+def ridge_grid(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], alphas: Mapping[str, float], out: str = "score") -> DataFrame:
+    """Test rows scored by every ridge of a grid, with the candidate's name and its place in the list.
+
+    The training moments of a fold are taken once and serve all candidates; one or two features.
+    """
+    m = df.groupBy(*keys).agg(*[c.alias(n) for n, c in moment_exprs(y, xs, F.col("role") == "train").items()])
+    cells = []
+    for place, (name, alpha) in enumerate(alphas.items()):
+        b = slopes(len(xs), alpha)
+        intercept = F.col("_my") - sum((b[i] * F.col(f"_m{i}") for i in range(len(xs))), F.lit(0.0))
+        cells.append(F.struct(F.lit(name).alias("candidate"), F.lit(place).alias("place"), intercept.alias("_a"), *[b[i].alias(f"_b{i}") for i in range(len(xs))]))
+    fits = m.select(*keys, F.inline(F.array(*cells)))
+    score = sum((F.col(f"_b{i}") * F.col(x) for i, x in enumerate(xs)), F.col("_a"))
+    rows = df.filter("role = 'test'").join(fits, list(keys))
+    return rows.withColumn(out, score).drop("_a", *[f"_b{i}" for i in range(len(xs))])
+
+
+def nested_choice(
+    df: DataFrame, keys: Sequence[str], order: str, y: str, xs: Sequence[str], cost: str, alphas: Mapping[str, float], frac: float = 0.2, embargo: int = 1
+) -> DataFrame:
+    """Candidate and threshold of each fold, chosen on the tail of its training rows only.
+
+    Every candidate is fitted on the training block without its tail and scored on the tail, `embargo`
+    rows later. Returns what `choose` returns, per fold; refit the choice with `refit_choice`.
+    """
+    train = df.filter("role = 'train'").drop("role")
+    inner = inner_split(train, keys, order, frac, embargo).withColumn("role", F.when(F.col("part") == "fit", "train").otherwise("test"))
+    scored = ridge_grid(inner, keys, y, xs, alphas)
+    return choose(scored, keys, "candidate", "score", y, cost, place="place")
+
+
+def refit_choice(df: DataFrame, chosen: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], alphas: Mapping[str, float]) -> DataFrame:
+    """Test rows scored by the chosen candidate, refitted on the whole training block, and the position it takes."""
+    scored = ridge_grid(df, keys, y, xs, alphas).join(chosen.select(*keys, "candidate", "threshold"), [*keys, "candidate"])
+    return scored.withColumn("signal", position("score", F.col("threshold"))).drop("place")
+
+
 def score_folds(df: DataFrame, keys: Sequence[str], fold: str, y: str, pred: str) -> DataFrame:
     """R2 against the training mean, hit rate and sizes per fold, averaged over folds."""
     keys = list(keys)
@@ -133,26 +170,44 @@ def score_folds(df: DataFrame, keys: Sequence[str], fold: str, y: str, pred: str
 # ------------------------------------------------------------------ choice inside a fold
 
 
-def thresholds(df: DataFrame, keys: Sequence[str], score: str, cost: str, qs: Sequence[float] = (0.5, 0.7, 0.85)) -> DataFrame:
-    """Action thresholds per key: the cost and quantiles of |score|, without repeats."""
-    t = df.groupBy(*keys).agg(
-        F.percentile(F.abs(F.col(score)), F.array(*[F.lit(q) for q in qs])).alias("_q"), F.percentile(cost, F.lit(0.5)).alias("_c")
-    )
-    return t.select(*keys, F.explode(F.array_distinct(F.concat(F.array("_c"), F.coalesce("_q", F.array().cast("array<double>"))))).alias("threshold"))
+#: Thresholds of a score that is a difference of probabilities.
+PROBABILITY_THRESHOLDS = (0.0, 0.10, 0.20, 0.35, 0.50)
+
+
+def thresholds(
+    df: DataFrame, keys: Sequence[str], score: str, cost: str, qs: Sequence[float] = (0.5, 0.7, 0.85), fixed: Sequence[float] | None = None
+) -> DataFrame:
+    """Action thresholds per key, without repeats: the cost and quantiles of |score|, or a fixed list.
+
+    Quantiles are taken over distinct values with their counts, so a key's rows never meet in one place.
+    """
+    if fixed is not None:
+        return df.select(*keys).distinct().withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in fixed])))
+    folded = df.groupBy(*keys, F.abs(F.col(score)).alias("_a")).agg(F.count(F.lit(1)).alias("_f"))
+    q = folded.groupBy(*keys).agg(F.percentile("_a", F.array(*[F.lit(q) for q in qs]), F.col("_f")).alias("_q"))
+    costs = df.groupBy(*keys, F.col(cost).alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
+    c = costs.groupBy(*keys).agg(F.percentile("_v", F.lit(0.5), F.col("_f")).alias("_c"))
+    values = F.array_distinct(F.concat(F.array("_c"), F.coalesce("_q", F.array().cast("array<double>"))))
+    return c.join(q, list(keys), "left").select(*keys, F.explode(values).alias("threshold"))
 
 
 def choose(
-    df: DataFrame, keys: Sequence[str], candidate: str, score: str, actual: str, cost: str, min_share: float = 0.05, min_trades: int = 10
+    df: DataFrame, keys: Sequence[str], candidate: str, score: str, actual: str, cost: str, min_share: float = 0.05, min_trades: int = 10,
+    place: str | None = None, fixed: Sequence[float] | None = None,
 ) -> DataFrame:
     """Candidate and threshold with the best Sharpe, then net, among cells with enough trades.
 
-    A key where no cell trades enough gets an infinite threshold, i.e. no trade.
+    Equal cells go to the candidate listed first (`place` is its number in the list; without one its
+    name decides), then to the smallest threshold. A key where no cell trades enough gets the first
+    candidate and an infinite threshold, i.e. no trade. `fixed` thresholds replace those from the scores.
     """
     keys = list(keys)
-    grid = df.join(thresholds(df, [*keys, candidate], score, cost), [*keys, candidate])
+    place = place or candidate
+    first = list(dict.fromkeys([candidate, place]))
+    grid = df.join(thresholds(df, [*keys, *first], score, cost, fixed=fixed), [*keys, *first])
     pos = position(score, F.col("threshold"))
     cells = grid.withColumn("_pos", pos).withColumn("_net", F.col("_pos") * F.col(actual) - F.abs("_pos") * F.col(cost))
-    cells = cells.groupBy(*keys, candidate, "threshold").agg(
+    cells = cells.groupBy(*keys, *first, "threshold").agg(
         F.count(F.lit(1)).alias("_n"), F.sum((F.col("_pos") != 0).cast("long")).alias("trades"), F.sum("_net").alias("net"),
         (F.lit(math.sqrt(52.0)) * div(F.avg("_net"), F.stddev_samp("_net"))).alias("sharpe"),
     )
@@ -160,10 +215,10 @@ def choose(
     ok = F.col("trades") >= F.greatest(F.lit(min_trades), F.floor(F.col("_n") * min_share))
     low = F.lit(float("-inf"))
     rank = F.struct(
-        F.when(ok, -F.coalesce(F.round("sharpe", 9), low)).alias("a"), (-F.round("net", 9)).alias("b"), F.col(candidate).alias("c"), F.col("threshold").alias("d")
+        F.when(ok, -F.coalesce(F.round("sharpe", 9), low)).alias("a"), (-F.round("net", 9)).alias("b"), F.col(place).alias("c"), F.col("threshold").alias("d")
     )
     best = cells.groupBy(*keys).agg(
-        F.min_by(F.struct(candidate, "threshold", "trades", "net", "sharpe"), F.when(ok, rank)).alias("_s"), F.min(candidate).alias("_first")
+        F.min_by(F.struct(candidate, "threshold", "trades", "net", "sharpe"), F.when(ok, rank)).alias("_s"), F.min_by(candidate, place).alias("_first")
     )
     return best.select(
         *keys, F.coalesce(F.col(f"_s.{candidate}"), F.col("_first")).alias(candidate),

@@ -1,52 +1,67 @@
-"""Spark ML models inside folds.
+"""Models inside folds.
 
-A model is fitted per fold over all keys together, so the number of fits is the number of
-folds, not of keys. Spark ML trains on distributed rows; the driver only coordinates.
+Elastic nets are solved from moments, lazily, all folds and candidates in one pass. Classifiers and
+trees are Spark ML's: a model is fitted per fold and candidate over all keys together, on distributed
+rows; the driver only coordinates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fit_prep
+from .stats import moments
 
-def _prep(xs: Sequence[str]) -> list:
-    filled = [f"_i_{x}" for x in xs]
-    return [
-        Imputer(strategy="median", inputCols=list(xs), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
-    ]
 
+def fit_enet(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], grid: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Test rows scored by every elastic net of a grid: name -> (alpha, l1 share).
 
-def _clean(df: DataFrame, keep: Sequence[str], *extra: str) -> DataFrame:
-    return df.select(*keep, *extra)
-
-
-def enet_params(train: DataFrame, y: str, alpha: float, l1: float) -> tuple[float, float]:
-    """Penalty of the common (alpha, l1 share) form in Spark's normal-solver scale.
-
-    Spark scales the target by its standard deviation, so the quadratic part is rescaled by it.
+    Regressors are imputed and standardised on training rows (population deviation). The objective
+    needs only second moments, so the rows are read once for all folds and candidates; tasks then
+    descend coordinate by coordinate on the moments of their folds.
     """
-    sd = train.agg(F.stddev_pop(y)).first()[0] or 0.0
-    reg = alpha * l1 + alpha * (1 - l1) * sd
-    return (reg, alpha * l1 / reg) if reg > 0 else (0.0, 0.0)
-
-
-def fit_enet(train: DataFrame, test: DataFrame, y: str, xs: Sequence[str], alpha: float, l1: float) -> DataFrame:
-    reg, share = enet_params(train, y, alpha, l1)
-    est = LinearRegression(
-        featuresCol="_x", labelCol=y, predictionCol="score", solver="normal", regParam=reg, elasticNetParam=share, standardization=False
+    keys, p = list(keys), len(xs)
+    ready = fit_prep(df, keys, xs, F.col("role") == "train")
+    m = moments(ready, keys, y, xs, F.col("role") == "train")
+    packed = m.select(
+        *keys, "_my", F.array(*[f"_m{i}" for i in range(p)]).alias("_m"), F.array(*[f"_c{i}" for i in range(p)]).alias("_c"),
+        F.array(*[f"_s{min(i, j)}{max(i, j)}" for i in range(p) for j in range(p)]).alias("_s"),
     )
-    model = Pipeline(stages=[*_prep(xs), est]).fit(train)
-    return _clean(model.transform(test), test.columns, "score")
+
+    def descend(batches):
+        for pdf in batches:
+            mean, c = np.stack(pdf["_m"]).astype(float), np.stack(pdf["_c"]).astype(float)
+            gram = np.stack(pdf["_s"]).astype(float).reshape(-1, p, p)
+            for place, (name, (alpha, share)) in enumerate(grid.items()):
+                b = np.zeros_like(c)
+                for _ in range(10_000):
+                    before = b.copy()
+                    for j in range(p):
+                        left = c[:, j] - np.einsum("rk,rk->r", gram[:, j], b) + gram[:, j, j] * b[:, j]
+                        shrunk = np.sign(left) * np.maximum(np.abs(left) - alpha * share, 0)
+                        b[:, j] = shrunk / np.maximum(gram[:, j, j] + alpha * (1 - share), 1e-300)
+                    if np.abs(b - before).max(initial=0) < 1e-14:
+                        break
+                out = pdf[keys].copy()
+                out["candidate"], out["place"] = name, place
+                out["_a"] = pdf["_my"].to_numpy() - np.einsum("rk,rk->r", b, mean)
+                out["_b"] = list(b)
+                yield out
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*keys).schema.fields)
+    fits = packed.mapInPandas(descend, f"{fields}, candidate string, place int, _a double, _b array<double>")
+    rows = ready.filter("role = 'test'").join(fits, keys)
+    score = sum((F.col("_b")[i] * F.col(x) for i, x in enumerate(xs)), F.col("_a"))
+    return rows.withColumn("score", score).drop("_a", "_b")
 
 
 def three_way(gross: Column, cost: Column, buffer: float = 0.0025) -> Column:
@@ -56,36 +71,44 @@ def three_way(gross: Column, cost: Column, buffer: float = 0.0025) -> Column:
 
 
 def fit_logit(train: DataFrame, test: DataFrame, gross: str, cost: str, xs: Sequence[str], c: float = 1.0) -> DataFrame:
-    """Balanced three-class logistic; the score is P(gains) - P(loses)."""
+    """Balanced three-class logistic on prepared regressors; the score is P(gains) - P(loses)."""
     lab = train.withColumn("_label", three_way(F.col(gross), F.col(cost)))
     sizes = lab.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))  # at most three rows
     total = sizes.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    weights = sizes.crossJoin(F.broadcast(total)).select("_label", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_w"))
+    weights = sizes.crossJoin(F.broadcast(total)).select("_label", "_all", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_w"))
     lab = lab.join(F.broadcast(weights), "_label")
-    n = lab.count()
+    n = sizes.agg(F.sum("_n")).first()[0] or 1
     est = LogisticRegression(
-        featuresCol="_x", labelCol="_label", weightCol="_w", family="multinomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
+        featuresCol="_v", labelCol="_label", weightCol="_w", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0,
         probabilityCol="_p", rawPredictionCol="_rp", predictionCol="_pc", standardization=False, maxIter=100,
     )
-    model = Pipeline(stages=[*_prep(xs), est]).fit(lab)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(xs), outputCol="_v"), est]).fit(lab)
     p = vector_to_array("_p")
     out = model.transform(test).withColumn("score", F.coalesce(F.get(p, F.lit(2)), F.lit(0.0)) - F.coalesce(F.get(p, F.lit(0)), F.lit(0.0)))
-    return _clean(out, test.columns, "score")
+    return out.select(*test.columns, "score")
 
 
-def fit_gbt(train: DataFrame, test: DataFrame, y: str, xs: Sequence[str], depth: int = 3, trees: int = 10, rate: float = 0.1) -> DataFrame:
-    """Shallow boosted trees; same role as the usual histogram boosting, not the same numbers."""
-    est = GBTRegressor(featuresCol="_raw", labelCol=y, predictionCol="score", maxDepth=depth, maxIter=trees, stepSize=rate, seed=0)
-    model = Pipeline(stages=[*_prep(xs)[:2], est]).fit(train)
-    return _clean(model.transform(test), test.columns, "score")
+def fit_gbt(train: DataFrame, test: DataFrame, y: str, xs: Sequence[str], depth: int = 3, trees: int = 150, rate: float = 0.05) -> DataFrame:
+    """Shallow boosted trees on prepared regressors; same role as the usual histogram boosting, not the same numbers."""
+    est = GBTRegressor(featuresCol="_v", labelCol=y, predictionCol="score", maxDepth=depth, maxIter=trees, stepSize=rate, seed=0, checkpointInterval=-1)
+    model = Pipeline(stages=[VectorAssembler(inputCols=list(xs), outputCol="_v"), est]).fit(train)
+    return model.transform(test).select(*test.columns, "score")
 
 
-def by_fold(folds: DataFrame, fold_ids: Sequence[int], fit) -> DataFrame:
-    """Fit once per fold and stack the test scores."""
+def by_fold(folds: DataFrame, fold_ids: Sequence[int], xs: Sequence[str], fits: Mapping[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """Test scores of every candidate of every fold, stacked.
+
+    Regressors are imputed and standardised on each fold's training rows (population deviation). Spark
+    ML trains while the frame is built: a fold's prepared rows are kept in the executors meanwhile, so
+    the passes of a fit do not read the source again.
+    """
     from functools import reduce
 
+    ready = fit_prep(folds, ["fold"], xs, F.col("role") == "train").persist()
     parts = []
     for f in fold_ids:
-        rows = folds.filter(F.col("fold") == f)
-        parts.append(fit(rows.filter("role = 'train'"), rows.filter("role = 'test'")))
+        rows = ready.filter(F.col("fold") == f)
+        for place, (name, fit) in enumerate(fits.items()):
+            scored = fit(rows.filter("role = 'train'"), rows.filter("role = 'test'"))
+            parts.append(scored.withColumn("candidate", F.lit(name)).withColumn("place", F.lit(place)))
     return reduce(DataFrame.unionByName, parts)

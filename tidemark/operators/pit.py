@@ -208,12 +208,12 @@ def last_before_entry(df: DataFrame, keys: Sequence[str], entry: str, avail: str
 def latest_decision(
     df: DataFrame, keys: Sequence[str], date: str, signal: str, as_of_date: Column, max_age: int
 ) -> DataFrame:
-    """Newest decision at a date; a stale one becomes HOLD."""
+    """Newest decision at a date; a stale one becomes HOLD. Of several on one date the smallest signal counts."""
     from tidemark.functions.scalar import action
 
     seen = df.filter(F.col(date) <= as_of_date)
     out = seen.groupBy(*keys).agg(
-        F.max_by(F.col(signal), F.col(date)).alias("signal"), F.max(date).alias("decision_date")
+        F.max_by(F.col(signal), F.struct(F.col(date), -F.col(signal))).alias("signal"), F.max(date).alias("decision_date")
     )
     age = F.datediff(as_of_date, F.col("decision_date"))
     return out.select(
@@ -230,14 +230,15 @@ def issue_table(
 ) -> DataFrame:
     """Features frozen at issue dates.
 
-    `issues` has (year, issue_date, start, end): few rows per year, so the range join is an
-    equi-join on year with the bounds as residual. Only rows observed inside the window and
+    `issues` has (year, issue_date, start, end): few rows per year. Each issue is spread over the days
+    of its window, which may begin before New Year, so observations meet it by an equi-join on the
+    day and a long history has as many join keys as days. Only rows observed inside the window and
     published by the issue date count; a window with a missing day gives NULL.
     """
     keys = list(keys)
-    o = obs.withColumn("year", F.year(date))
+    days = issues.select("year", "issue_date", "start", "end", F.explode(F.sequence("start", "end")).alias(date))
     # The audit counts all rows of the window, the feature only the published ones.
-    j = o.join(issues, "year").filter(F.col(date).between(F.col("start"), F.col("end")))
+    j = obs.drop("year", "issue_date", "start", "end").join(days, date)
     seen = F.col(pub).isNotNull() & (F.col(pub) <= F.col("issue_date"))
     out = j.groupBy(*keys, "year", "issue_date").agg(
         F.max(F.datediff("end", "start") + 1).alias("expected_days"),

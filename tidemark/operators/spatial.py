@@ -1,10 +1,12 @@
-"""Point-in-polygon join of dated contours with a list of places."""
+"""Point-in-polygon join of dated contours with places."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import single_row
+
 
 def crossings(x: Column, y: Column, rings: Column) -> Column:
     """How many edges of all rings a ray to the right of (x, y) meets. Rings hold structs (lon, lat)."""
@@ -33,37 +35,43 @@ def bounds(rings: str) -> dict[str, Column]:
 
 
 def point_in_polygon(
-    points: DataFrame, polys: DataFrame, issues: DataFrame, keys: list[str], *, cell: float,
-    probability: str = "probability", category: str = "category", max_places: int = 10_000,
+    points: DataFrame, polys: DataFrame, keys: list[str], contour: str, *, cell: float,
+    probability: str = "probability", category: str = "category",
 ) -> DataFrame:
-    """Per (issue, point) the most probable contour around it; none means Normal at zero.
+    """The most probable contour around each covered (issue, point); equals go to the first contour.
+
+    points: point, lon, lat. polys: keys + `contour` (a name unique within the issue, in file order) +
+    rings + probability + category, and x0, x1, y0, y1 where the decoder already knows the bounding box.
 
-    points: point, lon, lat. polys: keys + rings + probability + category, and x0, x1, y0, y1
-    where the decoder already knows the bounding box. issues: keys. `cell` should be about as
-    wide as a contour, which then covers only a few cells.
-    Contours are spread over the grid cells of their bounding box and meet points by an
-    equi-join on the cell, so contours and points that are far apart are never paired.
+    Only the contours' names and boxes meet the points, by an equi-join on grid cells. A contour lies on
+    the grid whose cells, `cell` wide or a power of two times that, are as wide as itself: on at most
+    four cells, however large it is. A point lies on one cell of each grid. Rings are fetched by name for
+    the pairs that are left.
     """
     box = {n: F.col(n) for n in ("x0", "x1", "y0", "y1")} if "x0" in polys.columns else bounds("rings")
-    p = polys.select(*keys, "rings", probability, category, *[c.alias(f"_{n}") for n, c in box.items()])
+    boxes = polys.select(*keys, contour, *[c.alias(f"_{n}") for n, c in box.items()])
+    wide = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")) / cell
+    boxes = boxes.withColumn("_g", F.when(wide > 1, F.ceil(F.log2(wide))).otherwise(0).cast("int"))
+    width = F.lit(cell) * F.pow(F.lit(2.0), F.col("_g"))
 
     def cells(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+        return F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
 
-    p = p.withColumn("_cx", F.explode(cells("_x0", "_x1"))).withColumn("_cy", F.explode(cells("_y0", "_y1")))
-    q = points.select("point", "lon", "lat", F.floor(F.col("lon") / cell).alias("_cx"), F.floor(F.col("lat") / cell).alias("_cy"))
-    near = p.join(q, ["_cx", "_cy"]).filter(
+    spread = boxes.withColumn("_cx", cells("_x0", "_x1")).withColumn("_cy", cells("_y0", "_y1"))
+    top = boxes.agg(F.coalesce(F.max("_g"), F.lit(0)).alias("_top"))
+    on = points.select("point", "lon", "lat").crossJoin(single_row(top)).withColumn("_g", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    on = on.withColumn("_cx", F.floor(F.col("lon") / width)).withColumn("_cy", F.floor(F.col("lat") / width))
+    near = spread.join(on, ["_g", "_cx", "_cy"]).filter(
         F.col("lon").between(F.col("_x0"), F.col("_x1")) & F.col("lat").between(F.col("_y0"), F.col("_y1"))
-    )
-    inside = near.filter(contains(F.col("lon"), F.col("lat"), F.col("rings")))
-    best = inside.groupBy(*keys, "point").agg(
-        F.max(probability).alias(probability), F.max_by(category, probability).alias(category)
-    )
-    # Every issue speaks about every place. The place list is short configuration and travels in one
-    # row; a longer list fails instead of growing that row.
-    short = points.limit(max_places + 1).agg(F.collect_set("point").alias("_p"))
-    too_long = F.raise_error(F.lit(f"more than {max_places} places")).cast("boolean")
-    places = short.filter(F.when(F.size("_p") <= max_places, F.lit(True)).otherwise(too_long))
-    grid = issues.select(*keys).distinct().crossJoin(F.broadcast(places)).select(*keys, F.explode("_p").alias("point"))
-    out = grid.join(best, [*keys, "point"], "left")
+    ).select(*keys, contour, "point", "lon", "lat")
+    rings = polys.select(*keys, contour, "rings", probability, category)
+    inside = near.join(rings, [*keys, contour]).filter(contains(F.col("lon"), F.col("lat"), F.col("rings")))
+    # the highest probability, and among equals the smallest name
+    best = inside.groupBy(*keys, "point", probability).agg(F.min_by(category, contour).alias(category))
+    return best.groupBy(*keys, "point").agg(F.max_by(category, probability).alias(category), F.max(probability).alias(probability))
+
+
+def fill_normal(covered: DataFrame, asked: DataFrame, keys: list[str], category: str = "category") -> DataFrame:
+    """The (issue, point) pairs that are asked for; one that no contour covers is Normal."""
+    out = asked.join(covered, [*keys, "point"], "left")
     return out.withColumn("covered", F.col(category).isNotNull()).withColumn(category, F.coalesce(category, F.lit("Normal")))

@@ -1,8 +1,9 @@
 """Top-n, greedy thinning and lexicographic choice.
 
-Greedy folds are sequential by nature. They stay small because a series is first cut at
-points no earlier choice can reach across (islands): what happens before a cut cannot
-change what is kept after it. Each island is folded on its own.
+Greedy rules are sequential by nature. A series is first cut at points no earlier choice can
+reach across (islands): what happens before a cut cannot change what is kept after it. Each
+island is then gone through once, remembering only the last choice, so a dense key costs time in
+proportion to its rows.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by
+from .common import by, in_turn
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -21,28 +23,21 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
     return df.withColumn("_r", F.row_number().over(by(keys, *order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def _packed(df: DataFrame, first: Sequence[str], keys: Sequence[str]) -> Column:
-    """All non-key columns of a row as one struct that sorts by `first`."""
-    rest = [c for c in df.columns if c not in (*first, *keys, "_i")]
-    return F.struct(*first, *rest)
-
-
 def thin_rows(df: DataFrame, keys: Sequence[str], idx: str, horizon: int) -> DataFrame:
     """Rows spaced at least `horizon` positions apart, first one kept. One row per (key, idx)."""
     keys = list(keys)
     w = by(keys, idx)
     gap = F.col(idx) - F.lag(idx).over(w)
     cut = df.withColumn("_i", F.sum(F.when(gap < horizon, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    lists = cut.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(_packed(df, [idx], keys))).alias("_a"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.when(last.isNull() | (x[idx] - last >= horizon), F.concat(acc, F.array(x[idx]))).otherwise(acc)
+    def keep(at: list) -> list:
+        last, kept = None, []
+        for i in at:
+            kept.append(last is None or i - last >= horizon)
+            last = i if kept[-1] else last
+        return kept
 
-    empty = F.array().cast(f"array<{df.schema[idx].dataType.simpleString()}>")
-    folded = lists.select(*keys, "_a", F.aggregate("_a", empty, step).alias("_k"))
-    rows = folded.select(*keys, "_k", F.inline("_a"))
-    return rows.filter(F.array_contains("_k", F.col(idx))).select(*df.columns)
+    return in_turn(cut, [*keys, "_i"], [idx], [idx], keep, "_keep", T.BooleanType()).filter("_keep").select(*df.columns)
 
 
 def no_overlap(
@@ -52,8 +47,7 @@ def no_overlap(
 
     Rows are taken in `order` (entry, exit unless given). A zero signal and a suppressed one do
     not extend the block; a row without an entry is never executed. An island starts where every
-    later entry lies after every earlier exit. Rows travel with their island through the fold,
-    so nothing is joined back.
+    later entry lies after every earlier exit.
     """
     keys, first = list(keys), list(order) or [entry, exit]
     w = by(keys, *first)
@@ -68,20 +62,16 @@ def no_overlap(
     # Island numbers need the running extremes first, so they are a second window on the same partitioning.
     cut = df.withColumn("_i", F.when(soonest <= busiest, 0).otherwise(1))
     cut = cut.withColumn("_i", F.sum("_i").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    lists = cut.groupBy(*keys, "_i").agg(F.array_sort(F.collect_list(_packed(df, first, keys))).alias("_a"))
-    date = df.schema[exit].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(date).alias("last"), F.lit(0).alias("pos"), F.array().cast("array<int>").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        take = x[entry].isNotNull() & (x[signal] != 0) & (acc["last"].isNull() | (x[entry] > acc["last"]))
-        return F.struct(
-            F.when(take, x[exit]).otherwise(acc["last"]).alias("last"), (acc["pos"] + 1).alias("pos"),
-            F.when(take, F.concat(acc["kept"], F.array(acc["pos"]))).otherwise(acc["kept"]).alias("kept"),
-        )
+    def execute(entries: list, exits: list, signals: list) -> list:
+        last, out_of = None, []
+        for e, x, s in zip(entries, exits, signals):
+            take = e is not None and bool(s) and (last is None or e > last)
+            out_of.append(s if take else 0)
+            last = x if take else last
+        return out_of
 
-    folded = lists.select(*keys, "_a", F.aggregate("_a", start, step, lambda acc: acc["kept"]).alias("_k"))
-    rows = folded.select(*keys, "_k", F.posexplode("_a").alias("_p", "_r")).select(*keys, "_k", "_p", "_r.*")
-    return rows.select(*df.columns, F.when(F.array_contains("_k", F.col("_p")), F.col(signal)).otherwise(0).alias(out))
+    return in_turn(cut, [*keys, "_i"], first, [entry, exit, signal], execute, out, df.schema[signal].dataType).select(*df.columns, out)
 
 
 def pick_best(df: DataFrame, keys: Sequence[str], candidate: Sequence[str], sharpe: str, net: str) -> DataFrame:

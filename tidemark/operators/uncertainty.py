@@ -8,13 +8,14 @@ blocks and nothing is shuffled per draw.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import by
-from .topk import no_overlap
+from pyspark.sql import types as T
 
 
 def pick(seed: int, draw: Column, slot: Column, n: Column) -> Column:
@@ -59,25 +60,40 @@ def row_bootstrap(df: DataFrame, keys: Sequence[str], row: str, a: str, b: str,
     return counts.join(summary(means, keys, "mean"), list(keys))
 
 
+def _places(seed: int, draw: int, slots: Sequence, n: int) -> list[int]:
+    """What `pick` gives for each slot of a draw."""
+    return [int(hashlib.md5(f"{seed}:{draw}:{s}".encode()).hexdigest()[:8], 16) % n for s in slots]
+
+
 def coef_bootstrap(
     df: DataFrame, keys: Sequence[str], row: str, y: str, xs: Sequence[str], draws: int, seed: int, min_distinct: int = 4
 ) -> DataFrame:
-    """Coefficient of the first of two regressors over resamples of rows; thin draws are skipped.
+    """Coefficient of the first regressor over resamples of a record's rows; thin draws are skipped.
 
-    A draw regresses on the rows it picked: one row of the record is copied as often as it is
-    drawn, and all draws are solved together from their moments.
+    A draw is a count per row, and its moments are those counts times the rows' products, for all draws
+    at once. A record (one key's harvests) is short; nothing is copied per draw.
     """
-    from .stats import moments, slopes
-
-    rows = df.dropna(subset=[y, *xs])
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(row, y, *xs))).alias("_a"))
-    d = packed.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    n = F.size("_a")
-    idx = F.transform(F.sequence(F.lit(1), n), lambda s: pick(seed, F.col("draw"), s, n).cast("int"))
-    d = d.withColumn("_i", idx).filter(F.size(F.array_distinct("_i")) >= min_distinct)
-    long = d.select(*keys, "draw", "_a", F.explode("_i").alias("_j")).withColumn("_r", F.get("_a", F.col("_j"))).select(*keys, "draw", "_r.*")
-    m = moments(long, [*keys, "draw"], y, xs).withColumn("coefficient", slopes(len(xs))[0])
-    return summary(m, keys, "coefficient")
+    keys, names = list(keys), [y, *xs]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(row, "ascending")])
+        n = table.num_rows
+        v = np.column_stack([table[c].to_numpy() for c in names]).astype(float)
+        v = v - v.mean(axis=0)
+        counts = np.array([np.bincount(_places(seed, d, range(1, n + 1), n), minlength=n) for d in range(1, draws + 1)], float)
+        counts = counts[(counts > 0).sum(axis=1) >= min_distinct]
+        mean = counts @ v / n
+        products = (v[:, :, None] * v[:, None, :]).reshape(n, -1)
+        cov = (counts @ products / n).reshape(-1, len(names), len(names)) - mean[:, :, None] * mean[:, None, :]
+        solved = np.full(len(counts), np.nan)
+        fine = np.abs(np.linalg.det(cov[:, 1:, 1:])) > 0
+        solved[fine] = np.linalg.solve(cov[fine, 1:, 1:], cov[fine, 1:, :1])[:, 0, 0]
+        out = [pa.repeat(table[k][0], len(counts)) for k in keys]
+        return pa.table([*out, pa.array(solved, from_pandas=True)], names=[*keys, "coefficient"])
+
+    rows = df.dropna(subset=names).select(*keys, row, *[F.col(c).cast("double").alias(c) for c in names])
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("coefficient", T.DoubleType())])
+    return summary(rows.groupBy(*keys).applyInArrow(run, schema), keys, "coefficient")
 
 
 def circular_null(
@@ -85,19 +101,48 @@ def circular_null(
 ) -> DataFrame:
     """Total net when each year's raw signals are rolled by a random offset and the overlap rule re-applied.
 
-    A year's signals travel as one array (at most one per day); a draw only changes the index
-    each row reads, so the rolled ledger needs no join per draw.
+    A year of n rows has n rolls. For all of them at once one pass from the year's end gives, for every
+    row from which trading is free again, the total of the rest of the year and the last exit. A draw
+    then only chains its years: the last exit tells where the next year starts. Years follow one
+    another in time, and entries do not go back within a year. A key's rows are bounded by the calendar.
     """
     keys = list(keys)
-    packed = df.groupBy(*keys, block).agg(F.array_sort(F.collect_list(F.struct(date, raw))).alias("_a"))
-    rows = df.withColumn("_i", F.row_number().over(by([*keys, block], date)) - 1).join(packed, [*keys, block])
-    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    n = F.size("_a")
-    offset = pick(seed, F.col("draw"), F.col(block), n)
-    rows = rows.withColumn("_s", F.get("_a", F.pmod(F.col("_i") - offset, n).cast("int"))[raw])
-    run = no_overlap(rows.select(*keys, "draw", date, entry, exit, gross, cost, "_s"), [*keys, "draw"], entry, exit, "_s", "_x")
-    net = F.col("_x") * F.col(gross) - F.abs("_x") * F.col(cost)
-    return run.groupBy(*keys, "draw").agg(F.sum(net).alias("total"))
+
+    def days(column: pa.ChunkedArray) -> np.ndarray:
+        return column.cast(pa.int32()).to_numpy().astype(float)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_b", "ascending"), ("_d", "ascending")])
+        starts = table["_b"].to_pylist()
+        last, total = np.full(draws, -np.inf), np.zeros(draws)
+        for name in dict.fromkeys(starts):
+            part = table.filter(pa.array([b == name for b in starts]))
+            n = part.num_rows
+            e, x = days(part["_e"]), days(part["_x"])
+            signal = np.nan_to_num(part["_s"].to_numpy().astype(float))
+            g, c = np.nan_to_num(part["_g"].to_numpy()), np.nan_to_num(part["_c"].to_numpy())
+            known = ~np.isnan(e)
+            e = np.where(known, e, np.inf)
+            rolled = signal[(np.arange(n)[:, None] - np.arange(n)[None, :]) % n] * known[:, None]  # row x offset
+            free = np.maximum(np.searchsorted(e, x, side="right"), np.arange(n) + 1)
+            rest, out = np.zeros((n + 1, n)), np.full((n + 1, n), -np.inf)
+            for i in range(n - 1, -1, -1):
+                live = rolled[i] != 0
+                rest[i] = np.where(live, rolled[i] * g[i] - np.abs(rolled[i]) * c[i] + rest[free[i]], rest[i + 1])
+                out[i] = np.where(live, np.maximum(x[i], out[free[i]]), out[i + 1])
+            offset = np.array([_places(seed, d, [name], n)[0] for d in range(1, draws + 1)])
+            first = np.searchsorted(e, last, side="right")
+            total += rest[first, offset]
+            last = np.maximum(last, out[first, offset])
+        names = [pa.repeat(table[k][0], draws) for k in keys]
+        return pa.table([*names, pa.array(range(1, draws + 1), pa.int32()), pa.array(total)], names=[*keys, "draw", "total"])
+
+    rows = df.select(
+        *keys, F.col(block).alias("_b"), F.unix_date(date).alias("_d"), F.col(entry).alias("_e"), F.col(exit).alias("_x"),
+        F.col(raw).cast("double").alias("_s"), F.col(gross).cast("double").alias("_g"), F.col(cost).cast("double").alias("_c"),
+    )
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("draw", T.IntegerType()), T.StructField("total", T.DoubleType())])
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
 def null_p(observed: DataFrame, null: DataFrame, keys: Sequence[str], obs: str, value: str) -> DataFrame:

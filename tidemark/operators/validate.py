@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +134,3 @@ def cost_stress(df: DataFrame, keys: Sequence[str], multipliers: Sequence[float]
     """Frozen actions repriced at several cost multiples."""
     cells = [F.sum(net_of("signal", "gross", "cost", m)).alias(f"net_x{m:g}") for m in multipliers]
     return df.groupBy(*keys).agg(*cells)
-
-
-def stack_results(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -317,8 +317,10 @@ def lead_lag_frame(df: DataFrame, keys: Sequence[str], idx: str, x: str, y: str,
 
 
 def pct_rank(df: DataFrame, keys: Sequence[str], c: str, out: str) -> DataFrame:
-    """Average rank / n of a value within its key's record."""
-    below = F.rank().over(by(keys, c))
+    """Average rank / n of a value within its key's record; rows without a value have none and count for none."""
+    known = F.col(c).isNotNull()
+    w = W.partitionBy(*keys, known)
+    below = F.rank().over(w.orderBy(c))
     ties = F.count(F.lit(1)).over(W.partitionBy(*keys, c))
     n = F.count(c).over(W.partitionBy(*keys))
-    return df.withColumn(out, (below + (ties - 1) / F.lit(2.0)) / n)
+    return df.withColumn(out, F.when(known, (below + (ties - 1) / F.lit(2.0)) / n))

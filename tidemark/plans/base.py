@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.common import if_small
-
 from .registry import Tables, shared
 
 
@@ -78,7 +76,7 @@ def places(t: Tables) -> DataFrame:
 
 @shared
 def small_places(t: Tables) -> DataFrame:
-    return if_small(places(t), t.supplier)
+    return places(t)
 
 
 @shared
@@ -165,7 +163,7 @@ grid AS (
 @shared
 def homes(t: Tables) -> DataFrame:
     named = t.customer.withColumnRenamed("c_nationkey", "s_nationkey").join(F.broadcast(states(t)), "s_nationkey")
-    return if_small(named.select(F.col("c_custkey").alias("o_custkey"), F.col("belt").alias("k")), t.customer)
+    return named.select(F.col("c_custkey").alias("o_custkey"), F.col("belt").alias("k"))
 
 
 @shared

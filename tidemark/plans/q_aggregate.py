@@ -57,22 +57,28 @@ def _(t):
     )
 
 
+AG4_HOLES = "CASE WHEN (point + month(month)) % 37 = 0 THEN NULL ELSE rain END AS rain, CASE WHEN (point + year(month)) % 41 = 0 AND month > DATE '1995-06-01' THEN NULL ELSE month + 40 END AS pub"
+
+
 @query(
     "ag4_strict_nested_mean",
-    with_sql(OBS) + """, m AS (SELECT belt, state, point, CAST(date_trunc('month', d) AS DATE) AS month, avg(rain) AS rain FROM obs GROUP BY 1, 2, 3, 4),
-    f AS (SELECT belt, min(month) AS first FROM m GROUP BY 1),
-    ref AS (SELECT DISTINCT m.belt, m.point FROM m JOIN f ON m.belt = f.belt AND m.month = f.first),
-    n AS (SELECT belt, count(*) AS n FROM ref GROUP BY 1),
-    ok AS (SELECT m.belt, m.month FROM m JOIN ref ON m.belt = ref.belt AND m.point = ref.point JOIN n ON n.belt = m.belt
-      GROUP BY m.belt, m.month, n.n HAVING count(*) = n.n),
-    s AS (SELECT m.belt, m.state, m.month, avg(m.rain) AS rain FROM m JOIN ref ON m.belt = ref.belt AND m.point = ref.point
-      JOIN ok ON ok.belt = m.belt AND ok.month = m.month GROUP BY 1, 2, 3)
-    SELECT belt, month, avg(rain) AS rain, count(*) AS groups FROM s GROUP BY 1, 2""",
+    with_sql(OBS) + f""", m0 AS (SELECT belt, state, point, CAST(date_trunc('month', d) AS DATE) AS month, avg(rain) AS rain FROM obs GROUP BY 1, 2, 3, 4),
+    m AS (SELECT belt, state, point, month, {AG4_HOLES} FROM m0),
+    ref AS (SELECT belt, state, point FROM m WHERE (belt, month) IN (SELECT (belt, min(month)) FROM m GROUP BY belt)),
+    n AS (SELECT belt, state, count(*) AS n FROM ref GROUP BY 1, 2),
+    c AS (SELECT m.belt, m.state, m.month, avg(rain) AS rain, max(pub) AS pub, n.n FROM m JOIN ref USING (belt, state, point) JOIN n ON n.belt = m.belt AND n.state = m.state
+      GROUP BY 1, 2, 3, n.n HAVING count(*) = n.n AND count(rain) = n.n AND count(pub) = n.n)
+    SELECT belt, month, avg(rain) AS rain, max(pub) AS pub FROM c GROUP BY belt, month
+    HAVING count(*) = (SELECT count(*) FROM n WHERE n.belt = c.belt)""",
     d="rain",
 )
 def _(t):
     m = obs(t).groupBy("belt", "state", "point", F.trunc("d", "month").alias("month")).agg(F.avg("rain").alias("rain"))
-    return AG.strict_nested_mean(m, "belt", "state", "point", "month", "rain")
+    # some values and some publication dates are taken away, by place and month
+    rain = F.when((F.col("point") + F.month("month")) % 37 != 0, F.col("rain"))
+    late = ((F.col("point") + F.year("month")) % 41 == 0) & (F.col("month") > F.lit("1995-06-01").cast("date"))
+    m = m.select("belt", "state", "point", "month", rain.alias("rain"), F.when(~late, F.date_add("month", 40)).alias("pub"))
+    return AG.strict_nested_mean(m, "belt", "state", "point", "month", "rain", "pub").select("belt", "month", "rain", "pub")
 
 
 @query(

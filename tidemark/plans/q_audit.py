@@ -38,6 +38,17 @@ def _(t):
     return AU.audit_panel(p, "root", ["d", "root", "contract"], AU.panel_rules("root", TICKS, LETTERS), ["A", "N", "R", "Z"])
 
 
+@query(
+    "au1_audit_without_columns",
+    with_sql(AUD) + """SELECT severity, code, rows, examples FROM c JOIN x USING (code) WHERE code <> 'INVALID_MARGIN' UNION ALL SELECT 'ERROR', 'MISSING_ROOTS', 1, 'Z'
+    UNION ALL SELECT 'BLOCKER', 'MISSING_MARGIN', count(*), NULL FROM panel UNION ALL SELECT 'WARNING', 'MISSING_VOLUME', count(*), NULL FROM panel
+    UNION ALL SELECT 'WARNING', 'MISSING_OPEN_INTEREST', count(*), NULL FROM panel""",
+)
+def _(t):
+    p = panel(t).drop("volume", "oi")
+    return AU.audit_panel(p, "root", ["d", "root", "contract"], AU.panel_rules("root", TICKS, LETTERS), ["A", "N", "R", "Z"])
+
+
 @query(
     "au2_session_gaps",
     with_sql(PANEL) + f""", g AS (SELECT root, contract, d, lag(d) OVER (PARTITION BY root, contract ORDER BY d) AS previous FROM panel),

@@ -132,15 +132,25 @@ def _(t):
 POOL = """, pool AS (SELECT k, d, idx, window_sum FROM (SELECT k, d, idx, n, sum(r) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS window_sum FROM sidx)
   WHERE idx - 10 >= 1 AND idx + 10 <= n AND month(d) BETWEEN 4 AND 9),
 size AS (SELECT k, count(*) AS n FROM ev GROUP BY 1),
-drawn AS (SELECT pool.k, draw, window_sum, size.n, row_number() OVER (PARTITION BY pool.k, draw ORDER BY md5('11:' || CAST(draw AS VARCHAR) || ':' || CAST(idx AS VARCHAR)), idx) AS rn
-  FROM pool JOIN size ON size.k = pool.k CROSS JOIN generate_series(1, 100) g(draw)),
-dist AS (SELECT k, draw, avg(window_sum) AS mean, count(window_sum) AS n FROM drawn WHERE rn <= n GROUP BY 1, 2)"""
+packed AS (SELECT p.k, list(window_sum ORDER BY idx) AS a, any_value(size.n) AS n FROM pool p JOIN size ON size.k = p.k GROUP BY 1 HAVING count(*) >= any_value(size.n)),
+"""
+
+
+def floyd_sql(seed: int, what: str, n: str, size: str) -> str:
+    """Places of a draw without replacement, from 0: for j from size - n, a digest's place up to j, or j if that is taken."""
+    steps = f"list_transform(range(CAST({size} - {n} AS BIGINT), CAST({size} AS BIGINT)), lambda j: [CAST('0x' || substr(md5('{seed}:' || {what} || ':' || CAST(j AS VARCHAR)), 1, 8) AS BIGINT) % (j + 1), j])"
+    return f"list_reduce({steps}, lambda acc, x: list_append(acc, CASE WHEN list_contains(acc, x[1]) THEN x[2] ELSE x[1] END), []::BIGINT[])"
+
+
+POOL += f"""picks AS (SELECT k, draw, a, {floyd_sql(11, 'CAST(draw AS VARCHAR)', 'n', 'len(a)')} AS i FROM packed CROSS JOIN generate_series(1, 2000) g(draw)),
+vals AS (SELECT k, draw, list_filter(list_transform(i, lambda x: a[x + 1]), lambda x: x IS NOT NULL) AS v FROM picks),
+dist AS (SELECT k, draw, list_sum(v) / len(v) AS mean, len(v) AS n FROM vals)"""
 
 
 def placebo(t):
     pool = EV.day_sums(series(t), ["k"], "d", "r", 1, 10, 10, 10).filter(F.month("d").between(4, 9))
     size = picked(t).groupBy("k").agg(F.count(F.lit(1)).alias("n_events"))
-    return EV.placebo(pool.select("k", "idx", "window_sum"), size, ["k"], "idx", "window_sum", "n_events", 100, 11)
+    return EV.placebo(pool.select("k", "idx", "window_sum"), size, ["k"], "idx", "window_sum", "n_events", 2000, 11)
 
 
 @query("ev7_placebo", rec(WEEK, ORDK, SERIES) + POOL + "SELECT * FROM dist", d="mean")
@@ -203,13 +213,14 @@ def _(t):
 MATCH = """, pool AS (SELECT g.k, year(g.d) AS year, g.d, g.r FROM ser g WHERE month(g.d) IN (6, 7, 8) AND g.r IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.k = g.k AND abs(ev.pub - g.d) <= 10)),
 size AS (SELECT k, year(pub) AS year, count(*) AS n FROM ev WHERE month(pub) IN (6, 7, 8) GROUP BY 1, 2),
-drawn AS (SELECT p.k, draw, p.r, size.n, row_number() OVER (PARTITION BY p.k, p.year, draw ORDER BY md5('590:' || CAST(draw AS VARCHAR) || ':' || CAST(p.d AS VARCHAR)), p.d) AS rn
-  FROM pool p JOIN size ON size.k = p.k AND size.year = p.year CROSS JOIN generate_series(1, 100) g(draw))"""
+packed AS (SELECT s.k, s.year, s.n, list(p.r ORDER BY p.d) AS a FROM size s JOIN pool p ON p.k = s.k AND p.year = s.year GROUP BY 1, 2, 3),
+drawn AS (SELECT k, draw, list_sum(list_transform(""" + floyd_sql(590, "CAST(draw AS VARCHAR) || ':' || CAST(year AS VARCHAR)", "n", "len(a)") + """, lambda x: a[x + 1])) AS total, n
+  FROM packed CROSS JOIN generate_series(1, 10000) g(draw))"""
 
 
 @query(
     "ev11_matched_null",
-    rec(WEEK, ORDK, SERIES) + MATCH + "SELECT k, draw, avg(r) AS mean, count(r) AS n FROM drawn WHERE rn <= n GROUP BY 1, 2",
+    rec(WEEK, ORDK, SERIES) + MATCH + "SELECT k, draw, sum(total) / sum(n) AS mean, CAST(sum(n) AS BIGINT) AS n FROM drawn GROUP BY 1, 2",
     d="mean",
 )
 def _(t):
@@ -217,7 +228,7 @@ def _(t):
     days = series(t).filter(F.month("d").isin(6, 7, 8) & F.col("r").isNotNull())
     pool = EV.matched_pool(days, ev, ["k"], "d", 10).withColumn("year", F.year("d"))
     sizes = ev.filter(F.month("d").isin(6, 7, 8)).groupBy("k", F.year("d").alias("year")).agg(F.count(F.lit(1)).alias("n_events"))
-    return EV.matched_null(pool, sizes, ["k"], "year", "d", "r", "n_events", 100, 590)
+    return EV.matched_null(pool, sizes, ["k"], "year", "d", "r", "n_events", 10000, 590)
 
 
 @query(

@@ -11,28 +11,38 @@ from .base import BELT, PANEL, belt, panel, with_sql
 from .q_windows import busday_sql
 from .registry import query
 
-FOLD = f"trim(translate(lower({{c}}), '{S.ACCENTED}', '{S.BASE}'))"
+FOLD = "trim(lower(regexp_replace(strip_accents({c}), '[^\\x00-\\x7F]+', '', 'g')))"
+# Texts and names with decomposed accents, letters of the extended ranges and letters without a base.
+NAMED = "SELECT {k}, {c} || CASE {k} % 4 WHEN 0 THEN ' Škoda Łódź' WHEN 1 THEN ' Co' || chr(770) || 'te d''Ivoire' WHEN 2 THEN ' Żižkův Ǻ ẞß' ELSE '' END AS {c} FROM {t}"
 
 
-@query("fn1_fold", f"SELECT doc_id, md5({FOLD.format(c='text')}) AS folded FROM documents")
+def named(df, key, c):
+    tail = F.when(F.col(key) % 4 == 0, " Škoda Łódź").when(F.col(key) % 4 == 1, " Co\u0302te d'Ivoire").when(F.col(key) % 4 == 2, " Żižkův Ǻ ẞß")
+    return df.withColumn(c, F.concat(c, F.coalesce(tail, F.lit(""))))
+
+
+@query("fn1_fold", f"SELECT doc_id, md5({FOLD.format(c='text')}) AS folded FROM ({NAMED.format(k='doc_id', c='text', t='documents')})")
 def _(t):
-    return t.documents.select("doc_id", F.md5(S.fold("text")).alias("folded"))
+    return named(t.documents, "doc_id", "text").select("doc_id", F.md5(S.fold("text")).alias("folded"))
 
 
 @query(
     "fn2_starts_with_any",
-    f"""SELECT doc_id, lang, starts_with({FOLD.format(c='text')}, 'ea') OR starts_with({FOLD.format(c='text')}, 'e') OR starts_with({FOLD.format(c='text')}, 'th') AS hit FROM documents""",
+    f"""SELECT doc_id, starts_with(f, 'ea') OR starts_with(f, 'e') OR starts_with(f, 'th') AS hit
+    FROM (SELECT doc_id, {FOLD.format(c='text')} AS f FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'E' || chr(769) || text WHEN 1 THEN 'ĘA' || text ELSE text END AS text FROM documents))""",
 )
 def _(t):
-    return t.documents.select("doc_id", "lang", S.starts_with_any("text", ["Êa", "É", "Th"]).alias("hit"))
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("E\u0301"), "text")).when(k == 1, F.concat(F.lit("ĘA"), "text")).otherwise(F.col("text"))
+    return t.documents.withColumn("text", text).select("doc_id", S.starts_with_any("text", ["Êa", "É", "Th"]).alias("hit"))
 
 
 @query(
     "fn3_slug",
-    f"SELECT page_id, regexp_replace(regexp_replace({FOLD.format(c='url')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages",
+    f"SELECT page_id, regexp_replace(regexp_replace({FOLD.format(c='url')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM ({NAMED.format(k='page_id', c='url', t='pages')})",
 )
 def _(t):
-    return t.pages.select("page_id", S.slug("url").alias("slug"))
+    return named(t.pages, "page_id", "url").select("page_id", S.slug("url").alias("slug"))
 
 
 IDS = """codes AS (SELECT s_suppkey, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code,

@@ -9,7 +9,7 @@ from tidemark.operators import joins as JN
 from tidemark.operators import spatial
 from tidemark.operators import windows as WN
 
-from .base import ANNUAL, BELT, DAILY, LOG, OBS, ORDK, PANEL, annual, belt, belt_state, daily, grid, log, obs, ordk, panel, states, with_sql
+from .base import ANNUAL, BELT, DAILY, LOG, OBS, ORDK, PANEL, annual, belt, belt_state, daily, grid, log, obs, ordk, panel, small_places, states, with_sql
 from .q_windows import busday_sql
 from .registry import query
 
@@ -37,7 +37,8 @@ def _(t):
 # Contours are diamonds (some with a diamond hole) around a reading; places are the 25 nations.
 POLY = """iss AS (
   SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS issued, l_quantity * 2 AS cx, round(l_discount * 1000) AS cy, round(l_tax * 200) + 3 AS r,
-    l_returnflag = 'R' AS hole, 33.0 + 5 * l_linenumber AS probability, CASE WHEN l_linenumber IN (1, 3, 5, 7) THEN 'Above' ELSE 'Below' END AS category FROM lineitem),
+    l_returnflag = 'R' AS hole, 33.0 + 10 * (l_linenumber % 4) AS probability,
+    CASE WHEN l_partkey % 2 = 0 THEN 'Above' ELSE 'Below' END AS category, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS contour FROM lineitem),
 pts AS (SELECT n_name AS point, n_nationkey * 4 + 0.5 AS lon, (n_nationkey * 17) % 100 + 0.3 AS lat FROM nation)"""
 
 
@@ -53,30 +54,36 @@ def contours(t):
 
     p = t.lineitem.select(
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("issued"), cx.alias("cx"), cy.alias("cy"), r.alias("r"),
-        "l_returnflag", (F.lit(33.0) + 5 * F.col("l_linenumber")).alias("probability"),
-        F.when(F.col("l_linenumber").isin(1, 3, 5, 7), "Above").otherwise("Below").alias("category"),
+        "l_returnflag", (F.lit(33.0) + 10 * (F.col("l_linenumber") % 4)).alias("probability"),
+        # probabilities repeat within an issue, with either category
+        F.when(F.col("l_partkey") % 2 == 0, "Above").otherwise("Below").alias("category"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("contour"),
     )
     rings = F.when(F.col("l_returnflag") == "R", F.array(ring(1.0), ring(0.5))).otherwise(F.array(ring(1.0)))
     r = F.col("r")
     box = {"x0": F.col("cx") - r, "x1": F.col("cx") + r, "y0": F.col("cy") - r, "y1": F.col("cy") + r}
-    return p.select("issued", rings.alias("rings"), "probability", "category", *[c.alias(n) for n, c in box.items()])
+    return p.select("issued", "contour", rings.alias("rings"), "probability", "category", *[c.alias(n) for n, c in box.items()])
 
 
 @query(
     "jn3_point_in_polygon",
     with_sql(POLY) + """, hit AS (
-      SELECT issued, point, max(probability) AS probability, arg_max(category, probability) AS category FROM iss, pts
-      WHERE abs(lon - cx) + abs(lat - cy) < r AND NOT (hole AND abs(lon - cx) + abs(lat - cy) < r / 2) GROUP BY 1, 2)
-    SELECT i.issued, p.point, h.probability, coalesce(h.category, 'Normal') AS category, h.category IS NOT NULL AS covered
-    FROM (SELECT DISTINCT issued FROM iss) i CROSS JOIN pts p LEFT JOIN hit h ON h.issued = i.issued AND h.point = p.point""",
+      SELECT issued, point, probability, category, row_number() OVER (PARTITION BY issued, point ORDER BY probability DESC, contour) AS place FROM iss, pts
+      WHERE abs(lon - cx) + abs(lat - cy) < r AND NOT (hole AND abs(lon - cx) + abs(lat - cy) < r / 2)),
+    asked AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) AS issued, n_name AS point FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+    SELECT a.issued, a.point, h.probability, coalesce(h.category, 'Normal') AS category, h.category IS NOT NULL AS covered
+    FROM asked a LEFT JOIN hit h ON h.issued = a.issued AND h.point = a.point AND h.place = 1""",
     d="probability",
 )
 def _(t):
     pts = t.nation.select(
         F.col("n_name").alias("point"), (F.col("n_nationkey") * 4 + 0.5).alias("lon"), ((F.col("n_nationkey") * 17) % 100 + 0.3).alias("lat")
     )
-    issues = t.lineitem.select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("issued"))
-    return spatial.point_in_polygon(pts, contours(t), issues, ["issued"], cell=25.0)
+    # asked for: the places that shipped something in the week of the issue
+    homes = small_places(t).select(F.col("point").alias("l_suppkey"), F.col("state").alias("point"))
+    asked = t.lineitem.select("l_suppkey", F.to_date(F.date_trunc("week", "l_shipdate")).alias("issued")).distinct().join(homes, "l_suppkey")
+    covered = spatial.point_in_polygon(pts, contours(t), ["issued"], "contour", cell=2.0)
+    return spatial.fill_normal(covered, asked.select("issued", "point").distinct(), ["issued"])
 
 
 @query(

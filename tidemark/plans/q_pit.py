@@ -175,18 +175,20 @@ def _(t):
 ISSUES = """issues AS (
   SELECT DISTINCT CAST(year(l_shipdate) AS BIGINT) AS year, m,
     make_date(CAST(year(l_shipdate) AS INTEGER), m, 5) AS issue_date,
-    make_date(CAST(year(l_shipdate) AS INTEGER), 5, 1) AS s, make_date(CAST(year(l_shipdate) AS INTEGER), m, 1) - 1 AS e
-  FROM lineitem, (VALUES (7), (8), (9)) v(m))"""
+    CASE m WHEN 2 THEN make_date(CAST(year(l_shipdate) AS INTEGER) - 1, 11, 1) ELSE make_date(CAST(year(l_shipdate) AS INTEGER), 5, 1) END AS s,
+    make_date(CAST(year(l_shipdate) AS INTEGER), m, 1) - 1 AS e
+  FROM lineitem, (VALUES (2), (7), (8), (9)) v(m))"""
 
 
 @shared
 def issues(t):
     return (
         t.lineitem.select(F.year("l_shipdate").alias("year")).distinct()
-        .select("year", F.explode(F.array(*[F.lit(m) for m in (7, 8, 9)])).alias("m"))
+        .select("year", F.explode(F.array(*[F.lit(m) for m in (2, 7, 8, 9)])).alias("m"))
         .select(
             "year", F.make_date("year", "m", F.lit(5)).alias("issue_date"),
-            F.make_date("year", F.lit(5), F.lit(1)).alias("start"),
+            # the February issue looks back over New Year
+            F.when(F.col("m") == 2, F.make_date(F.col("year") - 1, F.lit(11), F.lit(1))).otherwise(F.make_date("year", F.lit(5), F.lit(1))).alias("start"),
             F.date_sub(F.make_date("year", "m", F.lit(1)), 1).alias("end"),
         )
     )
@@ -197,7 +199,7 @@ def issues(t):
     with_sql(TIMELINE, ISSUES) + """, j AS (
       SELECT t.k, i.year, i.issue_date, t.map_date, t.tmax, t.pub, i.e - i.s + 1 AS expected,
              t.pub IS NOT NULL AND t.pub <= i.issue_date AS seen
-      FROM timeline t JOIN issues i ON year(t.map_date) = i.year AND t.map_date BETWEEN i.s AND i.e)
+      FROM timeline t JOIN issues i ON t.map_date BETWEEN i.s AND i.e)
     SELECT k, year, issue_date, max(expected) AS expected_days, count(DISTINCT map_date) FILTER (seen) AS seen_days,
            max(pub) FILTER (seen) AS last_publication, count(*) FILTER (NOT seen) AS late_rows,
            CASE WHEN count(DISTINCT map_date) FILTER (seen) = max(expected) THEN avg(tmax) FILTER (seen) END AS feature
@@ -266,19 +268,21 @@ def _(t):
 @query(
     "pit18_latest_decision",
     with_sql(DAILY) + """, s AS (
-      SELECT k, d, CASE WHEN px > 250000 THEN 1 ELSE -1 END AS signal FROM daily
-      WHERE px > 450000 OR px < 50000),
-    l AS (SELECT k, max(d) AS decision_date, arg_max(signal, d) AS signal FROM s WHERE d <= DATE '1999-06-30' GROUP BY k)
+      SELECT k, d, CASE WHEN px > 200000 THEN 1 WHEN px > 120000 THEN 0 ELSE -1 END AS signal FROM daily
+      UNION ALL SELECT k, d, 1 FROM daily WHERE day(d) % 2 = 1),
+    l AS (SELECT k, max(d) AS decision_date, max(d) FILTER (signal <> 0) AS last_active FROM s WHERE d <= DATE '1999-06-30' GROUP BY k),
+    o AS (SELECT l.k, decision_date, (SELECT min(signal) FROM s WHERE s.k = l.k AND s.d = l.decision_date) AS signal FROM l)
     SELECT k, decision_date, signal, DATE '1999-06-30' - decision_date AS age_days,
       DATE '1999-06-30' - decision_date > 7 AS stale,
-      CASE WHEN DATE '1999-06-30' - decision_date > 7 THEN 'HOLD' WHEN signal > 0 THEN 'BUY' ELSE 'SELL' END AS action FROM l""",
+      CASE WHEN DATE '1999-06-30' - decision_date > 7 THEN 'HOLD' WHEN signal > 0 THEN 'BUY' WHEN signal < 0 THEN 'SELL' ELSE 'HOLD' END AS action FROM o""",
     i="signal age_days",
 )
 def _(t):
-    s = daily(t).filter((F.col("px") > 450000) | (F.col("px") < 50000)).select(
-        "k", "d", F.when(F.col("px") > 250000, 1).otherwise(-1).alias("signal")
-    )
-    return pit.latest_decision(s, ["k"], "d", "signal", F.lit("1999-06-30").cast("date"), 7)
+    px = F.col("px")
+    s = daily(t).select("k", "d", F.when(px > 200000, 1).when(px > 120000, 0).otherwise(-1).alias("signal"))
+    # every odd day has a second decision
+    twice = s.filter(F.dayofmonth("d") % 2 == 1).withColumn("signal", F.lit(1))
+    return pit.latest_decision(s.union(twice), ["k"], "d", "signal", F.lit("1999-06-30").cast("date"), 7)
 
 
 @query(

@@ -39,8 +39,7 @@ def nested_bodies(t):
     d="px n",
 )
 def _(t):
-    good, bad = P.parse_nested_series(nested_bodies(t), "body", ["px", "n"])
-    return good.unionByName(bad, allowMissingColumns=True)
+    return P.parse_nested_series(nested_bodies(t), "body", ["px", "n"])
 
 
 def record_bodies(t):
@@ -71,11 +70,11 @@ def record_bodies(t):
     d="d2",
 )
 def _(t):
-    good, bad = P.parse_records(
+    rows = P.parse_records(
         record_bodies(t), "body", "fips:string,mapDate:string,d2:double,statisticFormatID:int",
         ["fips", "mapDate", "d2"], "statisticFormatID", 1,
     )
-    return good.drop("statisticFormatID").unionByName(bad, allowMissingColumns=True).withColumnRenamed("mapDate", "map_date")
+    return rows.drop("statisticFormatID").withColumnRenamed("mapDate", "map_date")
 
 
 def bar_bodies(t):
@@ -107,8 +106,7 @@ def bar_bodies(t):
     d="close volume",
 )
 def _(t):
-    good, bad = P.parse_parallel_arrays(bar_bodies(t), "body", "1d", ["close", "volume"], "close")
-    return good.unionByName(bad, allowMissingColumns=True)
+    return P.parse_parallel_arrays(bar_bodies(t), "body", "1d", ["close", "volume"], "close")
 
 
 # ------------------------------------------------------------------ month files
@@ -138,24 +136,31 @@ def month_lines(t):
     d="value",
 )
 def _(t):
-    good, bad = P.unpivot_month_slots(month_lines(t), "line", -999.99)
-    return good.unionByName(bad, allowMissingColumns=True).drop("m")
+    return P.unpivot_month_slots(month_lines(t), "line", -999.99).drop("m")
 
 
 @query(
     "src5_version_text",
-    """SELECT m AS covers_start, CAST(m + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS covers_end, CASE WHEN n > 700 THEN 'complete' ELSE 'prelim' END AS state,
-      CASE WHEN n > 700 THEN CAST(m + INTERVAL 1 MONTH + INTERVAL 6 DAY AS DATE) END AS created_on, 'v' || n AS software, CAST(NULL AS VARCHAR) AS build
-    FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m, count(*) AS n FROM lineitem GROUP BY 1)""",
+    """WITH x AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m, count(*) AS n, month(l_shipdate) = 12 AS torn, year(l_shipdate) <= 1994 AS old FROM lineitem GROUP BY 1, 3, 4)
+    SELECT CASE WHEN NOT torn THEN m END AS covers_start, CASE WHEN NOT torn THEN CAST(m + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) END AS covers_end,
+      CASE WHEN NOT torn THEN CASE WHEN n % 2 = 0 THEN 'complete' ELSE 'prelim' END END AS state,
+      CASE WHEN NOT old THEN CAST(m + INTERVAL 1 MONTH + INTERVAL 6 DAY AS DATE) END AS created_on, 'v' || n AS software,
+      CASE WHEN NOT old THEN '3.' || month(m) || '-upd-' || n END AS build, CASE WHEN old THEN 'Sat Apr 22 05:18:09 ' || year(m) END AS downloaded,
+      CASE WHEN torn THEN 'no head line' END AS problem FROM x""",
 )
 def _(t):
+    """Months of either layout: a build and a creation date, or a download time; Decembers lost their head line."""
     m = t.lineitem.groupBy(F.trunc(F.col("l_shipdate").cast("date"), "month").alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    done = F.col("n") > 700
-    text = F.concat(
-        F.lit("grid-daily v1-0-0 "), F.when(done, "complete").otherwise("prelim"), F.lit(" for "), F.col("m").cast("string"),
-        F.lit(" through "), F.last_day("m").cast("string"), F.lit("\nsoftware v"), F.col("n").cast("string"),
-        F.when(done, F.concat(F.lit("\ncreated on "), F.date_add(F.last_day("m"), 7).cast("string"))).otherwise(F.lit("")),
+    old, n = F.year("m") <= 1994, F.col("n").cast("string")
+    head = F.concat(
+        F.lit("Grid-Daily v1-0-0 "), F.when(F.col("n") % 2 == 0, "complete").otherwise("prelim"), F.lit(" for "), F.col("m").cast("string"),
+        F.lit(" through "), F.last_day("m").cast("string"), F.lit("\n"),
     )
+    new = F.concat(
+        F.lit("Made from GHCN-Daily 3."), F.month("m").cast("string"), F.lit("-upd-"), n, F.lit(" created on "), F.date_add(F.last_day("m"), 7).cast("string"),
+    )
+    was = F.concat(F.lit("station data downloaded on Sat Apr 22 05:18:09 "), F.year("m").cast("string"), F.lit("  "))
+    text = F.concat(F.when(F.month("m") == 12, "").otherwise(head), F.lit("by software v"), n, F.lit(" of ours\n"), F.when(old, was).otherwise(new))
     return m.select(text.alias("text")).select(*[c.alias(n) for n, c in P.parse_version_text("text").items()])
 
 
@@ -182,15 +187,20 @@ def quantity_bodies(t):
         F.regexp_extract("state", r"(\d+)$", 1).alias("state_code"), county.alias("county_code"),
         F.col("y").cast("string").alias("year"), value.alias("Value"),
     )
-    return x.groupBy("state", "y").agg(F.to_json(F.struct(F.collect_list(rec).alias("data"))).alias("body")).select("state", "body")
+    bodies = x.groupBy("state", "y").agg(F.to_json(F.struct(F.collect_list(rec).alias("data"))).alias("body"))
+    # one year's requests were refused, another's answer was cut short
+    refused = F.when(F.col("y") == 1996, '{"error":["exceeds limit","try less"]}').when(F.col("y") == 1997, '{"dat')
+    return bodies.select("state", F.coalesce(refused, F.col("body")).alias("body"))
 
 
 @query(
     "src7_quantities",
     """SELECT n_name AS state, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || CASE WHEN l_linenumber = 7 THEN '998' ELSE lpad(CAST(l_linenumber AS VARCHAR), 3, '0') END AS area,
       CAST(year(l_shipdate) AS BIGINT) AS year, CASE WHEN sum(l_quantity) >= 1000 THEN sum(l_quantity) END AS quantity,
-      CASE WHEN sum(l_quantity) < 1000 THEN 'D' END AS flag, l_linenumber <> 7 AS is_area
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, n_nationkey, l_linenumber, year(l_shipdate)""",
+      CASE WHEN sum(l_quantity) < 1000 THEN 'D' END AS flag, l_linenumber <> 7 AS is_area, NULL AS problem
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE year(l_shipdate) NOT IN (1996, 1997) GROUP BY n_name, n_nationkey, l_linenumber, year(l_shipdate)
+    UNION ALL SELECT DISTINCT n_name, NULL, NULL::BIGINT, NULL::DOUBLE, NULL, NULL::BOOLEAN, CASE year(l_shipdate) WHEN 1996 THEN 'refused: exceeds limit; try less' ELSE 'no data' END
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE year(l_shipdate) IN (1996, 1997)""",
     d="quantity",
 )
 def _(t):
@@ -200,34 +210,76 @@ def _(t):
 # ------------------------------------------------------------------ reports
 
 
-CATS = ["urgent", "high", "medium", "unset", "low"]
-
-
 def reports(t):
-    """Weekly fixed-text report with one section per order status and one row per weekday label."""
+    """One report per week of orders: a condition and a progress table of corn, and a table of another crop.
+
+    Figures are counts by priority. Some weeks are a notice, some lack corn, some have no date, and some
+    were listed under another date.
+    """
     x = t.orders.withColumn("w", F.to_date(F.date_trunc("week", "o_orderdate"))).groupBy("w", "o_orderstatus").agg(
-        *[F.sum((F.substring("o_orderpriority", 1, 1) == str(i + 1)).cast("int")).alias(c) for i, c in enumerate(CATS)]
+        *[F.sum((F.substring("o_orderpriority", 1, 1) == str(i + 1)).cast("int")).alias(f"n{i}") for i in range(5)]
+    )
+
+    def cell(i):
+        c = F.col(f"n{i}")
+        return F.when(c == 0, "-").when(c > 100, "120").when(c % 7 == 3, "(NA)").otherwise(c.cast("string"))
+
+    def row(label, n):
+        return F.concat(label, F.lit(" ......: "), F.concat_ws("     ", *[cell(i) for i in range(n)]), F.lit("\n"))
+
+    state = F.concat(F.lit("  State   "), F.col("o_orderstatus"))
+    per = x.groupBy("w").agg(
+        F.array_join(F.sort_array(F.collect_list(row(state, 5))), "").alias("c"), F.array_join(F.sort_array(F.collect_list(row(state, 4))), "").alias("p"),
+        *[F.sum(f"n{i}").alias(f"t{i}") for i in range(5)],
     )
-    cells = [F.when(F.col(c) == 0, "-").when(F.col(c) > 8, "(NA)").otherwise(F.col(c).cast("string")) for c in CATS]
-    section = F.concat(
-        F.lit("Status "), F.col("o_orderstatus"), F.lit(" - Selected States: Week\nnoise line: 1 2 3\n  All   states ......: "),
-        F.concat_ws("  ", *cells), F.lit("\nPrevious week ...: 1 2\n"),
+    rule = F.lit("-" * 40 + "\n")
+    week = F.floor(F.datediff("w", F.lit("1990-01-01").cast("date")) / 7)
+    head = F.when(week % 11 == 5, "Prepared").otherwise(F.concat(F.lit("Released "), F.date_format(F.date_add("w", 7), "MMMM d, yyyy"), F.lit(", by the service")))
+    corn = F.concat(
+        F.lit("Corn Condition - Selected States: Week Ending\nnoise line: 1 2 3\n"), rule, F.col("c"),
+        F.lit("18 States ....:  5  10  20  40  25\nPrevious week ....:  5  10  20  -  65\nPrevious year ....:  1  2  3  (NA)  9\nShort ....: 1 2\n"),
+        rule, F.lit("Corn Dent - Selected States\n"), rule, F.col("p"), F.lit("18 States ....:  1  2  (NA)  -\nPrevious week ....:  1  2\n"), rule,
     )
-    text = F.concat(F.lit("Released "), F.date_add("w", 7).cast("string"), F.lit("\nOther ....: 1 2 3 4 5\n"), F.array_join(F.sort_array(F.collect_list(section)), ""))
-    return x.groupBy("w").agg(text.alias("text"))
+    other = F.concat(F.lit("Soybeans Mature - Selected States\n"), F.col("p"))
+    text = F.concat(head, F.lit("\nOther ....: 1 2 3 4 5\n"), F.when(week % 13 == 6, "").otherwise(corn), other)
+    notice = F.lit("The Crop Progress report will not be issued this week.")
+    listed = F.when(week % 17 == 8, F.col("w")).otherwise(F.date_add("w", 7))
+    return per.select("w", listed.alias("listed"), F.when(week % 19 == 9, notice).otherwise(text).alias("text"))
+
+
+REPORTS = """x AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS w, o_orderstatus AS s, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS i FROM orders),
+n AS (SELECT w, s, g.i, count(x.i) AS n FROM (SELECT DISTINCT w, s FROM x) JOIN range(5) g(i) ON true LEFT JOIN x USING (w, s, i) GROUP BY 1, 2, 3),
+v AS (SELECT w, s, i, CASE WHEN n = 0 THEN 0 WHEN n > 100 THEN 120 WHEN n % 7 = 3 THEN NULL ELSE n END AS v FROM n),
+wk AS (SELECT DISTINCT w, CAST(floor((w - DATE '1990-01-01') / 7) AS BIGINT) AS k FROM x),
+st AS (SELECT w, k, CASE WHEN k % 19 = 9 THEN 'release notice' WHEN k % 11 = 5 THEN 'no release date' WHEN k % 17 = 8 THEN 'date is not the listed one' WHEN k % 13 = 6 THEN 'no table of the crop' END AS problem FROM wk),
+rows AS (
+  SELECT w, 'condition' AS measure, 'condition' AS stage, 'State ' || s AS region, 'state' AS region_type, 'current' AS comparison, list(v ORDER BY i) AS v FROM v GROUP BY w, s
+  UNION ALL SELECT w, 'progress', 'dented', 'State ' || s, 'state', NULL, list(v ORDER BY i) FILTER (i < 4) FROM v GROUP BY w, s
+  UNION ALL SELECT w, 'condition', 'condition', 'selected_states', 'selected_states', c, l FROM wk, (VALUES ('current', [5, 10, 20, 40, 25]), ('previous_week', [5, 10, 20, 0, 65]), ('previous_year', [1, 2, 3, NULL, 9])) f(c, l)
+  UNION ALL SELECT w, 'condition', 'condition', 'Short', 'state', NULL, [1, 2] FROM wk
+  UNION ALL SELECT w, 'progress', 'dented', 'selected_states', 'selected_states', NULL, [1, 2, NULL, 0] FROM wk),
+good AS (SELECT r.*, len(list_filter(v, lambda x: x IS NULL)) = 0 AND measure = 'condition' AND list_sum(v) <> 100 AS off,
+  CASE WHEN len(v) <> CASE measure WHEN 'condition' THEN 5 ELSE 4 END THEN 'wrong number of values' WHEN len(list_filter(v, lambda x: x > 100)) > 0 THEN 'figure outside 0..100' END AS problem
+  FROM rows r JOIN st ON st.w = r.w AND st.problem IS NULL),
+cells AS (SELECT w, measure, stage, region, region_type, unnest(v) AS value, unnest(CASE measure WHEN 'condition' THEN ['very_poor', 'poor', 'fair', 'good', 'excellent'] ELSE ['percent', 'percent', 'percent', 'percent'] END) AS category,
+  unnest(CASE measure WHEN 'condition' THEN [comparison, comparison, comparison, comparison, comparison] ELSE ['previous_year', 'previous_week', 'current', 'five_year_average'] END) AS comparison,
+  CASE WHEN off THEN 'source_condition_sum_' || list_sum(v) END AS quality_status FROM good WHERE problem IS NULL),
+o AS (
+  SELECT w, w + 7 AS release_date, measure, stage, region, region_type, comparison, category, CAST(value AS DOUBLE) AS value, quality_status, NULL AS problem FROM cells
+  UNION ALL SELECT w, w + 7, measure, stage, region, region_type, NULL, NULL, NULL, CASE WHEN off THEN 'source_condition_sum_' || list_sum(v) END, problem FROM good WHERE problem IS NOT NULL
+  UNION ALL SELECT w, CASE WHEN problem NOT IN ('release notice', 'no release date') THEN w + 7 END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, problem FROM st WHERE problem IS NOT NULL)"""
 
 
 @query(
     "src8_report",
-    with_sql("""x AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS w, o_orderstatus AS s, o_orderpriority AS p FROM orders),
-    c AS (SELECT w, s, unnest(['urgent', 'high', 'medium', 'unset', 'low']) AS category,
-      unnest([count(*) FILTER (p LIKE '1%'), count(*) FILTER (p LIKE '2%'), count(*) FILTER (p LIKE '3%'), count(*) FILTER (p LIKE '4%'), count(*) FILTER (p LIKE '5%')]) AS n
-      FROM x GROUP BY w, s)""") + """
-    SELECT w, w + 7 AS release_date, 'Status ' || s AS section, 'All states' AS label, category, CASE WHEN n <= 8 THEN CAST(n AS DOUBLE) END AS value FROM c""",
+    with_sql(REPORTS) + """
+    SELECT *, release_date - 1 AS reference_date,
+      timezone('UTC', timezone('America/New_York', CAST(release_date AS TIMESTAMP) + INTERVAL 16 HOUR)) AS available_at FROM o""",
     d="value",
 )
 def _(t):
-    return P.parse_report(reports(t), "text", CATS)
+    out = P.parse_report(reports(t), "text", "Corn", expected="listed")
+    return out.drop("listed").withColumn("available_at", F.col("available_at").cast("timestamp_ntz"))
 
 
 # ------------------------------------------------------------------ outlooks (polygons come decoded)
@@ -304,8 +356,7 @@ CUT = """, bad AS (SELECT k FROM msg GROUP BY k HAVING bool_or(broken))"""
     UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL, 'wrong number of fields' FROM bad""",
 )
 def _(t):
-    good, bad = P.parse_message_index(indexes(t), "text")
-    return good.drop("run", "statistic").unionByName(bad, allowMissingColumns=True)
+    return P.parse_message_index(indexes(t), "text").drop("run", "statistic")
 
 
 @query(
@@ -315,13 +366,12 @@ def _(t):
     SELECT *, CASE WHEN found = 0 THEN 'missing' WHEN found > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM w""",
 )
 def _(t):
-    good, _bad = P.parse_message_index(indexes(t), "text")
-    return P.select_required(good, ["k"], [("A", "F"), ("N", "O")])
+    return P.select_required(P.accepted(P.parse_message_index(indexes(t), "text")), ["k"], [("A", "F"), ("N", "O")])
 
 
 @query(
     "src12_coalesce_ranges",
-    with_sql(DAILY) + """, r AS (SELECT k, d - DATE '1995-01-01' AS s, d - DATE '1995-01-01' + 1 AS e FROM daily WHERE n > 1),
+    with_sql(DAILY) + """, r AS (SELECT k, d - DATE '1995-01-01' AS s, d - DATE '1995-01-01' + 1 AS e FROM daily WHERE day(d) % 9 NOT IN (3, 4)),
     r2 AS (SELECT k, s * 10 AS s, s * 10 + 4 AS e FROM r),
     f AS (SELECT *, CASE WHEN s - lag(e) OVER w - 1 <= 15 THEN 0 ELSE 1 END AS nw FROM r2 WINDOW w AS (PARTITION BY k ORDER BY s)),
     g AS (SELECT *, sum(nw) OVER (PARTITION BY k ORDER BY s) AS island FROM f)
@@ -329,43 +379,64 @@ def _(t):
 )
 def _(t):
     s = F.datediff("d", F.lit("1995-01-01").cast("date")).cast("long") * 10
-    r = daily(t).filter("n > 1").select("k", s.alias("s"), (s + 4).alias("e"))
+    # two pieces of nine were never fetched
+    r = daily(t).filter(~(F.dayofmonth("d") % 9).isin(3, 4)).select("k", s.alias("s"), (s + 4).alias("e"))
     return P.coalesce_ranges(r, ["k"], "s", "e", 15, 500)
 
 
 # ------------------------------------------------------------------ links
 
 ANCHOR = '<a href="([^"]+)">([^<]*)</a>'
+# Added to every page: links of each kind of target, releases on good and foreign hosts, page numbers.
+MORE = """'<a href="//CDN.Example.com/x">Cdn</a><a href="?page=' || (page_id % 7) || '">Next</a><a href="list.TXT?v=' || page_id || '">Jun  ' || (1 + page_id % 9) || ' 2024 - txt</a>'
+  || '<a href="https://' || CASE page_id % 4 WHEN 0 THEN 'evilexample.com' WHEN 1 THEN 'www.example.com' ELSE 'EXAMPLE.com:443' END || '/r/b.txt">Jul 4 2024 - txt</a>'
+  || CASE WHEN page_id % 5 = 0 THEN '<a href="/other.txt">Jul 4 2024 - txt</a>' ELSE '' END || '<a href="/about.pdf">Jul 5 2024 - txt</a>'"""
+HOSTS = ("example.com", "www.example.com", "cdn.example.com")
+LISTING = f"""pg AS (SELECT page_id, url, html || {MORE} AS html, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, regexp_replace(url, '[?#].*$', '') AS page FROM pages),
+raw AS (SELECT page_id, url, site, page, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) AS h, unnest(regexp_extract_all(html, '{ANCHOR}', 2)) AS l FROM pg),
+lk AS (SELECT page_id, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS label,
+  CASE WHEN h LIKE '%://%' THEN h WHEN h LIKE '//%' THEN split_part(url, ':', 1) || ':' || h WHEN h LIKE '/%' THEN site || h WHEN h LIKE '?%' THEN page || h
+    ELSE regexp_replace(page, '[^/]*$', '') || h END AS href FROM raw),
+links AS (SELECT *, lower(regexp_extract(href, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM lk)"""
+
+
+def listing(t):
+    n = F.col("page_id").cast("string")
+    host = F.when(F.col("page_id") % 4 == 0, "evilexample.com").when(F.col("page_id") % 4 == 1, "www.example.com").otherwise("EXAMPLE.com:443")
+    more = F.concat(
+        F.lit('<a href="//CDN.Example.com/x">Cdn</a><a href="?page='), (F.col("page_id") % 7).cast("string"), F.lit('">Next</a><a href="list.TXT?v='), n,
+        F.lit('">Jun  '), (1 + F.col("page_id") % 9).cast("string"), F.lit(' 2024 - txt</a><a href="https://'), host, F.lit('/r/b.txt">Jul 4 2024 - txt</a>'),
+        F.when(F.col("page_id") % 5 == 0, '<a href="/other.txt">Jul 4 2024 - txt</a>').otherwise(""), F.lit('<a href="/about.pdf">Jul 5 2024 - txt</a>'),
+    )
+    return P.extract_links(t.pages.withColumn("html", F.concat("html", more)), "html", "url", ANCHOR, HOSTS)
 
 
-@query(
-    "src13_extract_links",
-    f"""SELECT page_id, href, trim(regexp_replace(label, '\\s+', ' ', 'g')) AS label, host, host LIKE '%example.com' AS allowed FROM (
-      SELECT page_id, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '{ANCHOR}', 2)) AS label,
-        regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)""",
-)
+@query("src13_extract_links", f"WITH {LISTING} SELECT page_id, href, label, host, host IN {HOSTS} AS allowed FROM links")
 def _(t):
-    return P.extract_links(t.pages, "html", "url", ANCHOR, ["example.com"])
+    return listing(t)
 
 
-@query(
-    "src13_link_conflicts",
-    f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) AS href, trim(regexp_replace(unnest(regexp_extract_all(html, '{ANCHOR}', 2)), '\\s+', ' ', 'g')) AS label FROM pages)
-    SELECT page_id, label, count(*) AS links, min(href) <> max(href) AS conflict FROM l GROUP BY 1, 2""",
-)
+@query("src13_link_conflicts", f"WITH {LISTING} SELECT page_id, label, count(*) AS links, min(href) <> max(href) AS conflict FROM links GROUP BY 1, 2")
 def _(t):
-    return P.link_conflicts(P.extract_links(t.pages, "html", "url", ANCHOR, ["example.com"]), ["page_id"])
+    return P.link_conflicts(listing(t), ["page_id"])
+
+
+RELEASE = r"^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{4})\s+-\s+txt$"
 
 
 @query(
-    "src13_last_page",
-    """SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, max(CASE WHEN url ~ '[?&]page=' OR regexp_matches(url, '[?&]page=[0-9]+') THEN CAST(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS BIGINT) END) AS last_page,
-      count(*) AS pages FROM pages GROUP BY 1""",
+    "src13_typed_links",
+    f"""WITH {LISTING} SELECT page_id, strptime(replace(label, ' - txt', ''), '%b %-d %Y')::DATE AS release_date, min(href) AS href,
+      CASE WHEN bool_or(host NOT IN {HOSTS}) THEN 'host not allowed' WHEN min(href) <> max(href) THEN 'more than one target' END AS problem
+    FROM links WHERE label LIKE '% 2024 - txt' AND lower(regexp_replace(href, '[?#].*$', '')) LIKE '%.txt' GROUP BY 1, 2""",
 )
 def _(t):
-    return t.pages.groupBy(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host")).agg(
-        F.max(P.page_number("url")).alias("last_page"), F.count(F.lit(1)).alias("pages")
-    )
+    return P.typed_links(listing(t), ["page_id"], RELEASE, "MMM d yyyy", ".txt")
+
+
+@query("src13_last_page", f"WITH {LISTING} SELECT page_id, max(coalesce(TRY_CAST(regexp_extract(href, '[?&]page=([0-9]+)', 1) AS BIGINT), 0)) AS last_page FROM links GROUP BY 1")
+def _(t):
+    return P.last_page(listing(t), ["page_id"])
 
 
 # ------------------------------------------------------------------ vendor exports
@@ -379,9 +450,8 @@ MAPPING = {"date": "l_shipdate", "root": "l_returnflag", "contract": "l_suppkey"
       count(*) AS rows, sum(CASE WHEN l_returnflag <> 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END)::BIGINT AS cents FROM lineitem GROUP BY 1, 2, 3""",
 )
 def _(t):
-    good, bad = P.import_export(t.lineitem, MAPPING, "root", {"A": "ZA", "N": "ZN"}, ["open", "settlement"], 100.0)
-    both = good.unionByName(bad, allowMissingColumns=True)
-    return both.groupBy("root", F.col("contract").cast("string").alias("contract"), "problem").agg(
+    rows = P.import_export(t.lineitem, MAPPING, "root", {"A": "ZA", "N": "ZN"}, ["open", "settlement"], 100.0)
+    return rows.groupBy("root", F.col("contract").cast("string").alias("contract"), "problem").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.floor(F.col("open_cents") + 0.5).cast("long")).alias("cents")
     )
 
@@ -405,7 +475,8 @@ def margin_texts(t):
         F.col("l_returnflag").alias("root"), F.col("l_shipdate").cast("date").alias("d"), "l_linenumber"
     ).agg(F.sum(cents("l_extendedprice")).alias("c"))
     block = F.concat(
-        F.col("d").cast("string"), F.lit("\nGRAIN FUTURES\nXCH\n"), (F.col("c") / 100).cast("decimal(18,2)").cast("string"),
+        # one root's pages carry another product
+        F.col("d").cast("string"), F.when(F.col("root") == "R", "\nRICE FUTURES\nXCH+\n").otherwise("\nGRAIN (5,000 BU.) FUTURES\nXCH+\n"), (F.col("c") / 100).cast("decimal(18,2)").cast("string"),
         F.lit("\nC-0"), F.col("l_linenumber").cast("string"), F.lit("\npage footer\n"),
     )
     return x.groupBy("root", F.trunc("d", "month").alias("month")).agg(F.array_join(F.collect_list(block), "").alias("text")).drop("month")
@@ -414,11 +485,12 @@ def margin_texts(t):
 @query(
     "src16_margin_text",
     """SELECT l_returnflag AS root, CAST(l_shipdate AS DATE) AS business_date, 'C' AS product, CAST(l_linenumber AS BIGINT) AS roll_index,
-      sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0 AS rate FROM lineitem GROUP BY 1, 2, 4""",
+      sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0 AS rate, NULL AS problem FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2, 4
+    UNION ALL SELECT DISTINCT l_returnflag, NULL::DATE, NULL, NULL::BIGINT, NULL::DOUBLE, 'no rate rows' FROM lineitem WHERE l_returnflag = 'R'""",
     d="rate",
 )
 def _(t):
-    return P.parse_margin_text(margin_texts(t), "text", "GRAIN FUTURES", "XCH", "C")
+    return P.parse_margin_text(margin_texts(t), "text", "GRAIN (5,000 BU.) FUTURES", "XCH+", "C").distinct()
 
 
 @query(
@@ -458,8 +530,7 @@ def _(t):
         F.substring("o_orderpriority", 1, 1).cast("int").alias("lead"),
     )
     rows = t.lineitem.join(o, "l_orderkey").withColumn("archived", F.col("l_shipdate").cast("date"))
-    good, bad = P.filter_verified(rows, "archived", "available", "l_linenumber", "lead")
-    return good.unionByName(bad, allowMissingColumns=True).groupBy("problem").agg(
+    return P.filter_verified(rows, "archived", "available", "l_linenumber", "lead").groupBy("problem").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("l_quantity").cast("long")).alias("qty")
     )
 

@@ -179,10 +179,10 @@ def boot_sql(name: str, src: str, keys: str, block: str, value: str, draws: int,
 
 
 def bootstrap(t, led=None):
-    return UN.block_bootstrap(ledger(t) if led is None else led, ["candidate", "k"], "year", "net", 400, 590)
+    return UN.block_bootstrap(ledger(t) if led is None else led, ["candidate", "k"], "year", "net", 5000, 590)
 
 
-@query("un1_block_bootstrap", rec(WFRAME, LED, boot_sql("bs", "led", "candidate, k", "year", "net", 400, 590)) + "SELECT * FROM bs", d="p025 median p975 probability_positive")
+@query("un1_block_bootstrap", rec(WFRAME, LED, boot_sql("bs", "led", "candidate, k", "year", "net", 5000, 590)) + "SELECT * FROM bs", d="p025 median p975 probability_positive")
 def _(t):
     return bootstrap(t)
 
@@ -201,7 +201,7 @@ def gate_sql() -> str:
 
 @query(
     "val5_gate",
-    rec(WFRAME, LED, metrics_sql("m", "led", "candidate, k"), boot_sql("bs", "led", "candidate, k", "year", "net", 400, 590)) + ", " + gate_sql(),
+    rec(WFRAME, LED, metrics_sql("m", "led", "candidate, k"), boot_sql("bs", "led", "candidate, k", "year", "net", 5000, 590)) + ", " + gate_sql(),
 )
 def _(t):
     led = ledger(t)
@@ -258,7 +258,7 @@ def _(t):
     "un2_row_bootstrap",
     rec(HARV, RESID) + DEC + """, pv AS (SELECT k, feature_set, ratio, h, max(cost) FILTER (strategy = 'climatology') - max(cost) FILTER (strategy = 'model') AS diff FROM dec GROUP BY 1, 2, 3, 4),
     c AS (SELECT k, feature_set, ratio, count(*) AS harvests, avg(diff) AS mean_saving, count(*) FILTER (diff > 1e-12) AS improved, count(*) FILTER (diff < -1e-12) AS worsened FROM pv GROUP BY 1, 2, 3), """
-    + boot_sql("bs", "pv", "k, feature_set, ratio", "h", "diff", 200, 77, True) + "SELECT * FROM c JOIN bs USING (k, feature_set, ratio)",
+    + boot_sql("bs", "pv", "k, feature_set, ratio", "h", "diff", 2000, 77, True) + "SELECT * FROM c JOIN bs USING (k, feature_set, ratio)",
     d="ratio mean_saving p025 median p975 probability_positive",
 )
 def _(t):
@@ -266,31 +266,48 @@ def _(t):
     pv = d.groupBy("k", "feature_set", "ratio", "h").agg(
         F.max(F.when(F.col("strategy") == "climatology", F.col("cost"))).alias("base"), F.max(F.when(F.col("strategy") == "model", F.col("cost"))).alias("model")
     )
-    return UN.row_bootstrap(pv, ["k", "feature_set", "ratio"], "h", "base", "model", 200, 77)
+    return UN.row_bootstrap(pv, ["k", "feature_set", "ratio"], "h", "base", "model", 2000, 77)
 
 
 @query(
     "un3_coef_bootstrap",
     rec(HARV) + """, a AS (SELECT k, list(h ORDER BY h) AS hs, count(*) AS n FROM harv GROUP BY 1),
-    i AS (SELECT k, draw, hs[1 + CAST('0x' || substr(md5('31:' || CAST(draw AS VARCHAR) || ':' || CAST(s AS VARCHAR)), 1, 8) AS BIGINT) % n] AS h FROM a, generate_series(1, 200) g(draw), generate_series(1, 27) x(s) WHERE s <= n),
+    i AS (SELECT k, draw, hs[1 + CAST('0x' || substr(md5('31:' || CAST(draw AS VARCHAR) || ':' || CAST(s AS VARCHAR)), 1, 8) AS BIGINT) % n] AS h FROM a, generate_series(1, 2000) g(draw), generate_series(1, 27) x(s) WHERE s <= n),
     m AS (SELECT i.k, draw, var_pop(heat) AS s00, var_pop(rain) AS s11, covar_pop(heat, rain) AS s01, covar_pop(heat, yield) AS c0, covar_pop(rain, yield) AS c1 FROM i JOIN harv ON harv.k = i.k AND harv.h = i.h GROUP BY 1, 2 HAVING count(DISTINCT i.h) >= 4),
     v AS (SELECT k, (c0 * s11 - c1 * s01) / (s00 * s11 - s01 * s01) AS v FROM m)
     SELECT k, count(*) AS draws, quantile_cont(v, 0.025) AS p025, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.975) AS p975, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS probability_positive FROM v GROUP BY 1""",
     d="p025 median p975 probability_positive",
 )
 def _(t):
-    return UN.coef_bootstrap(harvests(t), ["k"], "h", "yield", ["heat", "rain"], 200, 31)
-
-
-CIRC = """, yr AS (SELECT *, row_number() OVER (PARTITION BY candidate, k, year ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY candidate, k, year) AS n FROM raw),
-sh AS (SELECT y.candidate, y.k, y.d, y.year, y.exit_date, y.gross, y.cost, y.i, y.n, draw, CAST('0x' || substr(md5('590:' || CAST(draw AS VARCHAR) || ':' || CAST(y.year AS VARCHAR)), 1, 8) AS BIGINT) % y.n AS off FROM yr y, generate_series(1, 10) g(draw)),
-sr AS (SELECT s.candidate, s.k, s.d, s.exit_date, s.gross, s.cost, s.draw, y.raw_signal FROM sh s JOIN yr y ON y.candidate = s.candidate AND y.k = s.k AND y.year = s.year AND y.i = (s.i - s.off + s.n) % s.n), """ + overlap_sql(
-    "cl", "sr", "candidate, k, draw", "raw_signal"
-) + ", cn AS (SELECT candidate, k, draw, sum(net) AS total FROM cl GROUP BY 1, 2, 3)"
+    return UN.coef_bootstrap(harvests(t), ["k"], "h", "yield", ["heat", "rain"], 2000, 31)
+
+
+# For every roll of a year, from its last row back: what the rest of the year earns and its last exit, if trading
+# is free from that row on. A draw then chains its years.
+CIRC = """, cy AS (SELECT candidate, k, year, list(d ORDER BY d) AS e, list(exit_date ORDER BY d) AS x, list(gross ORDER BY d) AS g, list(cost ORDER BY d) AS c, list(raw_signal ORDER BY d) AS s, count(*) AS n,
+    row_number() OVER (PARTITION BY candidate, k ORDER BY year) AS y FROM raw GROUP BY candidate, k, year),
+cf AS (SELECT *, list_transform(x, lambda v: len(list_filter(e, lambda w: w <= v))) AS f FROM cy),
+dp(candidate, k, y, o, i, rest, outs) AS (
+  SELECT candidate, k, y, unnest(range(n)), n, [0.0::DOUBLE], [NULL::DATE] FROM cf
+  UNION ALL
+  SELECT dp.candidate, dp.k, dp.y, o, i - 1,
+    list_prepend(CASE WHEN s[(i - 1 - o + n) % n + 1] <> 0 THEN s[(i - 1 - o + n) % n + 1] * g[i] - abs(s[(i - 1 - o + n) % n + 1]) * c[i] + rest[f[i] - i + 1] ELSE rest[1] END, rest),
+    list_prepend(CASE WHEN s[(i - 1 - o + n) % n + 1] <> 0 THEN coalesce(outs[f[i] - i + 1], x[i]) ELSE outs[1] END, outs)
+  FROM dp JOIN cf ON cf.candidate = dp.candidate AND cf.k = dp.k AND cf.y = dp.y WHERE i > 0),
+dd AS (SELECT * FROM dp WHERE i = 0),
+ch(candidate, k, draw, y, last, total) AS (
+  SELECT candidate, k, draw, CAST(1 AS BIGINT), NULL::DATE, 0.0::DOUBLE FROM (SELECT DISTINCT candidate, k FROM cf), generate_series(1, 5000) g(draw)
+  UNION ALL
+  SELECT ch.candidate, ch.k, draw, ch.y + 1, coalesce(outs[p], last), total + rest[p]
+  FROM (SELECT ch.*, cf.n, CAST('0x' || substr(md5('590:' || CAST(draw AS VARCHAR) || ':' || CAST(cf.year AS VARCHAR)), 1, 8) AS BIGINT) % cf.n AS off,
+      CASE WHEN last IS NULL THEN 1 ELSE len(list_filter(e, lambda w: w <= last)) + 1 END AS p
+    FROM ch JOIN cf ON cf.candidate = ch.candidate AND cf.k = ch.k AND cf.y = ch.y) ch
+  JOIN dd ON dd.candidate = ch.candidate AND dd.k = ch.k AND dd.y = ch.y AND dd.o = ch.off),
+cn AS (SELECT candidate, k, draw, arg_max(total, y) AS total FROM ch GROUP BY 1, 2, 3)"""
 
 
 def shift_null(t, led):
-    return UN.circular_null(led, ["candidate", "k"], "d", "year", "raw_signal", "d", "exit_date", "gross", "cost", 10, 590)
+    return UN.circular_null(led, ["candidate", "k"], "d", "year", "raw_signal", "d", "exit_date", "gross", "cost", 5000, 590)
 
 
 @query("un4_circular_null", rec(WFRAME, raw_sql()) + CIRC + " SELECT * FROM cn", d="total")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import versions as V
 
-from .base import LOG, log, with_sql
+from .base import LOG, cents, log, with_sql
 from .registry import query
 
 
@@ -15,19 +15,33 @@ def _(t):
     return t.documents.select("doc_id", V.content_hash("text").alias("sha"))
 
 
+# Every column as text: whole numbers, money in cents, days; a tax of zero counts as unknown.
+LINE_COLUMNS = {
+    "l_orderkey": "CAST({c} AS VARCHAR)", "l_partkey": "CAST({c} AS VARCHAR)", "l_suppkey": "CAST({c} AS VARCHAR)", "l_linenumber": "CAST({c} AS VARCHAR)",
+    "l_quantity": "CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)", "l_extendedprice": "CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)",
+    "l_discount": "CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)", "l_tax": "CAST(nullif(CAST(round({c} * 100) AS BIGINT), 0) AS VARCHAR)",
+    "l_linestatus": "{c} || '|<null>\"' || chr(92)",
+}
+
+
+def line_text(c: str):
+    if c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"):
+        return F.col(c).cast("string")
+    if c == "l_linestatus":
+        return F.concat(c, F.lit('|<null>"\\'))
+    return F.when((F.col(c) != 0) | F.lit(c != "l_tax"), cents(c).cast("string"))
+
+
 @query(
     "ver2_rowset_fingerprint",
-    """WITH r AS (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS d,
-        md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(CAST(l_quantity AS BIGINT) AS VARCHAR))) AS h FROM lineitem),
-      s AS (SELECT l_returnflag, d, count(*) AS rows, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS b FROM r GROUP BY 1, 2)
-    SELECT l_returnflag, d, rows, sha256(CAST(rows AS VARCHAR) || ':' || a || ':' || b) AS fingerprint FROM s""",
+    f"""WITH r AS (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS d, sha256(CAST(to_json({{{", ".join(f"'{c}': {e.format(c=c)}" for c, e in LINE_COLUMNS.items())}}}) AS VARCHAR)) AS h FROM lineitem),
+      e AS (SELECT l_returnflag, d, h, count(*) AS n FROM r GROUP BY 1, 2, 3),
+      b AS (SELECT l_returnflag, d, substr(h, 1, 2) AS b, sum(n) AS n, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS bh FROM e GROUP BY 1, 2, 3)
+    SELECT l_returnflag, d, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(b || bh, chr(10) ORDER BY b)) AS fingerprint FROM b GROUP BY 1, 2""",
 )
 def _(t):
-    rows = t.lineitem.select(
-        "l_returnflag", F.col("l_shipdate").cast("date").alias("d"), "l_orderkey", "l_linenumber", "l_partkey",
-        F.col("l_quantity").cast("long").alias("q"),
-    )
-    return V.rowset_fingerprint(rows, ["l_returnflag", "d"], ["l_orderkey", "l_linenumber", "l_partkey", "q"])
+    rows = t.lineitem.select("l_returnflag", F.col("l_shipdate").cast("date").alias("d"), *[line_text(c).alias(c) for c in LINE_COLUMNS])
+    return V.rowset_fingerprint(rows, ["l_returnflag", "d"], list(LINE_COLUMNS))
 
 
 @query("ver3_history", with_sql(LOG) + "SELECT source, key, pos, fetched_at, sha FROM log WHERE source = 'purchase' ORDER BY pos")

@@ -452,9 +452,13 @@ def _(t):
 
 @query(
     "wn31_pct_rank",
-    with_sql(BELT) + """
-    SELECT k, d, (rank() OVER (PARTITION BY k ORDER BY rain) + (count(*) OVER (PARTITION BY k, rain) - 1) / 2.0) / count(rain) OVER (PARTITION BY k) AS pr FROM belt""",
+    with_sql(BELT) + """, x AS (SELECT k, d, CASE WHEN day(d) % 5 <> 0 THEN round(rain) END AS rain FROM belt)
+    SELECT a.k, a.d, CASE WHEN a.rain IS NOT NULL THEN (b.below + (b.same + 1) / 2.0) / n.n END AS pr FROM x a
+    LEFT JOIN (SELECT k, rain, same, sum(same) OVER (PARTITION BY k ORDER BY rain) - same AS below FROM (SELECT k, rain, count(*) AS same FROM x WHERE rain IS NOT NULL GROUP BY 1, 2)) b
+      ON a.k = b.k AND a.rain = b.rain
+    JOIN (SELECT k, count(rain) AS n FROM x GROUP BY 1) n ON n.k = a.k""",
     d="pr",
 )
 def _(t):
-    return WN.pct_rank(belt(t), ["k"], "rain", "pr").select("k", "d", "pr")
+    x = belt(t).withColumn("rain", F.when(F.dayofmonth("d") % 5 != 0, F.floor(F.col("rain") + 0.5).cast("double")))
+    return WN.pct_rank(x, ["k"], "rain", "pr").select("k", "d", "pr")

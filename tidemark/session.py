@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,13 +22,3 @@ def local_session(cpus: int | str = 8, app: str = "tidemark") -> SparkSession:
         .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")
         .getOrCreate()
     )
-
-
-def cut_lineage(df):
-    """Checkpoint to the folder the cluster names; only unset sessions get their own."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-ckpt-"))
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()

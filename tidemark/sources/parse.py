@@ -2,8 +2,9 @@
 
 Every parser is a projection over the rows that carry the payloads: JSON, CSV and report
 text are opened with built-in functions, arrays are exploded in place and cross-row checks
-inside one payload use array functions, so parsing needs no shuffle. Bad payloads are never
-dropped silently: parsers return (rows, rejects), where rejects name the problem.
+inside one payload use array functions, so parsing needs no shuffle and reads a payload once.
+Bad payloads are never dropped silently: every parser returns one frame with a `problem`
+column, in which a refused payload is one row that names its problem and has no values.
 """
 
 from __future__ import annotations
@@ -14,22 +15,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import col, null_if
+from tidemark.functions.scalar import col, null_if, prev_sunday
 
-Parsed = tuple[DataFrame, DataFrame]
 
+def accepted(parsed: DataFrame) -> DataFrame:
+    return parsed.filter("problem IS NULL").drop("problem")
 
-def _split(df: DataFrame, problem: Column, drop: Sequence[str]) -> Parsed:
-    """Rows without a problem, and the others with their problem named."""
+
+def rejected(parsed: DataFrame) -> DataFrame:
+    return parsed.filter("problem IS NOT NULL")
+
+
+def _open(df: DataFrame, keep: Sequence[str], problem: Column, items: Column) -> DataFrame:
+    """keep, problem and _x: the items of payloads without a problem, or one row for the problem."""
     marked = df.withColumn("problem", problem)
-    good = marked.filter("problem IS NULL").drop("problem")
-    return good, marked.filter("problem IS NOT NULL").drop(*drop)
+    rows = marked.select(*keep, "problem", F.explode_outer(F.when(F.col("problem").isNull(), items)).alias("_x"))
+    return rows.filter(F.col("problem").isNotNull() | F.col("_x").isNotNull())
 
 
 # ------------------------------------------------------------------ JSON
 
 
-def parse_nested_series(df: DataFrame, body: str, measures: Sequence[str]) -> Parsed:
+def parse_nested_series(df: DataFrame, body: str, measures: Sequence[str]) -> DataFrame:
     """Map of maps (measure -> day -> value) to one row per day; the fill value becomes NULL."""
     schema = (
         "header struct<fill_value:double>, properties struct<parameter:map<string,map<string,double>>>, detail string"
@@ -42,18 +49,18 @@ def parse_nested_series(df: DataFrame, body: str, measures: Sequence[str]) -> Pa
         .when(series.isNull() | (F.size(series) == 0), "no series")
         .when(F.size(sizes) != 1, "series of unequal length")
     )
-    good, rejects = _split(parsed, problem, ["_p"])
     fill = F.coalesce(F.col("_p.header.fill_value"), F.lit(-999.0))
     keep = [c for c in df.columns if c != body]
-    days = good.select(*keep, "_p", F.explode(F.map_keys(F.element_at(F.map_values(series), 1))).alias("_day"))
-    values = []
-    for m in measures:
-        v = F.try_element_at(F.try_element_at(series, F.lit(m)), F.col("_day"))
-        values.append(F.when(v != fill, v).alias(m))
-    return days.select(*keep, F.to_date("_day", "yyyyMMdd").alias("d"), *values), rejects.drop(body)
 
+    def day(d: Column) -> Column:
+        cells = [F.try_element_at(F.try_element_at(series, F.lit(m)), d) for m in measures]
+        return F.struct(F.to_date(d, "yyyyMMdd").alias("d"), *[F.when(v != fill, v).alias(m) for m, v in zip(measures, cells)])
 
-def parse_records(df: DataFrame, body: str, fields: str, required: Sequence[str], type_field: str, expect: int) -> Parsed:
+    days = F.transform(F.map_keys(F.element_at(F.map_values(series), 1)), day)
+    return _open(parsed, keep, problem, days).select(*keep, "_x.*", "problem")
+
+
+def parse_records(df: DataFrame, body: str, fields: str, required: Sequence[str], type_field: str, expect: int) -> DataFrame:
     """Array of records; refuses strings, objects, empty arrays, missing fields and mixed statistic types."""
     text = F.ltrim(F.col(body))
     parsed = df.withColumn("_r", F.when(text.startswith("["), F.from_json(body, f"array<struct<{fields}>>")))
@@ -67,12 +74,11 @@ def parse_records(df: DataFrame, body: str, fields: str, required: Sequence[str]
         .when(F.col("_r").isNull(), "not a list").when(F.size("_r") == 0, "zero rows").when(lacks, "missing field")
         .when(F.exists("_r", lambda r: r[type_field] != expect), "wrong statistic type")
     )
-    good, rejects = _split(parsed, problem, ["_r"])
     keep = [c for c in df.columns if c != body]
-    return good.select(*keep, F.inline("_r")), rejects.drop(body)
+    return _open(parsed, keep, problem, F.col("_r")).select(*keep, "_x.*", "problem")
 
 
-def parse_parallel_arrays(df: DataFrame, body: str, granularity: str, fields: Sequence[str], close: str) -> Parsed:
+def parse_parallel_arrays(df: DataFrame, body: str, granularity: str, fields: Sequence[str], close: str) -> DataFrame:
     """timestamp || value arrays to bars; the session date is read in the exchange's offset."""
     arrays = ", ".join(f"{f}:array<double>" for f in fields)
     schema = f"meta struct<dataGranularity:string,gmtoffset:int>, timestamp array<bigint>, quote struct<{arrays}>"
@@ -87,53 +93,66 @@ def parse_parallel_arrays(df: DataFrame, body: str, granularity: str, fields: Se
         .when(F.col("_p.meta.dataGranularity") != granularity, "wrong granularity")
         .when(uneven, "arrays of unequal length")
     )
-    good, rejects = _split(parsed, problem, ["_p"])
     keep = [c for c in df.columns if c != body]
     offset = F.coalesce(F.col("_p.meta.gmtoffset"), F.lit(0))
-    bars = good.select(
-        *keep, offset.alias("_off"),
-        F.inline(F.arrays_zip(F.col("_p.timestamp").alias("_ts"), *[F.col(f"_p.quote.{f}").alias(f) for f in fields])),
-    )
-    day = F.date_from_unix_date(F.floor((F.col("_ts") + F.col("_off")) / F.lit(86400)).cast("int"))
-    return bars.filter(F.col(close).isNotNull()).select(*keep, day.alias("d"), *fields), rejects.drop(body)
+    values = [F.coalesce(F.col(f"_p.quote.{f}"), F.array_repeat(F.lit(None).cast("double"), F.coalesce(n, F.lit(0)))).alias(f) for f in fields]
+
+    def bar(x: Column) -> Column:
+        day = F.date_from_unix_date(F.floor((x["_ts"] + offset) / F.lit(86400)).cast("int"))
+        return F.struct(day.alias("d"), *[x[f].alias(f) for f in fields])
+
+    bars = F.transform(F.arrays_zip(F.col("_p.timestamp").alias("_ts"), *values), bar)
+    closed = F.filter(bars, lambda x: x[close].isNotNull())
+    return _open(parsed, keep, problem, closed).select(*keep, "_x.*", "problem")
 
 
 def parse_quantities(df: DataFrame, body: str) -> DataFrame:
-    """Statistics records: thousands separators, withheld figures to NULL plus their flag."""
+    """Statistics records: thousands separators, withheld figures to NULL plus their flag.
+
+    A payload without a data list is refused with its own error text; a figure that is neither a number
+    nor a flag is refused by itself.
+    """
     fields = "state_code:string,county_code:string,year:string,Value:string"
-    r = df.select(
-        *[c for c in df.columns if c != body], F.inline(F.from_json(body, f"data array<struct<{fields}>>")["data"])
-    )
-    flag = F.regexp_extract("Value", r"^\s*\(([A-Z]+)\)\s*$", 1)
+    parsed = df.withColumn("_p", F.from_json(body, f"data array<struct<{fields}>>, error array<string>"))
+    problem = F.when(
+        F.col("_p.data").isNull(),
+        F.when(F.size("_p.error") > 0, F.concat(F.lit("refused: "), F.array_join("_p.error", "; "))).otherwise("no data"),
+    ).when(F.size("_p.data") == 0, "zero rows")
+    keep = [c for c in df.columns if c != body]
+    r = _open(parsed, keep, problem, F.col("_p.data"))
+    text = F.trim(F.col("_x.Value"))
+    flag = F.when(text.startswith("(") & text.endswith(")"), F.trim(F.translate(text, "()", "")))
+    number = F.regexp_replace(text, ",", "").try_cast("double")
+    unread = F.col("_x").isNotNull() & flag.isNull() & number.isNull()
     return r.select(
-        *[c for c in df.columns if c != body],
-        F.concat(F.lpad("state_code", 2, "0"), F.lpad("county_code", 3, "0")).alias("area"),
-        F.col("year").try_cast("int").alias("year"),
-        F.when(flag == "", F.regexp_replace(F.trim("Value"), ",", "").try_cast("double")).alias("quantity"),
-        F.when(flag != "", flag).alias("flag"),
+        *keep,
+        F.concat(F.lpad("_x.state_code", 2, "0"), F.lpad("_x.county_code", 3, "0")).alias("area"),
+        F.col("_x.year").try_cast("int").alias("year"),
+        F.when(flag.isNull(), number).alias("quantity"), flag.alias("flag"),
         # A combined-areas row is a remainder, not a place.
-        (F.col("county_code") != "998").alias("is_area"),
+        (F.col("_x.county_code") != "998").alias("is_area"),
+        F.coalesce("problem", F.when(unread, "not a figure")).alias("problem"),
     )
 
 
 # ------------------------------------------------------------------ CSV
 
 
-def unpivot_month_slots(df: DataFrame, line: str, missing: float, slots: int = 31, meta: int = 6) -> Parsed:
+def unpivot_month_slots(df: DataFrame, line: str, missing: float, slots: int = 31, meta: int = 6) -> DataFrame:
     """Fixed 31-slot month rows to days; the month's length comes from the calendar, not the slots."""
     parts = df.withColumn("_f", F.split(line, ","))
     problem = F.when(F.size("_f") != slots + meta, "wrong number of fields")
-    good, rejects = _split(parts, problem, ["_f"])
-    first = F.make_date(F.trim(F.col("_f")[3]).cast("int"), F.trim(F.col("_f")[4]).cast("int"), F.lit(1))
+    first = F.make_date(F.trim(F.get("_f", F.lit(3))).try_cast("int"), F.trim(F.get("_f", F.lit(4))).try_cast("int"), F.lit(1))
     days = F.slice("_f", F.lit(meta + 1), F.dayofmonth(F.last_day(first)))
     keep = [c for c in df.columns if c != line]
-    out = good.select(
-        *keep, F.trim(F.col("_f")[1]).alias("area"), F.lower(F.trim(F.col("_f")[5])).alias("measure"),
-        first.alias("_m"), F.posexplode(days).alias("_p", "_v"),
-    )
-    return out.select(
-        *keep, "area", "measure", F.date_add("_m", F.col("_p")).alias("d"), null_if(F.trim("_v").try_cast("double"), missing).alias("value")
-    ), rejects.drop(line)
+
+    def slot(v: Column, i: Column) -> Column:
+        return F.struct(
+            F.trim(F.get("_f", F.lit(1))).alias("area"), F.lower(F.trim(F.get("_f", F.lit(5)))).alias("measure"),
+            F.date_add(first, i).alias("d"), null_if(F.trim(v).try_cast("double"), missing).alias("value"),
+        )
+
+    return _open(parts, keep, problem, F.transform(days, slot)).select(*keep, "_x.*", "problem")
 
 
 def single_measure(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,77 +169,154 @@ def read_single_measure(spark, path: str, keys: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ sidecars and reports
 
-# The layout of the version sidecar.
-VERSION_HEAD = r"(?m)^(\S+)\s+(\S+)\s+(complete|prelim)\s+for\s+(\d{4}-\d{2}-\d{2})\s+through\s+(\d{4}-\d{2}-\d{2})"
-VERSION_CREATED = r"created on\s+(\d{4}-\d{2}-\d{2})"
-VERSION_SOFTWARE = r"software\s+(\S+)"
-VERSION_BUILD = r"build\s+(\S+)"
+def _after(text: Column, words: str) -> Column:
+    """What follows some words, up to the end of the line; NULL where they are absent."""
+    return F.trim(F.get(F.split(F.get(F.split(text, words, 2), F.lit(1)), r"\r?\n"), F.lit(0)))
+
+
+def _token(text: Column) -> Column:
+    return F.get(F.split(text, r"\s+"), F.lit(0))
 
 
 def parse_version_text(c: str | Column) -> dict[str, Column]:
-    """Coverage window, state and provenance of a version sidecar; absent parts are NULL."""
-    def part(pattern: str, g: int) -> Column:
-        return F.nullif(F.regexp_extract(col(c), pattern, g), F.lit(""))
+    """Coverage window, state and provenance of a version sidecar; absent parts are NULL.
 
+    The head is the line whose fourth and sixth words are `for` and `through`; it names product,
+    version, state, and the first and last day covered. Recent files name the build of the station
+    data they were made from, older ones the time it was downloaded.
+    """
+    text = col(c)
+    words = F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), r"\s+"))
+    head = F.get(F.filter(words, lambda w: (F.get(w, F.lit(3)) == "for") & (F.get(w, F.lit(5)) == "through")), F.lit(0))
+    state = F.get(head, F.lit(2))
+    known = state.isin("complete", "prelim")
+    start, end = F.get(head, F.lit(4)).try_cast("date"), F.get(head, F.lit(6)).try_cast("date")
     return {
-        "state": part(VERSION_HEAD, 3), "covers_start": part(VERSION_HEAD, 4).try_cast("date"),
-        "covers_end": part(VERSION_HEAD, 5).try_cast("date"), "created_on": part(VERSION_CREATED, 1).try_cast("date"),
-        "software": part(VERSION_SOFTWARE, 1), "build": part(VERSION_BUILD, 1),
+        "state": F.when(known, state), "covers_start": start, "covers_end": end,
+        "created_on": F.substring(_after(text, "created on"), 1, 10).try_cast("date"),
+        "software": _token(_after(text, "software ")), "build": _token(_after(text, "from GHCN-Daily ")),
+        "downloaded": _after(text, "downloaded on "),
+        "problem": F.when(head.isNull(), "no head line").when(~known, "unknown state").when(start.isNull() | end.isNull(), "unreadable coverage"),
     }
 
 
-# The layout of the sectioned report.
-SECTION = r"(?m)^(?=[A-Za-z][A-Za-z ]+? - Selected States(?: *:.*)?$)"
-SECTION_TITLE = r"^([A-Za-z][A-Za-z ]+?) - Selected States(?: *:.*)?"
-ROW = r"^\s*(.+?)\s*\.{2,}\s*:\s*(.*?)\s*$"
-VALUE = r"\(NA\)|\d+(?:\.\d+)?|-"
+# Titles and columns of the weekly report's tables.
+TITLE = " - Selected States"
+CONDITION = ("very_poor", "poor", "fair", "good", "excellent")
+COMPARISONS = ("previous_year", "previous_week", "current", "five_year_average")
+STAGES = {"doughing": "dough", "dent": "dented"}
+# Words of a notice that a release is late or cancelled.
+NOTICE = ("delayed", "delay ", "postpon", "cancel", "suspend", "will not be issued", "not be released")
 
 
-def parse_report(df: DataFrame, text: str, categories: Sequence[str]) -> DataFrame:
-    """Sectioned fixed text to long observations: `-` is 0, `(NA)` is NULL.
+def parse_report(df: DataFrame, text: str, crop: str, expected: str | None = None) -> DataFrame:
+    """A weekly progress and condition report to long observations of one crop.
 
-    Titles cut the text into sections, so a row belongs to the last title above it without
-    ordering lines across tasks. Rows with another number of values are not table rows.
+    The text is cut at its table titles; a table's rows have a label, a dot leader, a colon and
+    values, where `-` is 0 and `(NA)` is NULL. Condition tables have five categories, for states and
+    for the aggregate now, a week ago and a year ago; progress tables have four comparisons. The
+    release date stands in words; the report is out at 16:00 US Eastern and speaks about the Sunday
+    before. Condition figures of a state that do not add up to 100 are flagged; those of the aggregate,
+    figures outside 0..100, a row with another number of values, a date that is not the expected one,
+    a notice, and a report without the crop are problems. `expected` names a date column.
     """
     keep = [c for c in df.columns if c != text]
-    released = F.to_date(F.nullif(F.regexp_extract(text, r"(?i)\bReleased\s+(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")))
-    sections = df.select(*keep, released.alias("release_date"), F.explode(F.split(text, SECTION)).alias("_s"))
-    sections = sections.withColumn("section", F.regexp_extract("_s", SECTION_TITLE, 1)).filter("section <> ''")
-    rows = sections.select(*keep, "release_date", "section", F.explode(F.split("_s", r"\r?\n")).alias("_l"))
-    rows = rows.withColumn("label", F.regexp_replace(F.regexp_extract("_l", ROW, 1), r"\s+", " ")).withColumn(
-        "_v", F.regexp_extract_all(F.regexp_extract("_l", ROW, 2), F.lit(VALUE), F.lit(0))
-    )
-    cells = rows.filter((F.col("label") != "") & (F.size("_v") == len(categories))).select(
-        *keep, "release_date", "section", "label", F.posexplode("_v").alias("_i", "_t")
+    parts = df.withColumn("_parts", F.split(F.col(text), TITLE))
+    said = F.substring_index(F.regexp_replace(_after(F.col(text), "(?i)released "), r"\s+", " "), " ", 3)
+    parts = parts.withColumn("_released", F.try_to_date(F.regexp_replace(F.initcap(said), ",$", ""), "MMMM d, yyyy"))
+    n = F.size("_parts")
+
+    def table(i: Column) -> Column:
+        above = F.get("_parts", i - 1)
+        title = F.trim(F.element_at(F.split(above, r"\r?\n"), -1))
+        return F.struct(F.lower(F.regexp_replace(title, r"\s+", " ")).alias("title"), F.get("_parts", i).alias("body"))
+
+    tables = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), table)).otherwise(F.array().cast("array<struct<title:string,body:string>>"))
+    parts = parts.withColumn("_tables", F.filter(tables, lambda x: x["title"].startswith(crop.lower() + " ")))
+    low = F.lower(F.regexp_replace(text, r"\s+", " "))
+    notice = ~low.contains(TITLE.strip(" -").lower()) & F.array_contains(F.array(*[low.contains(w) for w in NOTICE]), True)
+    problem = F.when(F.col("_released").isNull(), F.when(notice, "release notice").otherwise("no release date"))
+    if expected is not None:
+        problem = problem.when(F.col(expected) != F.col("_released"), "date is not the listed one")
+    problem = problem.when(F.size("_tables") == 0, "no table of the crop")
+
+    def rows(x: Column) -> Column:
+        cells = F.transform(F.split(x["body"], r"\r?\n"), lambda line: F.split(line, r"\.{2,}\s*:", 2))
+        return F.transform(
+            F.filter(cells, lambda c: F.size(c) == 2),
+            lambda c: F.struct(
+                x["title"].alias("title"), F.trim(F.regexp_replace(c[0], r"\s+", " ")).alias("label"),
+                F.filter(F.split(F.trim(c[1]), r"\s+"), lambda v: v != "").alias("values"),
+            ),
+        )
+
+    r = _open(parts.withColumn("_rows", F.flatten(F.transform("_tables", rows))), [*keep, "_released"], problem, F.col("_rows"))
+    stage = F.substring(F.col("_x.title"), len(crop) + 2, 100)
+    stages = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
+    condition = stage == "condition"
+    label = F.lower("_x.label")
+    total = label.isin("previous week", "previous year") | label.rlike(r"^\d+ states$")
+    values = F.transform("_x.values", lambda v: F.when(v == "-", 0.0).when(v != "(NA)", v.try_cast("double")))
+    unread = F.exists("_x.values", lambda v: (v != "-") & (v != "(NA)") & v.try_cast("double").isNull())
+    r = r.select(
+        *keep, F.col("_released").alias("release_date"), "problem", condition.alias("_c"), label.alias("_l"), total.alias("_total"),
+        F.when(condition, "condition").when(stage.isNotNull(), "progress").alias("measure"),
+        F.coalesce(F.try_element_at(stages, stage), F.regexp_replace(stage, " ", "_")).alias("stage"),
+        F.when(total, "selected_states").otherwise(F.col("_x.label")).alias("region"),
+        F.when(total, "selected_states").when(stage.isNotNull(), "state").alias("region_type"), values.alias("_v"), unread.alias("_unread"),
+    ).filter(F.col("problem").isNotNull() | F.col("_c") | ~F.col("_l").startswith("previous "))
+    wanted = F.when(F.col("_c"), len(CONDITION)).otherwise(len(COMPARISONS))
+    added = F.aggregate("_v", F.lit(0.0), lambda a, v: a + v)
+    off = F.col("_c") & (F.abs(added - 100) > 0.01)
+    r = r.withColumn("problem", F.coalesce(
+        "problem", F.when(F.size("_v") != wanted, "wrong number of values").when(F.col("_unread"), "not a figure")
+        .when(F.exists("_v", lambda v: ~v.between(0, 100)), "figure outside 0..100").when(F.col("_total") & off, "aggregate does not add up to 100"),
+    ))
+    now = F.when(F.col("_l") == "previous week", "previous_week").when(F.col("_l") == "previous year", "previous_year").otherwise("current")
+    names = F.when(F.col("_c"), F.array(*[F.struct(now.alias("comparison"), F.lit(c).alias("category")) for c in CONDITION])).otherwise(
+        F.array(*[F.struct(F.lit(c).alias("comparison"), F.lit("percent").alias("category")) for c in COMPARISONS])
     )
-    value = F.when(F.col("_t") == "-", 0.0).when(F.col("_t") != "(NA)", F.col("_t").try_cast("double"))
-    return cells.select(
-        *keep, "release_date", "section", "label", F.array(*[F.lit(c) for c in categories])[F.col("_i")].alias("category"),
-        value.alias("value"),
+    quality = F.when(off, F.concat(F.lit("source_condition_sum_"), F.regexp_replace(added.cast("string"), r"\.0$", "")))
+    columns = [*keep, "release_date", "measure", "stage", "region", "region_type"]
+    out = _open(r.withColumn("_q", quality), [*columns, "_q"], F.col("problem"), F.zip_with(names, "_v", lambda a, v: F.struct(a["comparison"].alias("comparison"), a["category"].alias("category"), v.alias("value"))))
+    day = F.col("release_date")
+    return out.select(
+        *columns, prev_sunday(day).alias("reference_date"),
+        F.to_utc_timestamp(F.timestamp_add("HOUR", F.lit(16), day.cast("timestamp_ntz")).cast("timestamp"), "America/New_York").alias("available_at"),
+        "_x.*", F.col("_q").alias("quality_status"), "problem",
     )
 
 
 def parse_margin_text(df: DataFrame, text: str, description: str, exchange: str, prefix: str) -> DataFrame:
-    """Five-line rate blocks in free text to dated rates by roll index."""
-    pattern = rf"(?m)^(\d{{4}}-\d{{2}}-\d{{2}})\n({description})\n({exchange})\n([0-9]+(?:\.[0-9]+)?)\n({prefix})-(\d+)$"
-
-    def group(g: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    """Rate blocks in free text to dated rates by roll index; a text without any is refused.
 
+    A block is five lines: date, description, exchange, rate, and the product's prefix with its roll index.
+    """
     keep = [c for c in df.columns if c != text]
-    rows = df.select(
-        *keep, F.inline(F.arrays_zip(group(1).alias("_d"), group(5).alias("product"), group(4).alias("_r"), group(6).alias("_i")))
-    )
-    return rows.select(
-        *keep, F.to_date("_d").alias("business_date"), "product", F.col("_i").cast("int").alias("roll_index"),
-        F.col("_r").cast("double").alias("rate"),
+    lines = df.withColumn("_lines", F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x)))
+
+    def block(date: Column, i: Column) -> Column:
+        at = [F.get("_lines", i + k) for k in range(5)]
+        code = F.split(at[4], "-")
+        return F.struct(
+            F.when(F.length(date) == 10, F.try_to_date(date, "yyyy-MM-dd")).alias("business_date"), F.get(code, F.lit(0)).alias("product"),
+            F.get(code, F.lit(1)).try_cast("int").alias("roll_index"), at[3].try_cast("double").alias("rate"),
+            ((at[1] == description) & (at[2] == exchange) & (F.size(code) == 2)).alias("ours"),
+        )
+
+    found = F.filter(
+        F.transform("_lines", block),
+        lambda b: b["ours"] & (b["product"] == prefix) & b["business_date"].isNotNull() & b["roll_index"].isNotNull() & b["rate"].isNotNull(),
     )
+    blocks = lines.withColumn("_b", found)
+    rows = _open(blocks, keep, F.when(F.size("_b") == 0, "no rate rows"), F.col("_b"))
+    return rows.select(*keep, "_x.business_date", "_x.product", "_x.roll_index", "_x.rate", "problem")
 
 
 # ------------------------------------------------------------------ message indexes
 
 
-def parse_message_index(df: DataFrame, text: str) -> Parsed:
+def parse_message_index(df: DataFrame, text: str) -> DataFrame:
     """Index lines to messages; a message ends one byte before the next one starts.
 
     One fold over the line array finds the first fault of an index (ragged line, not a number,
@@ -250,16 +346,18 @@ def parse_message_index(df: DataFrame, text: str) -> Parsed:
         return state(number, offset, run, F.coalesce(acc["problem"], fault))
 
     problem = F.when(F.size("_f") == 0, "empty index").otherwise(F.aggregate("_f", start, step, lambda acc: acc["problem"]))
-    good, rejects = _split(parsed, problem, ["_f"])
     after = F.concat(F.slice("_f", F.lit(2), F.size("_f")), F.array(F.array(F.lit(None).cast("string"))))
 
     def message(x: Column, nxt: Column) -> Column:
+        part = [F.get(x, F.lit(i)) for i in range(7)]
         return F.struct(
-            n(x, 0).alias("number"), n(x, 1).alias("offset"), x[2].alias("run"), x[3].alias("variable"),
-            x[4].alias("level"), x[5].alias("forecast"), x[6].alias("statistic"), (n(nxt, 1) - 1).alias("end"),
+            n(x, 0).alias("number"), n(x, 1).alias("offset"), part[2].alias("run"), part[3].alias("variable"),
+            part[4].alias("level"), part[5].alias("forecast"), part[6].alias("statistic"), (n(nxt, 1) - 1).alias("end"),
         )
 
-    return good.select(*keep, F.inline(F.zip_with("_f", after, message))), rejects.drop(text)
+    # the check above and the messages below read the same split lines
+    checked = parsed.select(*keep, "_f", problem.alias("_problem"))
+    return _open(checked, keep, F.col("_problem"), F.zip_with("_f", after, message)).select(*keep, "_x.*", "problem")
 
 
 def select_required(msgs: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, str]]) -> DataFrame:
@@ -303,31 +401,60 @@ def coalesce_ranges(df: DataFrame, keys: Sequence[str], start: str, end: str, ma
 # ------------------------------------------------------------------ links
 
 
+def resolved(href: Column, url: Column) -> Column:
+    """The absolute target of a link on a page."""
+    scheme = F.substring_index(url, "://", 1)
+    rest = F.regexp_replace(url, r"^[^:/]+://", "")
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(rest, r"^[^/?#]*", 0))
+    page = F.regexp_replace(url, r"[?#].*$", "")
+    folder = F.when(F.regexp_replace(rest, r"[?#].*$", "").contains("/"), F.regexp_replace(page, r"[^/]*$", "")).otherwise(F.concat(page, F.lit("/")))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(site, href)).when(href.startswith("?"), F.concat(page, href))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(url, "#.*$", ""), href)).when(href == "", url).otherwise(F.concat(folder, href))
+    )
+
+
+def host_of(url: Column) -> Column:
+    """Lower-case host without user and port."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def extract_links(df: DataFrame, html: str, url: str, pattern: str, hosts: Sequence[str]) -> DataFrame:
-    """Anchors of a page: absolute target, label, whether the host is allowed. `pattern` has (href, label) groups."""
+    """Anchors of a page: absolute target, label, host, and whether the host is one of `hosts`, exactly.
+
+    `pattern` has (href, label) groups.
+    """
     keep = [c for c in df.columns if c not in (html, url)]
     links = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"),
-        F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("label"),
+        F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("_h"),
+        F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("_l"),
     )
-    host = F.regexp_extract(url, r"^https?://([^/?#]+)", 1)
-    rows = df.select(*keep, host.alias("_h"), F.inline(links))
-    target_host = F.regexp_extract("href", r"^https?://([^/?#]+)", 1)
-    return rows.select(
-        *keep, "href", F.trim(F.regexp_replace("label", r"\s+", " ")).alias("label"),
-        F.when(target_host != "", target_host).otherwise(F.col("_h")).alias("host"),
-    ).withColumn("allowed", F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: F.col("host").endswith(h)))
+    rows = df.select(*keep, F.col(url).alias("_url"), F.inline(links))
+    out = rows.select(*keep, resolved(F.col("_h"), F.col("_url")).alias("href"), F.trim(F.regexp_replace("_l", r"\s+", " ")).alias("label"))
+    out = out.withColumn("host", host_of(F.col("href")))
+    return out.withColumn("allowed", F.col("host").isin(*[h.lower() for h in hosts]))
 
 
-def typed_links(links: DataFrame, label_pattern: str, date_format: str, suffix: str) -> DataFrame:
-    """Links whose label is a dated release and whose target has the wanted file type, with that date.
+def typed_links(links: DataFrame, keys: Sequence[str], label_pattern: str, date_format: str, suffix: str) -> DataFrame:
+    """Releases of each page by date: links with a dated label and the wanted file type.
 
-    Group 1 of `label_pattern` is the date. A release on a host that is not allowed is kept and
-    marked, so a caller can refuse the page.
+    Group 1 of `label_pattern` is the date. A release on a host that is not allowed, or a date with
+    more than one target, is a problem of that release.
     """
     path = F.lower(F.regexp_replace("href", r"[?#].*$", ""))
     text = F.regexp_replace(F.regexp_extract("label", label_pattern, 1), r"\s+", " ")
-    return links.filter((text != "") & path.endswith(suffix)).withColumn("release_date", F.try_to_date(text, date_format))
+    dated = links.filter((text != "") & path.endswith(suffix)).withColumn("release_date", F.try_to_date(text, date_format))
+    per_date = dated.groupBy(*keys, "release_date").agg(
+        F.min("href").alias("href"), F.max("href").alias("_other"), F.min(F.col("allowed").cast("int")).alias("_ok")
+    )
+    problem = F.when(F.col("release_date").isNull(), "unreadable date").when(F.col("_ok") == 0, "host not allowed").when(F.col("href") != F.col("_other"), "more than one target")
+    return per_date.select(*keys, "release_date", "href", problem.alias("problem"))
+
+
+def last_page(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The largest page number that a page links to; 0 where it links to none."""
+    return links.groupBy(*keys).agg(F.coalesce(F.max(page_number("href")), F.lit(0)).alias("last_page"))
 
 
 def link_conflicts(links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -346,19 +473,19 @@ def page_number(c: str | Column) -> Column:
 
 def import_export(
     df: DataFrame, columns: Mapping[str, str], root: str, root_values: Mapping[str, str], prices: Sequence[str], multiplier: float
-) -> Parsed:
+) -> DataFrame:
     """Vendor columns through an explicit mapping; a root value the mapping lacks is an error row."""
     missing = sorted(set(columns.values()) - set(df.columns))
     if missing:
         raise ValueError(f"export is missing mapped columns: {missing}")
     picked = df.select(*[F.col(v).alias(k) for k, v in columns.items()])
     lookup = F.create_map(*[F.lit(x) for kv in root_values.items() for x in kv])
-    mapped = picked.withColumn("_root", F.try_element_at(lookup, F.trim(F.col(root))))
-    good, bad = _split(mapped, F.when(F.col("_root").isNull(), "unmapped root"), ["_root"])
-    good = good.withColumn(root, F.col("_root")).drop("_root")
+    found = F.try_element_at(lookup, F.trim(F.col(root)))
+    marked = picked.withColumn("problem", F.when(found.isNull(), "unmapped root"))
+    out = marked.withColumn(root, F.coalesce(found, F.col(root)))
     for p in prices:
-        good = good.withColumn(f"{p}_cents", F.col(p).cast("double") * multiplier).drop(p)
-    return good, bad
+        out = out.withColumn(f"{p}_cents", F.when(F.col("problem").isNull(), F.col(p).cast("double") * multiplier)).drop(p)
+    return out
 
 
 def normalize_history(df: DataFrame, expiry: str, o: str, h: str, lo: str, s: str) -> DataFrame:
@@ -410,10 +537,10 @@ def normalise_outlooks(
     )
 
 
-def filter_verified(df: DataFrame, archived: str, available: str, lead: str, expected: str) -> Parsed:
-    """Rows archived by their availability whose lead is the manifest's; the rest with a reason."""
+def filter_verified(df: DataFrame, archived: str, available: str, lead: str, expected: str) -> DataFrame:
+    """Rows archived by their availability whose lead is the manifest's have no problem; the rest name it."""
     problem = F.when(F.col(archived) > F.col(available), "archived late").when(F.col(lead) != F.col(expected), "wrong lead")
-    return _split(df, problem, [])
+    return df.withColumn("problem", problem)
 
 
 def geo_dims(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:

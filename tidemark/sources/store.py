@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +9,21 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names for shared files; a private one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A folder for this application under the one that `spark.checkpoint.dir` names.
+
+    Without one the job fails: executors would write to their own disks and reads would miss files.
+    """
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share, or name a root")
     return f"{base.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
 
 class Store:
-    """Processed tables by name, overwritten on rebuild."""
+    """Processed tables by name, overwritten on rebuild.
+
+    Writing is the feature: `write` runs the job at once.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self.root = spark, root or shared_root(spark)
@@ -47,7 +51,8 @@ class Store:
 def write_results(df: DataFrame, path: str, digits: Mapping[str, int]) -> None:
     """Small result table to one CSV with fixed rounding.
 
-    Callers pass report-sized frames; they are already aggregated, so one output task is enough.
+    Writing is the feature, so the job runs at once. Callers pass report-sized frames; they are already
+    aggregated, so one output task is enough.
     """
     out = df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
     out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

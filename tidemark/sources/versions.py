@@ -29,22 +29,21 @@ def content_hash(c: str | Column) -> Column:
 
 
 def rowset_fingerprint(df: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
-    """Order-insensitive fingerprint of each key's rows.
+    """Order-insensitive digest of each key's rows; equal rows count as often as they occur.
 
-    Row digests are added up, which commutes, so a key's rows are never gathered or sorted.
-    The two sums and the count feed the final hash.
+    A row is digested as JSON, so field borders and NULLs are part of it. A key's rows meet only in
+    buckets: equal digests are counted, each bucket (by the digest's first two hex digits) is digested in sorted
+    order, and the key's digest covers its bucket digests. No sum that could cancel out, and a key's
+    rows are spread over 256 groups.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in row])
-    digest = F.md5(text)
-
-    def word(at: int) -> Column:
-        return F.conv(F.substring(digest, at, 12), 16, 10).cast("decimal(20,0)")
-
-    sums = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(word(1)).alias("_a"), F.sum(word(13)).alias("_b")
+    digest = F.sha2(F.to_json(F.struct(*row), {"ignoreNullFields": "false"}), 256)
+    each = df.select(*keys, digest.alias("_d")).groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_n"))
+    bucket = each.groupBy(*keys, F.substring("_d", 1, 2).alias("_b")).agg(
+        F.sum("_n").alias("_n"),
+        F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("_d", F.lit(":"), F.col("_n").cast("string")))), "\n"), 256).alias("_h"),
     )
-    parts = F.concat_ws(":", F.col("rows").cast("string"), F.col("_a").cast("string"), F.col("_b").cast("string"))
-    return sums.select(*keys, "rows", F.sha2(parts, 256).alias("fingerprint"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_h"))), lambda x: F.concat(x["_b"], x["_h"])), "\n")
+    return bucket.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.sha2(listed, 256).alias("fingerprint"))
 
 
 def history(log: DataFrame, source: str | None = None, key: str | None = None) -> DataFrame:
@@ -97,10 +96,24 @@ def snapshot(log: DataFrame) -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Size and digest of every file of a table; each file is hashed where it is read."""
+#: The largest file whose content fits one value.
+WHOLE_FILE = 2_000_000_000
+
+
+def file_digests(spark: SparkSession, path: str, largest: int = WHOLE_FILE) -> DataFrame:
+    """Size and digest of every file of a table; each file is hashed where it is read.
+
+    A file's content is one value there, so files above `largest` bytes are not opened: they are
+    listed with their size, without a digest, and with the problem named.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    small = files.filter(F.col("length") <= largest)
+    big = files.filter(F.col("length") > largest)
+    none = F.lit(None).cast("string")
+    return small.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), none.alias("problem")).union(
+        big.select(name, F.col("length").alias("bytes"), none.alias("sha256"), F.lit("too large for one value").alias("problem"))
+    )
 
 
 def plan_missing(keys: DataFrame, log: DataFrame, key: Sequence[str], period: str, periods: Column, open_period: Column) -> DataFrame:
