@@ -173,7 +173,8 @@ def test_choice_sees_training_rows_only(spark):
     for rows in (base, other):
         df = spark.createDataFrame(rows, "k string, fold int, role string, d int, x double, y double, cost double")
         chosen = WF.nested_choice(df, ["k", "fold"], "d", "y", ["x"], "cost", {"alpha=1": 1.0, "alpha=100": 100.0})
-        picks.append(chosen.first())
+        r = chosen.first()
+        picks.append((r.candidate, r.trades, *(round(x, 9) for x in (r.threshold, r.net, r.sharpe))))
         assert WF.refit_choice(df, chosen, ["k", "fold"], "y", ["x"], {"alpha=1": 1.0, "alpha=100": 100.0}).count() == 30
     assert picks[0] == picks[1]
 
