@@ -23,6 +23,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def row_key(*cols: str) -> list[Column]:
     """Two longs that name a document: its id and a hash of id and content.
 
@@ -117,5 +122,5 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
 def unpacked(df: DataFrame, columns: Sequence[str], text: Column | None = None) -> DataFrame:
     """The columns of the rows again; with a new text, and its length where there is an n_chars."""
     named = df if text is None else df.withColumn("_text", text)
-    new = {} if text is None else {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    new = {} if text is None else {"text": F.col("_text"), "n_chars": F.coalesce(F.length("_text").cast("long"), F.lit(0).cast("long"))}
     return named.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])

@@ -12,10 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, packed, row_key, text_or_empty, unpacked
+from .common import WORD, WS, bound, packed, row_key, text_or_empty, unpacked
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+
+
+def paired(gap: int):
+    """Each hash joined with the one `gap` places on; at the end, where there is none, with nothing."""
+    return lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + gap)))
 
 
 def repeated_words(words: Column) -> Column:
@@ -24,11 +29,10 @@ def repeated_words(words: Column) -> Column:
     Windows are sorted by hash; equal neighbours are repeats. Their starts, sorted, cover
     min(8, gap to the next start) words each.
     """
-    n = F.size(words)
-    hashes = F.when(
-        n >= WINDOW,
-        F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    hashes = words
+    for gap in (1, 2, 4):  # windows of two, four, eight words from pairs of windows of half the size
+        hashes = bound(hashes, paired(gap))
+    hashes = F.slice(hashes, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
 
     def covered(w: Column) -> Column:
         ordered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -41,19 +45,17 @@ def repeated_words(words: Column) -> Column:
             steps = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
             return F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b)
 
-        # a one-element array binds a value to a name, so it is computed once
-        found = F.transform(F.array(ordered), starts)
-        return F.get(F.transform(found, width), F.lit(0))
+        return bound(bound(ordered, starts), width)
 
     def count(w: Column) -> Column:
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered(w))
 
-    return F.get(F.transform(F.array(hashes), count), F.lit(0))
+    return bound(hashes, count)
 
 
 def normal_line(line: Column) -> Column:
     """Lower case, runs of digits as one 0, single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), WS, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
 
 
 def lines_of(text: Column) -> Column:
@@ -99,8 +101,8 @@ def quality_rules(
     )
     stats = F.struct(
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", WS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
     )

@@ -33,7 +33,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.line_duplicates(documents(spark, sf_dir))
     listed = F.concat_ws(",", F.col("removed_lines").cast("array<string>"))
-    return found.select("doc_id", "n_lines", "n_compared", "n_removed", listed.alias("removed_lines"))
+    return found.select("doc_id", "n_lines", "n_removed", listed.alias("removed_lines"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
