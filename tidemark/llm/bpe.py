@@ -11,6 +11,7 @@ texts (or one longer text) and a cache of bounded size.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -27,7 +28,7 @@ from .common import chunks
 # Fixed value: how byte-level BPE of this family cuts a text into words.
 CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
 ROW = 64
-CACHE = 400_000
+CACHE = 250_000
 NO_RANK = np.int32(2**31 - 1)
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -51,7 +52,7 @@ def classes_of(tokenizer, top: int) -> dict[str, str]:
         return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     every = "".join(chr(c) for c in range(top) if not 0xD800 <= c < 0xE000)
-    guess = {"L": r"\p{L}+", "N": r"\p{N}+", "S": r"\s+", "O": r"[^\s\p{L}\p{N}]+"}
+    guess = {"L": r"\p{L}{1,4096}", "N": r"\p{N}{1,4096}", "S": r"\s{1,4096}", "O": r"[^\s\p{L}\p{N}]{1,4096}"}
     probe = {"L": "a", "N": "1", "O": "!"}
     sets: dict[str, list[str]] = {k: [] for k in guess}
 
@@ -67,7 +68,7 @@ def classes_of(tokenizer, top: int) -> dict[str, str]:
     for kind, pattern in guess.items():
         for run in regex.findall(pattern, every):
             place(run, kind)
-    return {k: ranges(sorted("".join(v))) for k, v in sets.items()}
+    return {k: ranges("".join(v)) for k, v in sets.items()}
 
 
 def word_pattern(classes: dict[str, str]) -> str:
@@ -75,9 +76,9 @@ def word_pattern(classes: dict[str, str]) -> str:
     return f"{CONTRACTIONS}| ?(?:[{letters}]+|[{digits}]+|[{other}]+)|[{space}]+(?![{letters}{digits}{other}])|[{space}]+"
 
 
-def ranges(chars: Sequence[str]) -> str:
-    """The inside of a character class for a sorted list of characters."""
-    points = np.array([ord(c) for c in chars], dtype=np.int64)
+def ranges(chars: str) -> str:
+    """The inside of a character class for some characters."""
+    points = np.sort(np.frombuffer(chars.encode("utf-32-le"), np.uint32).astype(np.int64))
     breaks = np.flatnonzero(np.diff(points) != 1) + 1
     return "".join(f"\\U{p[0]:08x}-\\U{p[-1]:08x}" for p in np.split(points, breaks) if len(p))
 
@@ -272,8 +273,14 @@ class Encoder:
         return [[found[w] for w in words] for words in split]
 
 
+@functools.cache
+def vocabulary(path: str) -> Vocabulary:
+    """A file's vocabulary, read once by the driver."""
+    return Vocabulary(path)
+
+
 def encoded(docs: DataFrame, path: str, schema: str, make) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value.encoder()
