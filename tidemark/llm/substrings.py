@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.common import spread_join
+
 from .common import cut
 
 WINDOW, GRAM = 100, 40
@@ -41,8 +43,6 @@ SLICE, PLACE_BITS = 4 << 20, 23
 MANY = 256
 #: Batch and shard sizes of the transforms, in bytes.
 BATCH, SHARD = 1 << 17, 1 << 15
-#: Rows that go to all executors to fetch texts, at most; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
 BASE = 0x9E3779B97F4A7C15
 LAST = 2**63 - 1
 NONE = np.uint16(65535)
@@ -355,7 +355,6 @@ def settled(found: DataFrame) -> DataFrame:
 def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The strings of fragments (anchor, _k1, _k2, start, n) with their bytes, text."""
     per_doc = wanted.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("anchor", "start", "n", "many")).alias("asked"))
-    side = F.broadcast(per_doc) if wanted.count() <= BROADCAST_ROWS else per_doc
 
     def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,7 +365,7 @@ def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows += [(x["anchor"], k1, k2, x["start"], x["n"], x["many"], raw[x["start"] : x["start"] + x["n"] + WINDOW - 1]) for x in asked]
                 yield table(STRING, *zip(*rows))
 
-    met = rows_of(docs).join(side, ["_k1", "_k2"]).select("_k1", "_k2", "text", "asked")
+    met = rows_of(docs).join(per_doc, ["_k1", "_k2"]).select("_k1", "_k2", "text", "asked")
     return met.mapInArrow(slices, STRING).dropDuplicates(["anchor", "_k1", "_k2", "start"])
 
 
@@ -375,7 +374,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     found = cut(settled(rows_of(docs).mapInArrow(scan, FRAGMENT)))
     several = found.filter(F.col("kind") == DIFFERS).drop("kind")
     sizes = several.groupBy("anchor").agg((F.count(F.lit(1)) > MANY).cast("int").alias("many"))
-    strings = cut(fetch(docs, several.join(sizes, "anchor")))
+    strings = cut(fetch(docs, spread_join(several, sizes, ["anchor"])))
     few = strings.filter("many = 0").select("anchor", "_k1", "_k2", "start", "n", "text")
     compared = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, RANGE)
     windows = strings.filter("many = 1").select("_k1", "_k2", "start", "n", "text").mapInArrow(scan_windows, FRAGMENT)
