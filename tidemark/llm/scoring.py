@@ -3,15 +3,15 @@
 What is learned from the corpus, all of it in grouped sums over every training document:
 
 * the count of each token (a table as large as the vocabulary, never collected);
-* a binary code for bytes, short for frequent ones (a Huffman code: 256 counts);
+* a binary code for bytes given the byte before, short for frequent ones (Huffman codes: 65,536 counts);
 * for each of ORDERS hashed contexts (the last one, two and three bytes, and the whole beginning of the
   word) and each node of the code, how often either branch followed. A word's bytes are predicted from
   inside the word, so these come from the token counts, each distinct word once with its count as
   weight. The tables have 2^SLOT_BITS slots each, whatever the corpus, so they can be broadcast.
 
-A text is scored bit by bit. Each context gives the log-odds of its slot; a gate (how many contexts have
-been seen in training) selects a weight vector; the weighted sum is squashed to a probability, which an
-adaptive table refines; the bit's cost is added, and weights and table learn from the error. The mixer
+A text is scored bit by bit. Each context gives the log-odds of its slot, and a gate between 0 and 1 from
+how often training met the slot; the sum of weight x gate x log-odds is squashed to a probability, which
+an adaptive table refines; the bit's cost is added, and weights and table learn from the error. The mixer
 starts anew every SEGMENT bits, so segments of all documents of a slice advance together as lanes of
 one array, and a document's score does not depend on its neighbours.
 
@@ -21,6 +21,7 @@ Tokens outside a broadcast list of the HOT most frequent words meet their counts
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -35,16 +36,19 @@ from .common import chunks, cut, row_key
 
 ORDERS = 4
 SLOT_BITS = 19
-SEGMENT = 4096
+SEGMENT = 2048
 HOT, HOT_BYTES = 200_000, 40
 #: Tokens of a document that are laid out at once; the mixer starts anew between such parts.
 PART = 1 << 18
 ADD = 0.1
 END = b"\n"  # cannot occur in a word
-GATES = ORDERS + 1
 CELLS = 33
+#: Gated log-odds are kept as whole steps of this size in a byte.
+STEPS = 1 / 15.5
 RATE, REFINE = 0.02, 0.02
-START_WEIGHT = 0.35
+START_WEIGHT = 0.4
+#: Sightings of a slot that open its gate half way.
+HALF_OPEN = 2.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = 0x100000001B3
 
@@ -56,22 +60,31 @@ def tokens(text: str | None) -> list[bytes]:
 
 @dataclass
 class Code:
-    """A prefix code for bytes: per byte its length, the nodes on its path, and the branches taken."""
+    """Prefix codes for a byte after a byte: length, the nodes on the path, and the branches taken."""
 
-    length: np.ndarray
-    node: np.ndarray
+    length: np.ndarray  # before x byte
+    node: np.ndarray  # before x byte x depth
     bit: np.ndarray
 
     @staticmethod
     def fit(counts: np.ndarray) -> Code:
-        """Huffman code; every byte has a code, those never seen the longest."""
-        heap = [(int(c) + 1, i, None) for i, c in enumerate(counts)]
+        """Huffman codes from counts of byte pairs; every byte has a code, those never seen the longest."""
+        paths = [Code._paths(row.tolist()) for row in counts]
+        width = max(len(p) for row in paths for p in row)
+        node, bit = np.zeros((2, 256, 256, width), np.uint8)
+        for before, row in enumerate(paths):
+            for byte, path in enumerate(row):
+                node[before, byte, : len(path)] = [n for n, _ in path]
+                bit[before, byte, : len(path)] = [b for _, b in path]
+        return Code(np.array([[len(p) for p in row] for row in paths]), node, bit)
+
+    @staticmethod
+    def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
+        heap: list[tuple] = [(c + 1, i, None) for i, c in enumerate(counts)]
         heapq.heapify(heap)
-        number = 256
-        while len(heap) > 1:
+        for number in range(256, 511):
             a, b = heapq.heappop(heap), heapq.heappop(heap)
             heapq.heappush(heap, (a[0] + b[0], number, (a, b)))
-            number += 1
         paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
         todo = [(heap[0], [])]
         while todo:
@@ -79,12 +92,22 @@ class Code:
             if sides is None:
                 paths[i] = path
             else:
-                todo += [(side, [*path, (i - 255, bit)]) for bit, side in enumerate(sides)]
-        width = max(map(len, paths))
-        node, bit = np.zeros((256, width), np.uint64), np.zeros((256, width), np.uint8)
-        for i, path in enumerate(paths):
-            node[i, : len(path)], bit[i, : len(path)] = zip(*path)
-        return Code(np.array([len(p) for p in paths]), node, bit)
+                todo += [(side, [*path, (i - 256, bit)]) for bit, side in enumerate(sides)]
+        return paths
+
+
+def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words in a row, the byte before each (a space before a word), and each word's size.
+
+    A word is its bytes and a space; the end token is one line feed.
+    """
+    size = np.array([len(w) + (w != END) for w in words], np.int64)
+    raw = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    if END in words:
+        raw = np.delete(raw, np.cumsum([len(w) + 1 for w in words])[[i for i, w in enumerate(words) if w == END]] - 1)
+    before = np.roll(raw, 1)
+    before[np.cumsum(size) - size] = 32
+    return raw, before, size
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -95,21 +118,17 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def layout(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-    """The bits of all words in a row: bits per word, the bits, and the slots of each context in turn.
-
-    A word is its bytes and a space; the end token is one line feed.
-    """
-    spelled = [w if w == END else w + b" " for w in words]
-    size = np.array([len(w) for w in spelled], np.int64)
-    raw = np.frombuffer(b"".join(spelled), np.uint8)
+    """The bits of all words in a row: bits per word, the bits, and the slots of each context in turn."""
+    raw, before, size = spelled(words)
     first = np.repeat(np.cumsum(size) - size, size)
     at = np.arange(len(raw)) - first
-    lengths = code.length[raw]
-    place = np.repeat(np.arange(len(raw)), lengths)
-    depth = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    bits = code.bit[raw[place], depth]
-    nodes = code.node[raw[place], depth]
-    per_word = np.add.reduceat(lengths, np.cumsum(size) - size) if len(size) else lengths
+    lengths = code.length[before, raw]
+    place = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
+    depth = np.arange(len(place), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    entry = (before.astype(np.int32) << 8 | raw)[place] * np.int32(code.bit.shape[2]) + depth
+    bits = code.bit.ravel()[entry]
+    nodes = code.node.ravel()[entry].astype(np.uint32) * np.uint32(0xC2B2AE35)
+    per_word = np.add.reduceat(lengths, np.cumsum(size) - size) if len(size) else size
 
     def slots() -> Iterator[np.ndarray]:
         wide = raw.astype(np.uint64) + np.uint64(1)
@@ -128,8 +147,14 @@ def layout(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, Iter
                 if len(raw):
                     context = (sums[:-1] - sums[first]) * back_power[first]
             mixed = (context * MIX + np.uint64(order + 1)) * MIX
-            mixed ^= mixed >> np.uint64(29)
-            yield ((mixed[place] + nodes * np.uint64(0xD6E8FEB86659FD93)) * MIX >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            mixed = (mixed ^ mixed >> np.uint64(29)).astype(np.uint32)
+            slot = mixed[place]
+            slot += nodes
+            slot *= np.uint32(0x9E3779B1)
+            slot ^= slot >> np.uint32(15)
+            slot *= np.uint32(0x85EBCA77)
+            slot >>= np.uint32(32 - SLOT_BITS)
+            yield slot.astype(np.int32)
 
     return per_word, bits, slots()
 
@@ -137,8 +162,7 @@ def layout(words: list[bytes], code: Code) -> tuple[np.ndarray, np.ndarray, Iter
 @dataclass
 class Model:
     code: Code
-    odds: np.ndarray  # ORDERS x slots: log-odds of a 1 bit
-    seen: np.ndarray  # ORDERS x slots: whether training met the slot
+    odds: np.ndarray  # ORDERS x slots, bytes: log-odds of a 1 bit times the slot's gate, in STEPS
     hot: dict[bytes, int]
     total: int
     distinct: int
@@ -146,11 +170,9 @@ class Model:
     def costs(self, words: list[bytes], stream: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 probability of each run of tokens: `stream` are word numbers, a run is first[i] ... + count[i]."""
         per_word, bits, slots = layout(words, self.code)
-        inputs = np.empty((len(bits), ORDERS), np.float32)
-        gate = np.zeros(len(bits), np.int8)
+        inputs = np.empty((len(bits), ORDERS), np.int8)
         for k, slot in enumerate(slots):
-            inputs[:, k] = self.odds[k, slot]
-            gate += self.seen[k, slot]
+            inputs[:, k] = self.odds[k].take(slot)
         begin = np.cumsum(per_word) - per_word
         # positions of all bits of the stream in the words' bits
         lengths = per_word[stream]
@@ -166,41 +188,54 @@ class Model:
         length = np.minimum(SEGMENT, run_bits[run] - nth * SEGMENT)
         order = np.argsort(-length, kind="stable")
         cost = np.zeros(len(run))
-        cost[order] = mix(inputs, gate, bits, where, off[order], length[order])
+        cost[order] = mix(inputs, bits, where, off[order], length[order])
         return np.bincount(run, cost, minlength=len(first)) / math.log(10)
 
 
-def mix(inputs: np.ndarray, gate: np.ndarray, bits: np.ndarray, where: np.ndarray, off: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Natural log probability of each lane's bits; lanes stand longest first."""
-    lanes = len(off)
-    weights = np.full((lanes * GATES, ORDERS), START_WEIGHT, np.float32)
+def mix(inputs: np.ndarray, bits: np.ndarray, where: np.ndarray, off: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Natural log probability of each lane's bits; lanes stand longest first.
+
+    `inputs` are bytes, one row of ORDERS for each bit of the words, and travel as one number a row.
+    """
+    lanes, block = len(off), 64
+    rows = np.ascontiguousarray(inputs).view(np.int32).ravel()
+    truth = bits.astype(np.float32)
+    weights = np.full((ORDERS, lanes), START_WEIGHT * STEPS, np.float32)
     centre = 1 / (1 + np.exp(-(np.arange(CELLS) - CELLS // 2) / 2))
     refined = np.tile(centre.astype(np.float32), lanes)
+    cell = np.arange(lanes) * CELLS + CELLS // 2
     total = np.zeros(lanes)
-    own, cell = np.arange(lanes) * GATES, np.arange(lanes) * CELLS + CELLS // 2
     live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1 if lanes else 1), side="right")
-    kept = np.empty((64, lanes), np.float32)
-    for t, m in enumerate(live.tolist()):
-        at = where[off[:m] + t]
-        x = inputs[at]
-        y = bits[at].astype(np.float32)
-        rows = own[:m] + gate[at]
-        w = weights[rows]
-        s = np.einsum("ij,ij->i", w, x)
-        np.clip(s, -7.9, 7.9, out=s)
-        p = 1 / (1 + np.exp(-s))
-        cells = cell[:m] + np.rint(s * 2).astype(np.int64)
-        r = refined[cells]
-        chance = (p + r) / 2
-        kept[t % 64, :m] = np.abs(1 - y - chance)
-        kept[t % 64, m:] = 1
-        if t % 64 == 63:
-            total += np.log(kept).sum(axis=0, dtype=np.float64)
-        weights[rows] = w + ((y - p) * np.float32(RATE))[:, None] * x
-        refined[cells] = r + (y - r) * np.float32(REFINE)
-    rest = len(live) % 64
-    if rest:
-        total += np.log(kept[:rest]).sum(axis=0, dtype=np.float64)
+    product = np.empty((ORDERS, lanes), np.float32)
+    kept = np.empty((block, lanes), np.float32)
+    for begin in range(0, len(live), block):
+        counts = live[begin : begin + block].tolist()
+        at = off[: counts[0], None] + np.arange(begin, begin + len(counts))
+        at = where.take(at, mode="clip").T.astype(np.int64, order="C")
+        kept[:] = 0
+        for t, m in enumerate(counts):
+            here = at[t, :m]
+            x = rows.take(here).view(np.int8).reshape(m, ORDERS).T.astype(np.float32, order="C")
+            y = truth.take(here)
+            w = weights[:, :m]
+            s = np.multiply(w, x, out=product[:, :m]).sum(axis=0)
+            np.minimum(np.maximum(s, -7.9, out=s), 7.9, out=s)
+            cells = np.rint(s * np.float32(2)).astype(np.int64)
+            cells += cell[:m]
+            p = np.exp(-s, out=s)
+            p += np.float32(1)
+            np.reciprocal(p, out=p)
+            r = refined.take(cells)
+            miss, wide = np.subtract(y, p), np.subtract(y, r)
+            # the probability given to the bit is one less the mean of the two misses
+            np.abs(miss + wide, out=kept[t, :m])
+            miss *= np.float32(RATE * STEPS * STEPS)
+            x *= miss
+            w += x
+            wide *= np.float32(REFINE)
+            wide += r
+            refined[cells] = wide
+        total += np.log1p(kept[: len(counts)] * np.float32(-0.5)).sum(axis=0, dtype=np.float64)
     return total
 
 
@@ -235,18 +270,20 @@ def fit(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     hot = counts.filter(F.length("w") <= HOT_BYTES).orderBy(F.col("c").desc(), "w").limit(HOT).toArrow()
 
-    def bytes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(256)
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << 16)
         for batch in batches:
-            words = [w if w == END else w + b" " for w in batch.column(0).to_pylist()]
-            weights = np.repeat(batch.column(1).to_numpy(), [len(w) for w in words])
-            seen += np.bincount(np.frombuffer(b"".join(words), np.uint8), weights, minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(seen.astype(np.int64))], ["b", "n"])
-
-    frequency = np.zeros(256, np.int64)
-    for b, n in counts.mapInArrow(bytes_of, "b int, n long").groupBy("b").agg(F.sum("n")).collect():
-        frequency[b] = n
-    code = Code.fit(frequency)
+            if batch.num_rows:
+                raw, before, size = spelled(batch.column(0).to_pylist())
+                weight = np.repeat(batch.column(1).to_numpy(), size)
+                seen += np.bincount(before.astype(np.int64) << 8 | raw, weight, minlength=1 << 16)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at].astype(np.int64))], ["at", "n"])
+
+    frequency = np.zeros(1 << 16, np.int64)
+    for at, n in counts.mapInArrow(pairs, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+        frequency[at] = n
+    code = Code.fit(frequency.reshape(256, 256))
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, ORDERS << SLOT_BITS))
@@ -279,12 +316,12 @@ def fit(docs: DataFrame, folds: int = 10) -> tuple[Model, DataFrame]:
 
     summed = counts.mapInArrow(contexts, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     table = summed.toArrow()  # at most ORDERS << SLOT_BITS rows
-    odds, seen = np.zeros(ORDERS << SLOT_BITS, np.float32), np.zeros(ORDERS << SLOT_BITS, np.int8)
-    slot = table["slot"].to_numpy()
-    odds[slot] = np.log((table["n1"].to_numpy() + 0.02) / (table["n0"].to_numpy() + 0.02)).clip(-8, 8)
-    seen[slot] = 1
+    odds = np.zeros(ORDERS << SLOT_BITS, np.int8)
+    n0, n1 = table["n0"].to_numpy(), table["n1"].to_numpy()
+    gated = np.log((n1 + 0.02) / (n0 + 0.02)).clip(-8, 8) * (n0 + n1) / (n0 + n1 + HALF_OPEN)
+    odds[table["slot"].to_numpy()] = np.rint(gated / STEPS)
     words = dict(zip(hot["w"].to_pylist(), hot["c"].to_pylist()))
-    return Model(code, odds.reshape(ORDERS, -1), seen.reshape(ORDERS, -1), words, int(total), int(distinct)), counts
+    return Model(code, odds.reshape(ORDERS, -1), words, int(total), int(distinct)), counts
 
 
 def parts_of(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[bytes]]]]:
@@ -310,9 +347,10 @@ def score_texts(model: Model, texts: list[str | None]):
     logs, score = np.zeros(n), np.zeros(n)
     rare: list[tuple[np.ndarray, list[bytes], np.ndarray]] = []
     for which, lists in parts_of(texts):
-        number: dict[bytes, int] = {}
-        stream = np.array([number.setdefault(w, len(number)) for words in lists for w in words], np.int64)
-        words = list(number)
+        flat = list(itertools.chain.from_iterable(lists))
+        words = list(dict.fromkeys(flat))
+        number = dict(zip(words, range(len(words))))
+        stream = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         sizes = np.array([len(x) for x in lists])
         doc = np.repeat(np.array(which), sizes)
         count = np.array([model.hot.get(w, 0) for w in words])
