@@ -95,22 +95,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = cut(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("f")))
+    first = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("f"))
+    if both.isEmpty():
+        return first.select("node", F.col("f").alias("component"))
+    labels = cut(first)
     while True:
         up = labels.select(F.col("node").alias("f"), F.col("f").alias("g"))
-        known = labels.join(up, "f").select("node", "f", "g")
+        known = labels.select("node", "f").join(up, "f").select("node", "f", "g")
         seen = both.join(known.select(F.col("node").alias("v"), F.col("g").alias("gv")), "v")
         hooked = seen.join(labels.select(F.col("node").alias("u"), F.col("f").alias("fu")), "u")
+        was = F.col("f").alias("was")
+        none = F.when(F.lit(False), F.col("gv")).alias("was")
         offers = (
-            hooked.select(F.col("u").alias("node"), F.col("gv").alias("f"))
-            .union(hooked.select(F.col("fu").alias("node"), F.col("gv").alias("f")))
-            .union(known.select("node", F.least("f", "g").alias("f")))
+            hooked.select(F.col("u").alias("node"), F.col("gv").alias("f"), none)
+            .union(hooked.select(F.col("fu").alias("node"), F.col("gv").alias("f"), none))
+            .union(known.select("node", F.least("f", "g").alias("f"), was))
         )
-        new = cut(offers.groupBy("node").agg(F.min("f").alias("f")))
-        changed = new.join(labels.select("node", F.col("f").alias("old")), "node").filter(F.col("f") != F.col("old"))
-        moved = changed.limit(1).count()
-        labels = new
-        if not moved:
+        labels = cut(offers.groupBy("node").agg(F.min("f").alias("f"), F.max("was").alias("was")))
+        if labels.filter(F.col("f") != F.col("was")).isEmpty():
             return labels.select("node", F.col("f").alias("component"))
 
 
