@@ -252,3 +252,12 @@ def test_shift_by_the_whole_year_keeps_totals(spark):
     df = spark.createDataFrame(rows, "k string, e date, x date, year int, raw int, gross double, cost double")
     null = UN.circular_null(df, ["k"], "e", "year", "raw", "e", "x", "gross", "cost", 5, 1).collect()
     assert len(null) == 5 and all(abs(r.total - 0.2) < 1e-12 for r in null)
+
+
+def test_boosted_trees_test_every_year(spark, monkeypatch):
+    from tidemark.plans import load
+    from tidemark.plans.q_folds import YEARS
+
+    monkeypatch.setattr(ML, "fit_gbt", lambda train, test, y, xs: test.withColumn("score", F.lit(0.0)))
+    out = load()["wf8_fit_gbt"].run(spark, "/root/testdata/sf0.001")
+    assert sorted(r.fold for r in out.select("fold").distinct().collect()) == list(YEARS)

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from .folds import fit_prep
 from .stats import moments
 
+#: Spark ML fits that run at the same time.
+FITS = 4
+
 
 def fit_enet(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], grid: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Test rows scored by every elastic net of a grid: name -> (alpha, l1 share).
@@ -99,16 +102,23 @@ def by_fold(folds: DataFrame, fold_ids: Sequence[int], xs: Sequence[str], fits:
     """Test scores of every candidate of every fold, stacked.
 
     Regressors are imputed and standardised on each fold's training rows (population deviation). Spark
-    ML trains while the frame is built: a fold's prepared rows are kept in the executors meanwhile, so
-    the passes of a fit do not read the source again.
+    ML trains while the frame is built: all folds' rows are prepared once and kept in the executors
+    meanwhile, so the passes of a fit do not read the source again. Fits run FITS at a time.
     """
+    from concurrent.futures import ThreadPoolExecutor
     from functools import reduce
 
+    from pyspark import inheritable_thread_target
+
     ready = fit_prep(folds, ["fold"], xs, F.col("role") == "train").persist()
-    parts = []
-    for f in fold_ids:
+
+    def scored(job: tuple[int, int, str]) -> DataFrame:
+        f, place, name = job
         rows = ready.filter(F.col("fold") == f)
-        for place, (name, fit) in enumerate(fits.items()):
-            scored = fit(rows.filter("role = 'train'"), rows.filter("role = 'test'"))
-            parts.append(scored.withColumn("candidate", F.lit(name)).withColumn("place", F.lit(place)))
+        out = fits[name](rows.filter("role = 'train'"), rows.filter("role = 'test'"))
+        return out.withColumn("candidate", F.lit(name)).withColumn("place", F.lit(place))
+
+    jobs = [(f, place, name) for f in fold_ids for place, name in enumerate(fits)]
+    with ThreadPoolExecutor(FITS) as pool:
+        parts = list(pool.map(inheritable_thread_target(folds.sparkSession)(scored), jobs))
     return reduce(DataFrame.unionByName, parts)
