@@ -68,6 +68,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Remove the files of a table made by `cut` that nothing reads any more, as a loop's next one has been written."""
+    sc = table.sparkSession.sparkContext
+    folder = shared_folder(table.sparkSession)
+    for file in table.inputFiles():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file)
+        if str(path.getParent().getParent().toUri().getPath()) == str(sc._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()):
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches in slices of about `limit` bytes of one string column.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, lines, mixing, neardup, quality, scoring, substrings, topk
+from . import bpe, codes, jaccard, language, licenses, lines, manifest, mixing, neardup, quality, scoring, substrings, topk
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -58,6 +58,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir), manifest.lines_joined()).drop("path")
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,9 +88,14 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 ORACLES = {
     "op3_top_k": topk.ORACLE,
     "op7_quality_rules": quality.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
 }
