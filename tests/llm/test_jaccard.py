@@ -113,5 +113,5 @@ def test_filters_spare_pairs(spark):
     seen = Counter(x for s in sets for x in s.view(np.int64).tolist())
     rows = [(i, 0, 0, len(s), sorted((x for x in s.view(np.int64).tolist() if seen[x] > 1), key=lambda x: (seen[x], x))) for i, s in enumerate(sets)]
     df = spark.createDataFrame(rows, "sid long, m0 long, m1 long, n long, shared array<long>")
-    first = df.mapInArrow(jaccard.prefixes, "sid long, m0 long, m1 long, n long, hash long, place int, after array<int>")
+    first = df.mapInArrow(jaccard.prefixes, jaccard.PREFIX)
     assert jaccard.candidates(first.withColumn("part", first.sid)).count() == 0

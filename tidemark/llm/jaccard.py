@@ -11,13 +11,15 @@ the number of sets that hold a shingle.
   messages from slices of documents to buckets of hashes, and back.
 * Equal sets among the others become one. Their shingles are counted in full, those found in one set only
   come first and need no row, and the rest of a set is sorted by (count, hash).
-* Prefix shingles are joined. A pair of sets must pass the length filter and the positional filter
-  (what can still be shared after a common place); where their first common shingle is known, the exact
-  positional bound and the suffix filter (the numbers of shingles per part of the hash range that follow
-  it) must hold. A pair that is left is verified once, by the size of the intersection.
-* A group of near copies is not expanded into all pairs: sets that stand side by side under a prefix shingle,
-  in the order of a minimum hash, are verified and joined into groups first; then only prefix shingles that
-  several groups share are joined, between groups.
+* Prefix shingles are joined, under three filters. Length: the smaller set has LIMIT percent of the larger
+  one. Positional: what can still be shared after a common shingle is enough. Suffix: of the shingles
+  after a common one, the number in each of 64 * WORDS parts of the hash range is odd or even, a bit; every
+  differing bit is a shingle in one set only. Where a pair's first common shingle is known, all shingles
+  before it count as not shared. A pair that is left is verified once, by the size of the intersection.
+* A group of near copies is not expanded into all pairs: under a prefix shingle, sorted by a minimum hash, a
+  set is held against the LOOK before it, and the nearest by the filters is verified. The groups that come
+  of it go through a second such pass, by another minimum hash, against sets of other groups. Then only
+  prefix shingles that several groups share are joined, between groups.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.common import spread_join
 
-from .common import chunks, components, cut, row_key
+from .common import chunks, components, cut, release, row_key
 
 SIZE = 4
 LIMIT = 85
@@ -41,8 +43,13 @@ LIMIT = 85
 SAMPLE_BITS = 2
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
-#: Parts of the hash range whose counts make up the suffix filter.
-RANGES = 16
+#: Longs that hold the bits of the suffix filter.
+WORDS = 8
+BITS = [f"f{i}" for i in range(WORDS)]
+#: Sets before it that a set is held against when groups are first made; the join finds whatever that leaves.
+LOOK = 16
+#: Slots of the bitmap that spares most texts the join with the open sets; 2 MB, whatever the input.
+SLOTS = 1 << 24
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -170,7 +177,9 @@ def read_and_filter(docs: DataFrame) -> DataFrame:
     every = slices.select("slice", F.posexplode("docs").alias("at", "d")).select("slice", "at", "d.*")
     told = every.join(own, ["slice", "at"], "left")
     maybe = (F.col("n") > 0) & (F.coalesce("own", F.lit(0)) < prefix_size(F.col("n")))
-    return cut(told.select("doc_id", "k1", "k2", "n", "s0", "s1", maybe.alias("open")))
+    out = cut(told.select("doc_id", "k1", "k2", "n", "s0", "s1", maybe.alias("open")))
+    release(slices)
+    return out
 
 
 def hashed_sets(docs: DataFrame) -> DataFrame:
@@ -189,50 +198,77 @@ def hashed_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sid long, hashes array<long>, m0 long, m1 long")
 
 
+PREFIX = "sid long, m0 long, m1 long, n long, hash long, place int, " + ", ".join(f"{f} long" for f in BITS)
+
+
 def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix rows of sets (sid, m0, m1, n, shared in global order): hash, its place, and counts per range of what follows."""
-    names = ["sid", "m0", "m1", "n", "hash", "place", "after"]
+    """The prefix rows of sets (sid, m0, m1, n, shared in global order): hash, its place, and the bits of what follows."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            columns = [[] for _ in names]
-            for sid, m0, m1, n, shared in zip(*(c.to_pylist() for c in part.columns)):
-                first = n - len(shared)
-                take = n - (LIMIT * n + 99) // 100 + 1 - first
-                if take <= 0:
-                    continue
-                values = np.array(shared, np.int64)
-                spot = (values.view(np.uint64) >> np.uint64(60)).astype(np.int64)
-                left = np.bincount(spot, minlength=RANGES)
-                for i in range(min(take, len(values))):
-                    left[spot[i]] -= 1
-                    for column, value in zip(columns, (sid, m0, m1, n, shared[i], first + i, left.tolist())):
-                        column.append(value)
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        heads, bits, hashes, places = [], [], [], []
+        shared = batch.column(4)
+        values, ends = shared.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(shared).to_numpy())
+        for row, n in enumerate(batch.column(3).to_pylist()):
+            own = values[ends[row - 1] if row else 0 : ends[row]]
+            first = n - len(own)
+            take = min(n - (LIMIT * n + 99) // 100 + 1 - first, len(own))
+            if take <= 0:
+                continue
+            # bit by bit: the parity of all, with what the prefix passes taken out again
+            spot = (own.view(np.uint64) >> np.uint64(32)) % np.uint64(64 * WORDS)
+            odd = np.bincount(spot.astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1
+            passed = np.zeros((take, 64 * WORDS), np.uint8)
+            passed[np.arange(take), spot[:take].astype(np.int64)] = 1
+            bits.append(np.packbits(odd ^ (np.cumsum(passed, axis=0, dtype=np.uint8) & 1), axis=1).view(np.int64))
+            heads.append(np.full(take, row))
+            hashes.append(own[:take])
+            places.append(np.arange(first, first + take))
+        if heads:
+            at = pa.array(np.concatenate(heads))
+            columns = [batch.column(i).take(at) for i in range(4)] + [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places), pa.int32())]
+            flags = np.concatenate(bits)
+            columns += [pa.array(np.ascontiguousarray(flags[:, i])) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "m0", "m1", "n", "hash", "place", *BITS])
 
 
 def in_line(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that stand side by side under the same hash in sorted rows (hash, sid, n)."""
-    last = None
+    """Of sorted rows (hash, sid, part, n, place, bits), each set b with the nearest a of the LOOK before it under the hash, another part's."""
+    kept = None
     for batch in batches:
-        h, sid, n = (c.to_numpy() for c in batch.columns)
-        if last is not None:
-            h, sid, n = (np.concatenate([[x], y]) for x, y in zip(last, (h, sid, n)))
-        if len(h):
-            last = h[-1], sid[-1], n[-1]
-        a, b, x, y = sid[:-1], sid[1:], n[:-1], n[1:]
-        fit = (h[:-1] == h[1:]) & (100 * np.minimum(x, y) >= LIMIT * np.maximum(x, y))
-        pairs = [pa.array(np.minimum(a, b)[fit], pa.int64()), pa.array(np.maximum(a, b)[fit], pa.int64())]
-        yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
+        new = [c.to_numpy() for c in batch.columns]
+        had = 0 if kept is None else len(kept[0])
+        h, sid, part, n, place, *bits = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
+        kept = [x[-LOOK:] for x in (h, sid, part, n, place, *bits)]
+        best, of = np.full(len(h), np.inf), np.zeros(len(h), np.int64)
+        for back in range(1, min(LOOK, len(h) - 1) + 1):
+            a, b = slice(None, -back), slice(back, None)
+            apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in bits) + np.abs(place[a] - place[b])
+            both = n[a] + n[b]
+            shared = (both - apart) >> 1
+            fit = (h[a] == h[b]) & (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= LIMIT * np.maximum(n[a], n[b])) & (100 * shared >= LIMIT * (both - shared))
+            far = np.where(fit, apart / both, np.inf)
+            nearer = far < best[b]
+            best[b][nearer] = far[nearer]
+            of[b][nearer] = sid[a][nearer]
+        best[:had] = np.inf
+        found = np.flatnonzero(best < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(of[found]), pa.array(sid[found]), pa.array(best[found])], ["a", "b", "far"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link; the intersection needs only hashes that several sets hold."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("shared").alias(f"h{side}")), side)
+    each = sets.select("sid", "n", "shared")  # one exchange serves both joins
+    one = pairs.join(each, F.col("a") == F.col("sid")).select("a", "b", F.col("n").alias("na"), F.col("shared").alias("ha"))
+    two = one.join(each, F.col("b") == F.col("sid")).select("a", "b", "na", "ha", F.col("n").alias("nb"), F.col("shared").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
-    return pairs.filter(enough(both.cast("long"), F.col("na"), F.col("nb"))).select("a", "b")
+    return two.filter(enough(both.cast("long"), F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(sid, part) with the parts joined that verified links (a, b) connect."""
+    named = links.join(parts.select(F.col("sid").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("sid").alias("b"), F.col("part").alias("pb")), "b")
+    groups = components(named.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+    joined = parts.join(groups.select(F.col("node").alias("part"), "component"), "part", "left")
+    return cut(joined.select("sid", F.coalesce("component", "part").alias("part")))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -241,16 +277,17 @@ def candidates(rows: DataFrame) -> DataFrame:
     met = cut(rows.join(several, "hash"))
     a, b = met.alias("a"), met.alias("b")
     na, nb, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
+    apart = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in BITS[1:]), F.bit_count(F.col(f"a.{BITS[0]}").bitwiseXOR(F.col(f"b.{BITS[0]}"))))
     length = 100 * F.least(na, nb) >= LIMIT * F.greatest(na, nb)
-    # any common place: what came before may be shared as well
-    most = F.least(i, j) + F.least(na - i, nb - j)
-    pairs = a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.part") < F.col("b.part")) & length & enough(most, na, nb))
-    apart = F.aggregate(F.zip_with("a.after", "b.after", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d)
-    pairs = pairs.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), na.alias("na"), nb.alias("nb"), i.alias("i"), j.alias("j"), apart.alias("apart"))
+    # at any common shingle: what comes before may be shared as well, but for the difference in number
+    positional = F.least(i, j) + F.least(na - i, nb - j)
+    suffix = F.shiftright(na + nb - F.abs(i - j) - apart, 1)
+    met = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.part") < F.col("b.part")) & length & enough(F.least(positional, suffix), na, nb)
+    pairs = a.join(b, met).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), na.alias("na"), nb.alias("nb"), i.alias("i"), j.alias("j"), apart.alias("apart"))
     first = pairs.groupBy("a", "b").agg(F.min_by(F.struct("na", "nb", "i", "j", "apart"), "i").alias("f")).select("a", "b", "f.*")
     # nothing before the first common shingle is shared
-    positional = 1 + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)
-    suffix = F.floor((F.col("na") + F.col("nb") - F.col("i") - F.col("j") - F.col("apart")) / 2)
+    positional = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
+    suffix = F.shiftright(F.col("na") + F.col("nb") - F.col("i") - F.col("j") - F.col("apart"), 1)
     return first.filter(enough(F.least(positional, suffix), F.col("na"), F.col("nb"))).select("a", "b")
 
 
@@ -260,23 +297,15 @@ def link_sets(sets: DataFrame) -> DataFrame:
     common = each.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     met = each.join(common, "hash").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("c", "hash"))).alias("x"))
     ordered = cut(sets.join(met, "sid").select("sid", "m0", "m1", "n", F.col("x.hash").alias("shared")))
-    rows = cut(ordered.mapInArrow(prefixes, "sid long, m0 long, m1 long, n long, hash long, place int, after array<int>"))
-
-    def chain(by: str) -> DataFrame:
-        line = rows.select("hash", "sid", "n", by).repartitionByRange("hash", by, "sid").sortWithinPartitions("hash", by, "sid")
-        pairs = line.select("hash", "sid", "n").mapInArrow(in_line, "a long, b long")
-        # the one that a set meets most often will do here; the join between groups sees to the rest
-        return pairs.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    rows = cut(ordered.mapInArrow(prefixes, PREFIX))
 
-    near = verified(chain("m0").union(chain("m1")).distinct(), ordered)
-    first = components(near)
-    grouped = cut(sets.select("sid").join(first.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("part")))
-    pairs = verified(candidates(rows.join(grouped, "sid")), ordered)
-    named = grouped.withColumnRenamed("sid", "a").join(pairs, "a").select(F.col("part").alias("pa"), "b")
-    named = named.join(grouped.withColumnRenamed("sid", "b"), "b").select(F.col("pa").alias("a"), F.col("part").alias("b")).distinct()
-    second = components(named)
-    joined = grouped.join(second.select(F.col("node").alias("part"), "component"), "part", "left")
-    return joined.select("sid", F.coalesce("component", "part").alias("component"))
+    parts = sets.select("sid", F.col("sid").alias("part"))
+    for by in ("m0", "m1"):
+        line = rows.join(parts, "sid").select("hash", "sid", "part", "n", F.col("place").cast("long").alias("place"), *BITS, by)
+        line = line.repartitionByRange("hash", by, "sid").sortWithinPartitions("hash", by, "sid").drop(by)
+        nearest = line.mapInArrow(in_line, "a long, b long, far double").groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a"))
+        parts = merged(parts, verified(nearest.select("a", "b"), ordered))
+    return merged(parts, verified(candidates(rows.join(parts, "sid")), ordered)).withColumnRenamed("part", "component")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -292,9 +321,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     told = read_and_filter(docs)
     same = told.filter("open").groupBy("s0", "s1").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("k1", "k2")).alias("place"), F.max("n").alias("n"))
     same = cut(same.withColumn("sid", F.monotonically_increasing_id()))
-    texts = docs.select(*row_key("text"), F.col("text").cast("string").alias("text")).join(
-        same.select("sid", F.col("place.k1").alias("_k1"), F.col("place.k2").alias("_k2")), ["_k1", "_k2"]
-    ).select("sid", "text")
+    wanted = same.select("sid", F.col("place.k1").alias("_k1"), F.col("place.k2").alias("_k2"))
+    slot = F.pmod(F.col("_k2"), F.lit(SLOTS))
+    bitmap = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(_k2, {SLOTS}) & 63 AS INT))")).alias("bits"))
+    rows = docs.select(*row_key("text"), F.col("text").cast("string").alias("text"))
+    likely = rows.join(F.broadcast(bitmap), F.shiftright(slot, 6) == F.col("word")).filter(F.expr(f"bit_get(bits, CAST(pmod(_k2, {SLOTS}) & 63 AS INT)) = 1"))
+    texts = likely.select("_k1", "_k2", "text").join(wanted, ["_k1", "_k2"]).select("sid", "text")
     hashed = hashed_sets(texts).dropDuplicates(["sid"])
     sets = cut(hashed.select("sid", F.size("hashes").cast("long").alias("n"), "m0", "m1", "hashes"))
     linked = same.select("s0", "s1", "sid", "first_id").join(link_sets(sets), "sid")
