@@ -13,9 +13,10 @@ the number of sets that hold a shingle.
   come first and need no row, and the rest of a set is sorted by (count, hash).
 * Prefix shingles are joined, under three filters. Length: the smaller set has LIMIT percent of the larger
   one. Positional: what can still be shared after a common shingle is enough. Suffix: of the shingles
-  after a common one, the number in each of 64 * WORDS parts of the hash range is odd or even, a bit; every
-  differing bit is a shingle in one set only. Where a pair's first common shingle is known, all shingles
-  before it count as not shared. A pair that is left is verified once, by the size of the intersection.
+  that follow a set's own ones, the number in each of 64 * WORDS parts of the hash range is odd or even, a
+  bit; every differing bit is a shingle in one set only, like the sets' own ones. Where a pair's first common
+  shingle is known, no shingle before it is shared. A pair that is left is verified once, by the size of
+  the intersection.
 * A group of near copies is not expanded into all pairs: under a prefix shingle, sorted by a minimum hash, a
   set is held against the LOOK before it, and the nearest by the filters is verified. The groups that come
   of it go through a second such pass, by another minimum hash, against sets of other groups. Then only
@@ -198,50 +199,49 @@ def hashed_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "sid long, hashes array<long>, m0 long, m1 long")
 
 
-PREFIX = "sid long, m0 long, m1 long, n long, hash long, place int, " + ", ".join(f"{f} long" for f in BITS)
+PREFIX = "sid long, m0 long, m1 long, n long, hash long, place int, own int, " + ", ".join(f"{f} long" for f in BITS)
 
 
 def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix rows of sets (sid, m0, m1, n, shared in global order): hash, its place, and the bits of what follows."""
+    """The prefix rows of sets (sid, m0, m1, n, shared in global order): hash, its place, shingles of the set's own, bits of the rest."""
     for batch in batches:
-        heads, bits, hashes, places = [], [], [], []
+        heads, bits, hashes, places, owns = [], [], [], [], []
         shared = batch.column(4)
         values, ends = shared.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(shared).to_numpy())
         for row, n in enumerate(batch.column(3).to_pylist()):
-            own = values[ends[row - 1] if row else 0 : ends[row]]
-            first = n - len(own)
-            take = min(n - (LIMIT * n + 99) // 100 + 1 - first, len(own))
+            rest = values[ends[row - 1] if row else 0 : ends[row]]
+            own = n - len(rest)
+            take = min(n - (LIMIT * n + 99) // 100 + 1 - own, len(rest))
             if take <= 0:
                 continue
-            # bit by bit: the parity of all, with what the prefix passes taken out again
-            spot = (own.view(np.uint64) >> np.uint64(32)) % np.uint64(64 * WORDS)
-            odd = np.bincount(spot.astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1
-            passed = np.zeros((take, 64 * WORDS), np.uint8)
-            passed[np.arange(take), spot[:take].astype(np.int64)] = 1
-            bits.append(np.packbits(odd ^ (np.cumsum(passed, axis=0, dtype=np.uint8) & 1), axis=1).view(np.int64))
+            spot = ((rest.view(np.uint64) >> np.uint64(32)) % np.uint64(64 * WORDS)).astype(np.int64)
+            odd = np.bincount(spot, minlength=64 * WORDS).astype(np.uint8) & 1
+            bits.append(np.broadcast_to(np.packbits(odd).view(np.int64), (take, WORDS)))
             heads.append(np.full(take, row))
-            hashes.append(own[:take])
-            places.append(np.arange(first, first + take))
+            hashes.append(rest[:take])
+            places.append(np.arange(own, own + take))
+            owns.append(np.full(take, own))
         if heads:
             at = pa.array(np.concatenate(heads))
-            columns = [batch.column(i).take(at) for i in range(4)] + [pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places), pa.int32())]
+            columns = [batch.column(i).take(at) for i in range(4)] + [pa.array(np.concatenate(hashes))]
+            columns += [pa.array(np.concatenate(c), pa.int32()) for c in (places, owns)]
             flags = np.concatenate(bits)
             columns += [pa.array(np.ascontiguousarray(flags[:, i])) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, ["sid", "m0", "m1", "n", "hash", "place", *BITS])
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "m0", "m1", "n", "hash", "place", "own", *BITS])
 
 
 def in_line(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows (hash, sid, part, n, place, bits), each set b with the nearest a of the LOOK before it under the hash, another part's."""
+    """Of sorted rows (hash, sid, part, n, own, bits), each set b with the nearest a of the LOOK before it under the hash, another part's."""
     kept = None
     for batch in batches:
         new = [c.to_numpy() for c in batch.columns]
         had = 0 if kept is None else len(kept[0])
-        h, sid, part, n, place, *bits = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
-        kept = [x[-LOOK:] for x in (h, sid, part, n, place, *bits)]
+        h, sid, part, n, own, *bits = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
+        kept = [x[-LOOK:] for x in (h, sid, part, n, own, *bits)]
         best, of = np.full(len(h), np.inf), np.zeros(len(h), np.int64)
         for back in range(1, min(LOOK, len(h) - 1) + 1):
             a, b = slice(None, -back), slice(back, None)
-            apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in bits) + np.abs(place[a] - place[b])
+            apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in bits) + own[a] + own[b]
             both = n[a] + n[b]
             shared = (both - apart) >> 1
             fit = (h[a] == h[b]) & (part[a] != part[b]) & (100 * np.minimum(n[a], n[b]) >= LIMIT * np.maximum(n[a], n[b])) & (100 * shared >= LIMIT * (both - shared))
@@ -277,18 +277,17 @@ def candidates(rows: DataFrame) -> DataFrame:
     met = cut(rows.join(several, "hash"))
     a, b = met.alias("a"), met.alias("b")
     na, nb, i, j = F.col("a.n"), F.col("b.n"), F.col("a.place"), F.col("b.place")
-    apart = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in BITS[1:]), F.bit_count(F.col(f"a.{BITS[0]}").bitwiseXOR(F.col(f"b.{BITS[0]}"))))
+    apart = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in BITS), F.col("a.own") + F.col("b.own"))
     length = 100 * F.least(na, nb) >= LIMIT * F.greatest(na, nb)
-    # at any common shingle: what comes before may be shared as well, but for the difference in number
-    positional = F.least(i, j) + F.least(na - i, nb - j)
-    suffix = F.shiftright(na + nb - F.abs(i - j) - apart, 1)
+    # at any common shingle: what comes before may be shared as well, but for the sets' own
+    positional = F.least(i - F.col("a.own"), j - F.col("b.own")) + F.least(na - i, nb - j)
+    suffix = F.shiftright(na + nb - apart, 1)
     met = (F.col("a.hash") == F.col("b.hash")) & (F.col("a.part") < F.col("b.part")) & length & enough(F.least(positional, suffix), na, nb)
-    pairs = a.join(b, met).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), na.alias("na"), nb.alias("nb"), i.alias("i"), j.alias("j"), apart.alias("apart"))
-    first = pairs.groupBy("a", "b").agg(F.min_by(F.struct("na", "nb", "i", "j", "apart"), "i").alias("f")).select("a", "b", "f.*")
+    pairs = a.join(b, met).select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b"), na.alias("na"), nb.alias("nb"), i.alias("i"), j.alias("j"))
+    first = pairs.groupBy("a", "b").agg(F.min_by(F.struct("na", "nb", "i", "j"), "i").alias("f")).select("a", "b", "f.*")
     # nothing before the first common shingle is shared
     positional = F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j"))
-    suffix = F.shiftright(F.col("na") + F.col("nb") - F.col("i") - F.col("j") - F.col("apart"), 1)
-    return first.filter(enough(F.least(positional, suffix), F.col("na"), F.col("nb"))).select("a", "b")
+    return first.filter(enough(positional, F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
@@ -301,7 +300,7 @@ def link_sets(sets: DataFrame) -> DataFrame:
 
     parts = sets.select("sid", F.col("sid").alias("part"))
     for by in ("m0", "m1"):
-        line = rows.join(parts, "sid").select("hash", "sid", "part", "n", F.col("place").cast("long").alias("place"), *BITS, by)
+        line = rows.join(parts, "sid").select("hash", "sid", "part", "n", F.col("own").cast("long").alias("own"), *BITS, by)
         line = line.repartitionByRange("hash", by, "sid").sortWithinPartitions("hash", by, "sid").drop(by)
         nearest = line.mapInArrow(in_line, "a long, b long, far double").groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a"))
         parts = merged(parts, verified(nearest.select("a", "b"), ordered))
