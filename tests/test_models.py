@@ -254,10 +254,135 @@ def test_shift_by_the_whole_year_keeps_totals(spark):
     assert len(null) == 5 and all(abs(r.total - 0.2) < 1e-12 for r in null)
 
 
-def test_boosted_trees_test_every_year(spark, monkeypatch):
+def plain_trees(x, y, leaves, trees, rate, l2, min_leaf, test):
+    """Boosted trees grown on rows, leaf by leaf; every value of a regressor is a bin. Returns test scores and losses."""
+    base = y.mean()
+    score, out, losses = np.full(len(y), base), np.full(len(test), base), []
+    for _ in range(trees):
+        r = y - score
+        parts = [(np.arange(len(y)), np.arange(len(test)))]
+
+        def best(rows):
+            found = []
+            for j in range(x.shape[1]):
+                for cut in np.unique(x[rows, j]):
+                    left = rows[x[rows, j] <= cut]
+                    right = rows[x[rows, j] > cut]
+                    if len(left) >= min_leaf and len(right) >= min_leaf:
+                        gain = r[left].sum() ** 2 / (len(left) + l2) + r[right].sum() ** 2 / (len(right) + l2) - r[rows].sum() ** 2 / (len(rows) + l2)
+                        found.append((gain, j, cut))
+            return max(found, key=lambda f: f[0], default=(0, 0, 0))
+
+        while len(parts) < leaves:
+            options = [best(rows) for rows, _ in parts]
+            at = max(range(len(parts)), key=lambda i: options[i][0])
+            gain, j, cut = options[at]
+            if gain <= 1e-12:
+                break
+            rows, asked = parts[at]
+            parts[at] = rows[x[rows, j] <= cut], asked[test[asked, j] <= cut]
+            parts.append((rows[x[rows, j] > cut], asked[test[asked, j] > cut]))
+        for rows, asked in parts:
+            step = rate * r[rows].sum() / (len(rows) + l2)
+            score[rows] += step
+            out[asked] += step
+        losses.append(((y - score) ** 2).sum())
+    return out, losses
+
+
+def boosted_frame(spark, n=160, seed=3, levels=7):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for fold in (1, 2):
+        for i in range(n):
+            a, b = (float(v) for v in rng.integers(0, levels, 2))
+            rows.append((fold, i, "train" if i < n * 3 // 4 else "test", a, b, float(np.sin(a) * (b > 3) + rng.normal() / 5)))
+    return rows, spark.createDataFrame(rows, "fold int, i int, role string, a double, b double, y double")
+
+
+def test_boosted_trees_equal_trees_on_rows(spark):
+    rows, df = boosted_frame(spark)
+    # more bins than values: every value is a bin of its own
+    got = ML.fit_boosted(df, ["fold"], "y", ["a", "b"], {"few": 3, "more": 6}, trees=12, rate=0.3, min_leaf=5, bins=200).collect()
+    assert len(got) == 2 * 2 * 40
+    for fold in (1, 2):
+        train = [r for r in rows if r[0] == fold and r[2] == "train"]
+        test = [r for r in rows if r[0] == fold and r[2] == "test"]
+        for name, leaves in (("few", 3), ("more", 6)):
+            want, losses = plain_trees(np.array([r[3:5] for r in train]), np.array([r[5] for r in train]), leaves, 12, 0.3, 1.0, 5, np.array([r[3:5] for r in test]))
+            assert all(b <= a for a, b in zip(losses, losses[1:]))
+            have = {r.i: r.score for r in got if r.fold == fold and r.candidate == name}
+            assert np.abs(np.array([have[r[1]] for r in test]) - want).max() < 1e-9
+
+
+def test_training_loss_never_rises():
+    rng = np.random.default_rng(5)
+    bins = np.stack(np.unravel_index(np.arange(400), (20, 20)), axis=1)
+    n = rng.integers(0, 9, 400).astype(float)
+    total = n * (np.sin(bins[:, 0]) + rng.normal(size=400))
+    trace = []
+    ML.grow_trees(n, total, bins, 7, 60, 0.05, 1.0, 20, trace)
+    assert len(trace) == 60 and all(b <= a for a, b in zip(trace, trace[1:])) and trace[-1] < trace[0]
+
+
+def test_boosted_trees_with_holes_repeats_and_nothing_to_learn(spark):
+    rows = [(1, "train", None if i % 5 == 0 else float(i % 7), 2.0, None if i % 9 == 0 else 1.0) for i in range(90)] + [(1, "test", None, 9.0, 0.0)] * 2 + [(2, "test", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "fold int, role string, a double, b double, y double")
+    got = ML.fit_boosted(df, ["fold"], "y", ["a", "b"], {"x": 7}, trees=5).collect()
+    assert [(r.fold, r.score) for r in got] == [(1, 1.0)] * 2
+    assert ML.fit_boosted(df.filter("false"), ["fold"], "y", ["a", "b"], {"x": 7}).count() == 0
+
+
+def test_boosted_trees_of_the_query_test_every_year(spark):
     from tidemark.plans import load
     from tidemark.plans.q_folds import YEARS
 
-    monkeypatch.setattr(ML, "fit_gbt", lambda train, test, y, xs: test.withColumn("score", F.lit(0.0)))
-    out = load()["wf8_fit_gbt"].run(spark, "/root/testdata/sf0.001")
-    assert sorted(r.fold for r in out.select("fold").distinct().collect()) == list(YEARS)
+    out = load()["wf8_fit_gbt"].run(spark, "/root/testdata/sf0.001").select("fold", "candidate", "score").collect()
+    assert sorted({r.fold for r in out}) == list(YEARS) and len({round(r.score, 4) for r in out}) > 50
+
+
+def logit_gradient(train, theta, c, p):
+    """Gradient of the weighted loss and penalty per unit of weight, at coefficients that reproduce the scores."""
+    x = np.column_stack([np.ones(len(train)), np.array([r[:p] for r in train])])
+    label = np.array([r[p] for r in train])
+    seen, counts = np.unique(label, return_counts=True)
+    w = np.array([len(train) / (len(seen) * counts[seen == v][0]) for v in label])
+    raw = np.exp(x @ theta.T)
+    raw[:, [k for k in range(3) if k not in seen]] = 0
+    share = raw / raw.sum(axis=1, keepdims=True)
+    return (((share - np.eye(3)[label]) * w[:, None]).T @ x + np.c_[np.zeros(3), theta[:, 1:]] / c) / len(train)
+
+
+def test_logits_end_where_the_gradient_is_zero(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for fold in (1, 2):
+        for i in range(200):
+            a, b = rng.normal(size=2) * [3, 0.2] + 1
+            rows.append((fold, "train" if i < 150 else "test", float(a), float(b), float(0.01 * (a - 1) + 0.02 * rng.normal()), 0.001))
+    df = spark.createDataFrame(rows, "fold int, role string, a double, b double, y double, cost double")
+    got = ML.fit_logits(df, ["fold"], "y", "cost", ["a", "b"], {"weak": 0.1, "strong": 10.0}).collect()
+    assert len(got) == 2 * 2 * 50 and all(-1 < r.score < 1 for r in got)
+    for fold in (1, 2):
+        mine = [r for r in rows if r[0] == fold and r[1] == "train"]
+        x = np.array([r[2:4] for r in mine])
+        z = (x - x.mean(0)) / x.std(0)
+        train = [(*v, 2 if r[4] > 0.0035 else 0 if r[4] < -0.0035 else 1) for v, r in zip(z.tolist(), mine)]
+        for name, c in (("weak", 0.1), ("strong", 10.0)):
+            theta = np.zeros((3, 3))
+            for _ in range(20000):
+                g = logit_gradient(train, theta, c, 2)
+                theta -= g
+                if np.abs(g).max() < 1e-11:
+                    break
+            for r in [r for r in got if r.fold == fold and r.candidate == name]:
+                raw = np.exp(theta @ [1.0, r.a, r.b])
+                assert abs(r.score - (raw[2] - raw[0]) / raw.sum()) < 1e-7
+
+
+def test_logits_without_a_class_or_without_training_rows(spark):
+    rows = [(1, "train", float(i), 0.0, 0.02 if i > 4 else -0.02, 0.001) for i in range(12)] + [(1, "test", 9.0, 0.0, 0.0, 0.001), (2, "test", 1.0, 0.0, 0.0, 0.001)]
+    df = spark.createDataFrame(rows, "fold int, role string, a double, b double, y double, cost double")
+    got = ML.fit_logits(df, ["fold"], "y", "cost", ["a", "b"], {"C=1": 1.0}).collect()
+    assert [(r.fold, r.score > 0.3) for r in got] == [(1, True)]
+    assert ML.fit_logits(df.filter("false"), ["fold"], "y", "cost", ["a", "b"], {"C=1": 1.0}).count() == 0
