@@ -146,3 +146,49 @@ def test_matched_pool_excludes_neighbours(spark):
     days = spark.createDataFrame([("a", DAY0 + dt.timedelta(days=i)) for i in range(30)], "k string, d date")
     ev = spark.createDataFrame([("a", DAY0 + dt.timedelta(days=10))], "k string, d date")
     assert EV.matched_pool(days, ev, ["k"], "d", 5).filter(F.abs(F.datediff("d", F.lit(DAY0)) - 10) <= 5).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_buckets_chain_like_one_pass(spark, seed):
+    """Long and short holds across many narrow buckets, entries out of order, nulls, repeated rows, a null key."""
+    rng = random.Random(seed)
+    rows = []
+    for k in ("a", "b", None):
+        for i in range(150):
+            e = rng.choice([None, *range(i, i + 8)]) if rng.random() < 0.9 else i
+            x = None if e is None or rng.random() < 0.03 else e + rng.choice([0, 1, 5, 40])
+            rows.append((k, i // 2 if i % 7 else None, i, e, x, rng.choice([-1, 0, 1, None])))
+    want = {}
+    for k in ("a", "b", None):
+        last = -(2**63)
+        for _, o, i, e, x, s in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+            take = e is not None and bool(s) and e > last
+            want[k, i] = s if take else 0
+            last = (-(2**63) if x is None else x) if take else last
+    df = spark.createDataFrame(rows, "k string, o int, i int, e int, x int, s int")
+    for width in (1, 3, 1000):
+        got = TK.no_overlap(df, ["k"], "e", "x", "s", order=["o", "i"], width=width)
+        assert {(r.k, r.i): r.executed for r in got.collect()} == want
+
+
+def test_step_functions_equal_walking_the_rows():
+    rng = random.Random(7)
+    for _ in range(300):
+        rows = [(rng.choice([None, *range(20)]), rng.choice([None, *range(25)]), rng.random() < 0.7) for _ in range(rng.randrange(9))]
+        at, to = TK.steps_of(*map(list, zip(*rows))) if rows else ([], [])
+        assert at == sorted(set(at), reverse=True)
+        for begin in (TK.NEVER, *range(-1, 26)):
+            last = begin
+            for e, x, live in rows:
+                if e is not None and live and e > last:
+                    last = TK.NEVER if x is None else x
+            assert TK.through(at, to, begin) == last
+
+
+def test_a_dense_key_is_spread_over_its_buckets(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr("'a' as k", "date_add(date'2000-01-01', cast(id div 50 as int)) as e", "id as i", "1 as s").selectExpr("*", "date_add(e, 6) as x")
+    steps = rows.selectExpr("k", "unix_date(e) div 64 as b").groupBy("b").count().collect()
+    assert max(r["count"] for r in steps) <= 64 * 50 and len(steps) > 60
+    done = TK.no_overlap(rows, ["k"], "e", "x", "s", order=["e", "x", "i"])
+    assert done.filter("executed <> 0").count() == -(-n // 50 // 7) and done.count() == n

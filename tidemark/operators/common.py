@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 
@@ -52,18 +52,78 @@ def spread_join(rows: DataFrame, per_key: DataFrame, on: Sequence[str], salts: i
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
 
 
+def number(df: DataFrame, c: str) -> Column:
+    """A date, timestamp or integer column as a long in the same order."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(F.col(c)).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(F.col(c))
+    return F.col(c).cast("long")
+
+
+def sorted_groups(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows dealt by group and sorted within the tasks (nulls last), with a mark _g that changes where a group does."""
+    mark = F.xxhash64(*[F.col(c) for c in group], *[F.col(c).isNull() for c in group])
+    dealt = df.withColumn("_g", mark).repartition(*group)
+    return dealt.sortWithinPartitions(*group, *[F.col(c).asc_nulls_last() for c in order])
+
+
 def in_turn(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], read: Sequence[str], decide: Callable[..., list], out: str, kind: T.DataType
+    df: DataFrame, group: Sequence[str], order: Sequence[str], read: Sequence[str], rule: Callable[[], Callable], out: str, kind: T.DataType
 ) -> DataFrame:
     """The rows with a column that a sequential rule fills, group by group in `order` (nulls last).
 
-    `decide` gets the values of the columns `read`, row after row, and returns one value a row. A task
-    goes through a group once and keeps only what the rule itself remembers.
+    rule() makes what decides a group: it is called with the values of the columns `read`, row after row, and
+    returns the new column's value. A task is one stream over all of its groups and keeps only what the rule
+    itself remembers, so many small groups cost no more than their rows.
     """
-    names, first, arrow = list(read), [(c, "ascending") for c in order], to_arrow_type(kind)
+    names, arrow = [f.name for f in df.schema.fields], to_arrow_type(kind)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, decide = None, None
+        for batch in batches:
+            columns = dict(zip([*names, "_g"], batch.columns))
+            values = []
+            for g, *row in zip(columns["_g"].to_pylist(), *[columns[c].to_pylist() for c in read]):
+                if decide is None or g != last:
+                    last, decide = g, rule()
+                values.append(decide(*row))
+            yield pa.RecordBatch.from_arrays([*(columns[c] for c in names), pa.array(values, arrow)], [*names, out])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(first)
-        return table.append_column(out, pa.array(decide(*[table[c].to_pylist() for c in names]), arrow))
+    return sorted_groups(df, group, order).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
 
-    return df.groupBy(*group).applyInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+
+def group_by_group(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], read: Sequence[str], give: Callable[..., Iterable[tuple]], fields: Sequence[T.StructField]
+) -> DataFrame:
+    """give(lists of a group's values of the columns `read`, in `order`) as rows of `fields` beside the group's keys.
+
+    Like `in_turn` one stream a task; it holds one group at a time.
+    """
+    names = [*group, *read]
+    schema = T.StructType([*[df.schema[c] for c in group], *fields])
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, key, held, rows = None, None, None, []
+
+        def close() -> None:
+            rows.extend((*key, *r) for r in give(*held))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for g, *row in zip(columns[-1], *columns[:-1]):
+                if held is None or g != last:
+                    if held is not None:
+                        close()
+                    last, key, held = g, row[: len(group)], [[] for _ in read]
+                for values, v in zip(held, row[len(group) :]):
+                    values.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+            rows.clear()
+        if held is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return sorted_groups(df.select(*names, *[c for c in order if c not in names]), group, order).select(*names, "_g").mapInArrow(run, schema)

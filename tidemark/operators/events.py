@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,15 +43,18 @@ def decluster(df: DataFrame, keys: Sequence[str], date: str, mag: str, spacing:
     cut = df.withColumn("_i", F.sum(F.when(near, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     cut = cut.withColumn("_m", -F.col(mag))
 
-    def keep(days: list) -> list:
+    def keep() -> Callable:
         taken: list[int] = []  # days kept so far, in order of time
-        kept = []
-        for day in (x.toordinal() for x in days):
+
+        def decide(date) -> bool:
+            day = date.toordinal()
             at = bisect.bisect(taken, day)
-            kept.append((at == 0 or day - taken[at - 1] >= spacing) and (at == len(taken) or taken[at] - day >= spacing))
-            if kept[-1]:
+            free = (at == 0 or day - taken[at - 1] >= spacing) and (at == len(taken) or taken[at] - day >= spacing)
+            if free:
                 taken.insert(at, day)
-        return kept
+            return free
+
+        return decide
 
     return in_turn(cut, [*keys, "_i"], ["_m", date], [date], keep, "_keep", T.BooleanType()).filter("_keep").select(*df.columns)
 

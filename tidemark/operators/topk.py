@@ -1,21 +1,23 @@
 """Top-n, greedy thinning and lexicographic choice.
 
-Greedy rules are sequential by nature. A series is first cut at points no earlier choice can
-reach across (islands): what happens before a cut cannot change what is kept after it. Each
-island is then gone through once, remembering only the last choice, so a dense key costs time in
-proportion to its rows.
+A greedy rule is sequential: whether a row is taken depends on the last one taken. A key's rows are therefore
+cut into buckets of its order, and what a bucket does to the last exit is written as a step function, which is
+short because different beginnings soon take the same rows. Composing a key's functions in order gives the
+last exit at the start of every bucket, and then all buckets are gone through side by side. No task holds more
+than a bucket of rows, or the functions of a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by, in_turn
+from .common import by, group_by_group, in_turn, number
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -25,53 +27,88 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
 
 def thin_rows(df: DataFrame, keys: Sequence[str], idx: str, horizon: int) -> DataFrame:
     """Rows spaced at least `horizon` positions apart, first one kept. One row per (key, idx)."""
-    keys = list(keys)
-    w = by(keys, idx)
-    gap = F.col(idx) - F.lag(idx).over(w)
-    cut = df.withColumn("_i", F.sum(F.when(gap < horizon, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    until = df.withColumn("_x", F.col(idx).cast("long") + (horizon - 1)).withColumn("_s", F.lit(1))
+    return no_overlap(until, keys, idx, "_x", "_s", "_keep", width=max(4096, 64 * horizon)).filter("_keep = 1").select(*df.columns)
 
-    def keep(at: list) -> list:
-        last, kept = None, []
-        for i in at:
-            kept.append(last is None or i - last >= horizon)
-            last = i if kept[-1] else last
-        return kept
 
-    return in_turn(cut, [*keys, "_i"], [idx], [idx], keep, "_keep", T.BooleanType()).filter("_keep").select(*df.columns)
+#: The last exit before anything was taken.
+NEVER = -(2**63)
+#: Rows without an order go to the last bucket.
+LAST = 2**63 - 1
+
+
+def steps_of(entries: list, exits: list, live: list) -> tuple[list[int], list[int]]:
+    """What a bucket makes of the last exit, as (at, to): below at[i], and not below at[i + 1], it becomes to[i].
+
+    At or above at[0] it stays. Rows are gone through backwards: a row sends every last exit below its entry to
+    what the rows after it make of its own exit, and hides all steps up to there.
+    """
+    at, to = [], []
+    for e, x, s in zip(reversed(entries), reversed(exits), reversed(live)):
+        if e is None or not s:
+            continue
+        after = through(at, to, NEVER if x is None else x)
+        while at and at[-1] <= e:
+            at.pop()
+            to.pop()
+        if not at or to[-1] != after:
+            at.append(e)
+            to.append(after)
+    return at, to
+
+
+def through(at: list[int], to: list[int], last: int) -> int:
+    above = bisect.bisect_left(at, -last, key=lambda a: -a)
+    return to[above - 1] if above else last
 
 
 def no_overlap(
-    df: DataFrame, keys: Sequence[str], entry: str, exit: str, signal: str, out: str = "executed", order: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], entry: str, exit: str, signal: str, out: str = "executed", order: Sequence[str] = (), width: int = 64
 ) -> DataFrame:
     """Signals whose entry is not after the last executed exit become 0; equality is overlap.
 
     Rows are taken in `order` (entry, exit unless given). A zero signal and a suppressed one do
-    not extend the block; a row without an entry is never executed. An island starts where every
-    later entry lies after every earlier exit.
+    not extend the block; a row without an entry is never executed, one without an exit does not block.
+    Entries and exits are dates, timestamps or integers. `width` is a bucket's share of the order's first
+    column, in days, microseconds or units.
     """
     keys, first = list(keys), list(order) or [entry, exit]
-    w = by(keys, *first)
-    live = F.col(signal) != 0
-    busiest = F.max(F.when(live, F.col(exit))).over(w.rowsBetween(W.unboundedPreceding, -1))
-    if order:
-        # Earliest entry still to come, as a running minimum from the end: one pass over the reversed order.
-        back = by(keys, *[F.col(c).desc() for c in first])
-        soonest = F.min(F.when(live, F.col(entry))).over(back.rowsBetween(W.unboundedPreceding, 0))
-    else:
-        soonest = F.col(entry)
-    # Island numbers need the running extremes first, so they are a second window on the same partitioning.
-    cut = df.withColumn("_i", F.when(soonest <= busiest, 0).otherwise(1))
-    cut = cut.withColumn("_i", F.sum("_i").over(w.rowsBetween(W.unboundedPreceding, 0)))
-
-    def execute(entries: list, exits: list, signals: list) -> list:
-        last, out_of = None, []
-        for e, x, s in zip(entries, exits, signals):
-            take = e is not None and bool(s) and (last is None or e > last)
-            out_of.append(s if take else 0)
-            last = x if take else last
-        return out_of
-
-    return in_turn(cut, [*keys, "_i"], first, [entry, exit, signal], execute, out, df.schema[signal].dataType).select(*df.columns, out)
+    bucket = F.coalesce(F.floor(number(df, first[0]) / width).cast("long"), F.lit(LAST))
+    rows = df.withColumn("_tk_b", bucket).withColumn("_tk_e", number(df, entry)).withColumn("_tk_x", number(df, exit)).withColumn("_tk_live", F.coalesce(F.col(signal) != 0, F.lit(False)))
+    longs = T.ArrayType(T.LongType())
+    steps = group_by_group(
+        rows, [*keys, "_tk_b"], first, ["_tk_e", "_tk_x", "_tk_live"], lambda e, x, s: [steps_of(e, x, s)], [T.StructField("_tk_at", longs), T.StructField("_tk_to", longs)]
+    )
+
+    def compose(buckets: list, at: list, to: list) -> Iterator[tuple]:
+        last = NEVER
+        for b, a, t in zip(buckets, at, to):
+            yield b, last
+            last = through(a, t, last)
+
+    fields = [T.StructField("_tk_b", T.LongType()), T.StructField("_tk_last", T.LongType())]
+    named = steps.withColumnRenamed("_tk_b", "_tk_bucket")
+    begins = group_by_group(named, keys, ["_tk_bucket"], ["_tk_bucket", "_tk_at", "_tk_to"], compose, fields)
+    begins = begins.withColumnsRenamed({c: f"_tk_k{i}" for i, c in enumerate([*keys, "_tk_b"])})
+    same = [F.col(c).eqNullSafe(F.col(f"_tk_k{i}")) for i, c in enumerate([*keys, "_tk_b"])]
+    met = rows.join(begins, reduce(Column.__and__, same)).drop(*[f"_tk_k{i}" for i in range(len(keys) + 1)])
+
+    def execute() -> Callable:
+        last = None
+
+        def decide(e, x, live, begin) -> bool:
+            nonlocal last
+            if last is None:
+                last = begin
+            take = e is not None and live and e > last
+            if take:
+                last = NEVER if x is None else x
+            return take
+
+        return decide
+
+    done = in_turn(met, [*keys, "_tk_b"], first, ["_tk_e", "_tk_x", "_tk_live", "_tk_last"], execute, "_tk_take", T.BooleanType())
+    return done.withColumn(out, F.when(F.col("_tk_take"), F.col(signal)).otherwise(F.lit(0).cast(df.schema[signal].dataType))).select(*df.columns, out)
 
 
 def pick_best(df: DataFrame, keys: Sequence[str], candidate: Sequence[str], sharpe: str, net: str) -> DataFrame:
