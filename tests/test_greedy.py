@@ -192,3 +192,29 @@ def test_a_dense_key_is_spread_over_its_buckets(spark):
     assert max(r["count"] for r in steps) <= 64 * 50 and len(steps) > 60
     done = TK.no_overlap(rows, ["k"], "e", "x", "s", order=["e", "x", "i"])
     assert done.filter("executed <> 0").count() == -(-n // 50 // 7) and done.count() == n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pair_sizes_equal_the_whole_grid(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        a, b = (rng.choice([1.0, 2.0, 3.0, 7.5, 100.0]) * rng.choice([1, 1, rng.random() + 0.01]) for _ in range(2))
+        ma, mb = (float(rng.choice([0, 1, 3, 10, 250])) for _ in range(2))
+        rows.append((i, a, b, ma, mb))
+    df = spark.createDataFrame(rows, "i int, a double, b double, ma double, mb double")
+    for max_q, budget in ((1, None), (8, None), (50, None), (8, 20.0), (50, 333.0)):
+        margin = None if budget is None else ("ma", "mb", budget)
+        got = {r.i: r.s for r in df.select("i", TK.size_pairs("a", "b", max_q, margin).alias("s")).collect()}
+        for i, a, b, ma, mb in rows:
+            grid = [
+                (abs(a * p - b * q) / (a * p + b * q), p + q, p, q) for p in range(1, max_q + 1) for q in range(1, max_q + 1)
+                if budget is None or p * ma + q * mb <= budget
+            ]
+            assert (None if got[i] is None else tuple(got[i])) == min(grid, default=None)
+
+
+def test_pair_sizes_of_a_thousand_contracts(spark):
+    df = spark.createDataFrame([(355.0, 113.0)], "a double, b double")
+    s = df.select(TK.size_pairs("a", "b", 1000).alias("s")).first().s
+    assert (s.imbalance, s.qa, s.qb) == (0.0, 113, 355)

@@ -61,14 +61,18 @@ BASES = _bases([*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB
 def fold(c: str | Column) -> Column:
     """Form for comparing names: decomposed, ASCII only, lower case, trimmed.
 
-    Letters keep their base, combining marks and everything else outside ASCII go.
+    Letters keep their base, combining marks and everything else outside ASCII go. Texts that hold nothing
+    outside ASCII, or no letter that becomes several, skip the steps that would find nothing.
     """
+    text = col(c)
     single = {k: v for k, v in BASES.items() if len(v) == 1}
-    out = F.translate(col(c), "".join(single), "".join(single.values()))
     wide = {k: v for k, v in BASES.items() if len(v) > 1}
+    several = text
     for letters in sorted(set(wide.values())):
-        out = F.regexp_replace(out, "[" + "".join(k for k, v in wide.items() if v == letters) + "]", letters)
-    return F.trim(F.lower(F.regexp_replace(out, r"[^\x00-\x7F]+", "")))
+        several = F.regexp_replace(several, "[" + "".join(k for k, v in wide.items() if v == letters) + "]", letters)
+    narrow = F.when(text.rlike("[" + "".join(wide) + "]"), several).otherwise(text)
+    plain = F.regexp_replace(F.translate(narrow, "".join(single), "".join(single.values())), r"[^\x00-\x7F]+", "")
+    return F.trim(F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(plain)))
 
 
 def slug(c: str | Column) -> Column:

@@ -125,22 +125,32 @@ def pick_best(df: DataFrame, keys: Sequence[str], candidate: Sequence[str], shar
 
 
 def size_pairs(a: str, b: str, max_q: int, margin: tuple[str, str, float] | None = None) -> Column:
-    """Smallest-imbalance integer pair from a max_q x max_q grid as struct(imbalance, total, qa, qb).
+    """Smallest-imbalance integer pair of at most max_q each, as struct(imbalance, total, qa, qb).
 
     Ties go to fewer contracts, then to the smaller first leg. `margin` = (per-unit a, per-unit b,
-    budget) removes pairs the budget cannot fund; NULL when none is left.
+    budget) removes pairs the budget cannot fund; NULL when none is left. For a given second leg the imbalance
+    falls up to the balancing first leg and rises from there, so only the two whole numbers beside it are
+    scored, or the last affordable one: two pairs a second leg.
     """
-    grid = F.array(*[
-        F.struct(F.lit(i).alias("qa"), F.lit(j).alias("qb")) for i in range(1, max_q + 1) for j in range(1, max_q + 1)
-    ])
-
-    def score(g: Column) -> Column:
-        na, nb = F.col(a) * g["qa"], F.col(b) * g["qb"]
-        return F.struct(
-            (F.abs(na - nb) / (na + nb)).alias("imbalance"), (g["qa"] + g["qb"]).alias("total"), g["qa"].alias("qa"), g["qb"].alias("qb")
-        )
-
-    if margin is not None:
-        ma, mb, budget = margin
-        grid = F.filter(grid, lambda g: g["qa"] * F.col(ma) + g["qb"] * F.col(mb) <= budget)
-    return F.array_min(F.transform(grid, score))
+    x, y = F.col(a), F.col(b)
+
+    def legs(j: Column) -> Column:
+        most = F.lit(float(max_q))
+        if margin is not None:
+            ma, mb, budget = F.col(margin[0]), F.col(margin[1]), F.lit(float(margin[2]))
+            room = budget - j * mb
+            fits = F.floor(room / F.when(ma > 0, ma)).cast("double")
+            # the quotient may round up to a leg that the budget does not cover, or down from one that it does
+            fits = F.when((fits + 1) * ma + j * mb <= budget, fits + 1).when(fits * ma + j * mb <= budget, fits).otherwise(fits - 1)
+            most = F.least(most, F.when(ma > 0, fits).when(j * mb + ma <= budget, most).otherwise(0.0))
+        exact = F.when(x != 0, j * y / x)
+        down = F.floor(F.greatest(F.lit(0.0), F.least(exact, F.lit(float(max_q))))).cast("double")
+        pick = F.transform(F.array(down, down + 1), lambda i: F.greatest(F.lit(1.0), F.least(i, most)))
+        return F.when(most >= 1, pick).otherwise(F.array().cast("array<double>"))
+
+    def score(i: Column, j: Column) -> Column:
+        na, nb = x * i, y * j
+        return F.struct((F.abs(na - nb) / (na + nb)).alias("imbalance"), (i + j).cast("int").alias("total"), i.cast("int").alias("qa"), j.cast("int").alias("qb"))
+
+    second = F.transform(F.sequence(F.lit(1), F.lit(max_q)), lambda j: F.transform(legs(j), lambda i: score(i, j)))
+    return F.array_min(F.flatten(second))

@@ -84,20 +84,17 @@ def _(t):
     return TK.pick_best(c, ["l_returnflag"], ["l_suppkey"], "sharpe", "net")
 
 
-PAIRS = """prices AS (SELECT a.d, a.open_cents AS pa, b.open_cents AS pb FROM panel a JOIN panel b ON a.d = b.d AND a.expiry = b.expiry AND a.root = 'A' AND b.root = 'N')"""
-
-
 @query(
     "tk5_size_pairs",
-    with_sql(PANEL) + """, prices AS (SELECT a.d, a.expiry, a.open_cents AS pa, b.open_cents AS pb FROM panel a JOIN panel b ON a.d = b.d AND a.expiry = b.expiry AND a.root = 'A' AND b.root = 'N'),
-    g AS (SELECT d, expiry, pa, pb, i, j, abs(pa * i - pb * j) / (pa * i + pb * j) AS imbalance FROM prices, generate_series(1, 8) x(i), generate_series(1, 8) y(j) WHERE i * 500.0 + j * 700.0 <= 6000)
-    SELECT d, expiry, i AS qa, j AS qb, imbalance FROM g QUALIFY row_number() OVER (PARTITION BY d, expiry ORDER BY imbalance, i + j, i) = 1""",
+    with_sql(PANEL) + """, prices AS (SELECT a.d, a.expiry, a.root AS near, b.root AS far, a.open_cents AS pa, b.open_cents AS pb FROM panel a JOIN panel b ON a.d = b.d AND a.expiry = b.expiry AND a.root < b.root),
+    g AS (SELECT d, expiry, near, far, pa, pb, i, j, abs(pa * i - pb * j) / (pa * i + pb * j) AS imbalance FROM prices, generate_series(1, 8) x(i), generate_series(1, 8) y(j) WHERE i * 500.0 + j * 700.0 <= 6000)
+    SELECT d, expiry, near, far, i AS qa, j AS qb, imbalance FROM g QUALIFY row_number() OVER (PARTITION BY d, expiry, near, far ORDER BY imbalance, i + j, i) = 1""",
     d="imbalance",
 )
 def _(t):
     p = panel(t)
-    a = p.filter("root = 'A'").select("d", "expiry", F.col("open_cents").alias("pa"))
-    b = p.filter("root = 'N'").select("d", "expiry", F.col("open_cents").alias("pb"))
-    j = a.join(b, ["d", "expiry"]).withColumn("ma", F.lit(500.0)).withColumn("mb", F.lit(700.0))
+    a = p.select("d", "expiry", F.col("root").alias("near"), F.col("open_cents").alias("pa"))
+    b = p.select("d", "expiry", F.col("root").alias("far"), F.col("open_cents").alias("pb"))
+    j = a.join(b, ["d", "expiry"]).filter("near < far").withColumn("ma", F.lit(500.0)).withColumn("mb", F.lit(700.0))
     size = TK.size_pairs("pa", "pb", 8, ("ma", "mb", 6000.0))
-    return j.select("d", "expiry", size.alias("_s")).select("d", "expiry", "_s.qa", "_s.qb", "_s.imbalance")
+    return j.select("d", "expiry", "near", "far", size.alias("_s")).select("d", "expiry", "near", "far", "_s.qa", "_s.qb", "_s.imbalance")

@@ -94,7 +94,7 @@ def _(t):
     return metrics(t, sharpe_rows="traded").select("candidate", "k", "trades", "sharpe")
 
 
-YF = f"""yf AS (SELECT k, d, year, exit_date, {GROSS} AS gross, 0.001 AS cost, mom20 AS momentum, CAST(f AS BIGINT) AS fold, CASE WHEN year < f THEN 'train' ELSE 'test' END AS role FROM wf, (VALUES (1998), (1999), (2000)) v(f) WHERE year <= f),
+YF = f"""yf AS (SELECT k, d, year, exit_date, {GROSS} AS gross, 0.001 AS cost, mom20 AS momentum, CAST(f AS BIGINT) AS fold, CASE WHEN year < f THEN 'train' ELSE 'test' END AS role FROM wf, (VALUES (1996), (1997), (1998), (1999), (2000)) v(f) WHERE year <= f),
 tm AS (SELECT k, fold, avg(gross) AS m, median(cost) AS c FROM yf WHERE role = 'train' GROUP BY 1, 2),
 ts AS (SELECT k, fold, month(d) AS mo, avg(gross) AS s FROM yf WHERE role = 'train' GROUP BY 1, 2, 3),
 te AS (SELECT y.*, m, c, coalesce(s, m) AS s FROM yf y JOIN tm USING (k, fold) LEFT JOIN ts ON ts.k = y.k AND ts.fold = y.fold AND ts.mo = month(y.d) WHERE role = 'test'),
@@ -104,7 +104,7 @@ rl AS (SELECT k, d, year, exit_date, gross, cost, momentum, fold, rule, CAST(CAS
 
 
 def rule_rows(t):
-    f = WF.year_folds(base_rows(t), "year", (1998, 1999, 2000), 1995)
+    f = WF.year_folds(base_rows(t), "year", (1996, 1997, 1998, 1999, 2000), 1995)
     sig = VAL.rule_signals(f, ["k"], "fold", "d", "gross", "cost", "momentum")
     return VAL.rule_ledger(sig, ["k", "fold"], "d", "exit_date", "gross", "cost")
 
