@@ -2,8 +2,8 @@
 
 Only DataFrame functions run here. Statistics of one document are expressions over its own row
 (arrays of word-window hashes, sorted and compared with their neighbours), so they need no shuffle.
-Line frequency is one grouped count with map-side partials and one join against the few lines that
-exceed their host's limit; a line that a third of all documents carry is one row on the counted side
+Line frequency is a grouped count of distinct documents with map-side partials and one join against the
+lines above the limit; a line that a third of all documents carry is one row on the counted side
 and adaptive execution may split the other.
 """
 
@@ -67,31 +67,23 @@ def lines_of(text: Column) -> Column:
     )
 
 
-def frequent_lines(docs: DataFrame, host: str, min_docs: int, share: float) -> DataFrame:
-    """(host, h): lines found in more than `min_docs` documents of a host and in over `share` of them."""
-    seen = docs.select(F.col(host).alias("_host"), F.explode(F.array_distinct(F.transform(lines_of(text_or_empty()), lambda s: s.h))).alias("h"))
-    counts = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    hosts = docs.groupBy(F.col(host).alias("_hh")).agg(F.count(F.lit(1)).alias("n_host"))
-    over = counts.join(hosts, F.col("_host").eqNullSafe(F.col("_hh"))).filter(F.col("n_docs") > share * F.col("n_host"))
-    return over.select("_host", "h")
+def frequent_lines(docs: DataFrame, host: str, min_docs: int) -> DataFrame:
+    """(host, h): lines found in more than `min_docs` distinct documents of a host.
 
+    A document is its doc_id; among rows without one, equal texts of a host are one document. Distinct
+    documents are counted in two grouped steps, (host, line, document) and then (host, line), both with
+    map-side partials, so neither a line of all documents nor a document of many rows meets in one task.
+    """
+    lines = F.array_distinct(F.transform(lines_of(text_or_empty()), lambda s: s.h))
+    nameless = F.when(F.col("_none"), F.col("_k2")).otherwise(0).alias("_k2")
+    seen = docs.select(*row_key("text", host), F.col("doc_id").isNull().alias("_none"), F.col(host).alias("_host"), lines.alias("_lines"))
+    seen = seen.select("_host", "_k1", nameless, F.explode("_lines").alias("h"))
+    counts = seen.groupBy("_host", "h").agg(F.count_distinct("_k1", "_k2").alias("n_docs"))
+    return counts.filter(F.col("n_docs") > min_docs).select("_host", "h")
 
-def quality_rules(
-    docs: DataFrame, host: str = "source", min_docs: int = 20, share: float = 0.05, min_words: int = 20, max_removed: float = 0.5
-) -> DataFrame:
-    """One row per document with its statistics, the verdict and the lines to remove.
-
-    A line is removed if more than `min_docs` documents of its host and more than `share` of them
-    carry it (normalised). A document is rejected if its own statistics fail, if fewer than
-    `min_words` words are left, or if more than `max_removed` of its words were removed.
-
-    Null or empty text: no words, rejected for that. Null host: a host of its own. Null doc_id: a
-    document like others. Rows equal in id and text are one document in the result, though each of
-    them counts for line frequency. An empty table gives an empty result. Other columns are ignored.
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    n_removed_words, removed_lines (places of the removed lines, from 0) and the keys _k1, _k2.
-    """
+def verdicts(docs: DataFrame, host: str = "source", min_docs: int = 20, min_words: int = 20, max_removed: float = 0.5) -> DataFrame:
+    """What `quality_rules` returns, once for rows equal in id, text and host, and how many rows these are (times)."""
     rows = docs.select(*row_key("text", host), "doc_id", F.col(host).alias("_host"), text_or_empty().alias("text"))
     split = rows.select(
         "_k1", "_k2", "doc_id", "_host", "text",
@@ -114,7 +106,7 @@ def quality_rules(
     each = with_stats.select("_k1", "_k2", "doc_id", "_host", "stats", F.posexplode("lines").alias("at", "line")).select(
         "_k1", "_k2", "doc_id", "_host", F.when(F.col("at") == 0, F.col("stats")).alias("stats"), "line.h", "line.n", "line.pos"
     )
-    over = frequent_lines(docs, host, min_docs, share).select(F.col("_host").alias("_oh"), F.col("h").alias("_ox"))
+    over = frequent_lines(docs, host, min_docs).select(F.col("_host").alias("_oh"), F.col("h").alias("_ox"))
     judged = each.join(over, (F.col("h") == F.col("_ox")) & F.col("_host").eqNullSafe(F.col("_oh")), "left")
     gone = F.col("_ox").isNotNull() & (F.col("n") > 0)
     per_doc = judged.groupBy("_k1", "_k2").agg(
@@ -124,20 +116,38 @@ def quality_rules(
         F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("gone_words"),
         F.sort_array(F.collect_set(F.when(gone, F.col("pos")))).alias("removed_lines"),
     )
-    out = per_doc.select("_k1", "_k2", "doc_id", "stats.*", "removed_lines", F.expr("gone_words div times").alias("n_removed_words"))
+    out = per_doc.select("_k1", "_k2", "doc_id", "times", "stats.*", "removed_lines", F.expr("gone_words div times").alias("n_removed_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     kept = ~failed & (left >= min_words) & (F.col("n_removed_words") <= max_removed * F.col("n_words"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        kept.alias("kept"), "n_removed_words", "removed_lines", "_k1", "_k2",
+        kept.alias("kept"), "n_removed_words", "removed_lines", "_k1", "_k2", "times",
     )
 
 
+def quality_rules(docs: DataFrame, **rules) -> DataFrame:
+    """One row per row of `docs` with its statistics, the verdict and the lines to remove.
+
+    A line is removed if more than `min_docs` distinct documents of its host carry it (normalised),
+    however many documents the host has. A document is rejected if its own statistics fail, if fewer
+    than `min_words` words are left, or if more than `max_removed` of its words were removed.
+
+    Null or empty text: no words, rejected for that. Null host: a host of its own. Null doc_id: rows of
+    equal text and host are one document in the count. Rows that repeat a doc_id count as one document;
+    each has its own row in the result. An empty table gives an empty result. Other columns are ignored.
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    n_removed_words, removed_lines (places of the removed lines, from 0) and the keys _k1, _k2.
+    """
+    found = verdicts(docs, **rules)
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
+
+
 def apply_quality(docs: DataFrame, **rules) -> DataFrame:
     """The kept documents with their frequent lines taken out; same columns, n_chars recounted."""
     host = rules.get("host", "source")
-    verdict = quality_rules(docs, **rules).filter("kept").select("_k1", "_k2", F.col("removed_lines").alias("_gone"))
+    verdict = verdicts(docs, **rules).filter("kept").select("_k1", "_k2", F.col("removed_lines").alias("_gone"))
     keyed = packed(docs, *row_key("text", host)).join(verdict, ["_k1", "_k2"])
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     return unpacked(keyed, docs.columns, F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
@@ -160,12 +170,7 @@ l AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ),
-hosts AS (SELECT source, count(*) AS n_host FROM d GROUP BY source),
-freq AS (SELECT source, norm, count(DISTINCT doc_id) AS n_docs FROM l GROUP BY source, norm),
-over AS (
-  SELECT f.source, f.norm FROM freq f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-  WHERE n_docs > 20 AND n_docs > 0.05 * n_host
-),
+over AS (SELECT source, norm FROM l GROUP BY source, norm HAVING count(DISTINCT doc_id) > 20),
 per AS (
   SELECT l.doc_id, count(*) - count(DISTINCT l.line) AS n_dup_lines,
          sum(CASE WHEN o.norm IS NOT NULL THEN l.n ELSE 0 END) AS n_removed_words
