@@ -8,16 +8,15 @@ from tidemark.llm import topk
 
 
 def brute(rows, k=5, every=50):
-    ok = {}
+    ok = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = [math.floor(256 * x) for x in v]
-        ok[i] = min(q, ok[i]) if i in ok else q
+        ok.append((i, [math.floor(256 * x) for x in v]))
     out = []
-    for q, v in ok.items():
+    for own, (q, v) in enumerate(ok):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok.items() if i != q)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for n, (i, w) in enumerate(ok) if n != own)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -43,12 +42,30 @@ def test_few_candidates_and_empty(spark):
     assert run(spark, []) == []
 
 
+@pytest.mark.parametrize("block", [2, 8192])
+def test_rows_that_repeat_an_id(spark, block):
+    rows = [(3, [1.0, 0.0]), (3, [9.0, 1.0]), (3, [9.0, 1.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [-2.0, 5.0]), (4, [0.5, 0.5])]
+    got = run(spark, rows, row_block=block, query_block=block)
+    assert got == brute(rows) and got.count((50, 1, 3, 655360)) == 2
+
+
+def test_sql_keeps_every_row(spark):
+    import duckdb
+
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 60), [float(rng.randint(-3, 3)) for _ in range(3)]) for _ in range(200)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(con.execute(topk.ORACLE).fetchall()) == brute(rows) == run(spark, rows)
+
+
 def test_stops_early_on_proof():
     rng = np.random.default_rng(1)
     rows = rng.integers(-60, 60, (3000, 16))
     query = np.zeros(16, np.int64)
     query[3], rows[17, 3], rows[18, 3] = 200, 5000, 4000
-    index = topk.ImpactIndex(np.arange(3000), rows)
-    ids, scores, read, rescored = index.search(-1, query, 2)
+    index = topk.ImpactIndex(np.arange(3000), np.zeros(3000), rows)
+    ids, scores, read, rescored = index.search(-1, 0, query, 2)
     assert ids.tolist() == [17, 18] and scores.tolist() == [1000000, 800000]
     assert read < 3000 and rescored < 3000

@@ -7,7 +7,8 @@ at any time how far an accumulator can be from the true score. It stops when tha
 few vectors can still be among the best (or when no segment is left); those are rescored exactly, so
 the answer is exact wherever it stops. Each block answers each block of queries on its own; the best k
 of all blocks' answers are the result. The blocks of queries and of rows form a grid of tasks of the
-same size; no task holds more than one block of either.
+same size; no task holds more than one block of either. A task builds its block's index for the
+thousands of queries it answers with it, next to which the building is little.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEVELS = 8
-SCHEMA = "query_id long, vec_id long, score long, postings long, rescored long"
+SCHEMA = "query_id long, query_key long, vec_id long, score long, postings long, rescored long"
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -38,8 +39,8 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 class ImpactIndex:
     """Posting segments of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, rows: np.ndarray):
+        self.ids, self.keys, self.rows = ids, keys, rows
         size = np.abs(rows)
         self.step = max(1, -(-int(size.max(initial=0) + 1) // LEVELS))
         self.tops = size.max(axis=0, initial=0)
@@ -67,15 +68,15 @@ class ImpactIndex:
         firsts = keys[np.concatenate([[0], breaks])].tolist() if len(keys) else []
         return firsts, np.split(order, breaks) if len(keys) else []
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """ids and scores of the best k rows other than `own`, postings read, rows rescored."""
+    def search(self, own: int, key: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """ids and scores of the best k rows other than row `key` of id `own`, postings read, rows rescored."""
         weight = np.abs(query)
         order = np.argsort(-weight[self.component] * self.top, kind="stable")
         order = order[weight[self.component[order]] > 0]
         values = query[self.component] * self.sign * self.mid
         left = int(self.lengths[order].sum())
         total = np.zeros(len(self.ids), np.int64)
-        allowed = self.ids != own
+        allowed = (self.ids != own) | (self.keys != key)
         floor = np.iinfo(np.int64).min // 2
         # the largest magnitude a component may still add unseen: it falls as its segments are read
         unseen = self.tops.copy()
@@ -107,8 +108,9 @@ def search_block(k: int):
         asks = block["is_query"].to_numpy()
         queries, rows = block.filter(pa.array(asks)), block.filter(pa.array(~asks))
         width = pa.compute.max(pa.compute.list_value_length(block["v"])).as_py() or 0
-        index = ImpactIndex(rows["vec_id"].to_numpy(), matrix(rows["v"], width))
-        found = [index.search(int(i), q, k) for i, q in zip(queries["vec_id"].to_numpy(), matrix(queries["v"], width))]
+        index = ImpactIndex(rows["vec_id"].to_numpy(), rows["key"].to_numpy(), matrix(rows["v"], width))
+        ids, keys = queries["vec_id"].to_numpy(), queries["key"].to_numpy()
+        found = [index.search(int(i), int(key), q, k) for i, key, q in zip(ids, keys, matrix(queries["v"], width))]
         sizes = [len(f[0]) for f in found]
 
         def column(values: list) -> pa.Array:
@@ -116,7 +118,7 @@ def search_block(k: int):
 
         return pa.table(
             [
-                column([np.repeat(queries["vec_id"].to_numpy(), sizes)]), column([f[0] for f in found]), column([f[1] for f in found]),
+                column([np.repeat(ids, sizes)]), column([np.repeat(keys, sizes)]), column([f[0] for f in found]), column([f[1] for f in found]),
                 column([np.repeat([f[2] for f in found], sizes).astype(np.int64)]), column([np.repeat([f[3] for f in found], sizes).astype(np.int64)]),
             ],
             names=names,
@@ -133,41 +135,45 @@ def search_top_k(
     Components become floor(scale * x). Queries are the vectors whose vec_id is divisible by `every`;
     every other vector is a candidate. Vectors that are null or hold a null or non-finite component
     take no part, nor do rows without a vec_id. Shorter vectors count as filled up with zeros; an
-    empty vector scores 0. Rows that repeat a vec_id count once, by their smallest vector. A query
-    with fewer candidates than k gets them all. An empty table gives an empty result; other columns
+    empty vector scores 0. Every row counts: rows that repeat a vec_id are candidates each, also for one
+    another, and each row with a query's id is a query with a ranking of its own (a row is excluded only
+    from its own ranking). A query with fewer candidates than k gets them all. An empty table gives an empty result; other columns
     are ignored. Scores are exact while they fit 64 bits.
     """
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     whole = F.transform(x, lambda v: F.floor(scale * v.cast("double")).cast("long"))
     valid = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
-    rows = valid.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    # equal rows are numbered, so that (vec_id, key) names one row and a retried task gives it the same name
+    equal = valid.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    numbered = equal.select("vec_id", "v", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("n"))
+    rows = numbered.select("vec_id", "v", F.xxhash64("v", "n").alias("key"))
     queries = rows.filter(F.col("vec_id") % every == 0)
     n_rows, n_queries = valid.count(), valid.filter(F.col("vec_id") % every == 0).count()
     rb, qb = max(1, math.ceil(n_rows / row_block)), max(1, math.ceil(n_queries / query_block))
 
     def deal(n: int):
-        return F.pmod(F.xxhash64("vec_id"), F.lit(n))
+        return F.pmod(F.xxhash64("vec_id", "key"), F.lit(n))
 
     def each(n: int):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-    asked = queries.select("vec_id", "v", F.lit(True).alias("is_query"), deal(qb).alias("qb"), each(rb).alias("rb"))
-    offered = rows.select("vec_id", "v", F.lit(False).alias("is_query"), deal(rb).alias("rb"), each(qb).alias("qb"))
+    asked = queries.select("vec_id", "key", "v", F.lit(True).alias("is_query"), deal(qb).alias("qb"), each(rb).alias("rb"))
+    offered = rows.select("vec_id", "key", "v", F.lit(False).alias("is_query"), deal(rb).alias("rb"), each(qb).alias("qb"))
     found = asked.unionByName(offered).groupBy("rb", "qb").applyInArrow(search_block(k), SCHEMA)
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, q.row, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.row <> q.row WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, row ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id, row ORDER BY score DESC, vec_id) <= 5
 """
