@@ -96,26 +96,6 @@ def snapshot(log: DataFrame) -> DataFrame:
     )
 
 
-#: The largest file whose content fits one value.
-WHOLE_FILE = 2_000_000_000
-
-
-def file_digests(spark: SparkSession, path: str, largest: int = WHOLE_FILE) -> DataFrame:
-    """Size and digest of every file of a table; each file is hashed where it is read.
-
-    A file's content is one value there, so files above `largest` bytes are not opened: they are
-    listed with their size, without a digest, and with the problem named.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
-    small = files.filter(F.col("length") <= largest)
-    big = files.filter(F.col("length") > largest)
-    none = F.lit(None).cast("string")
-    return small.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), none.alias("problem")).union(
-        big.select(name, F.col("length").alias("bytes"), none.alias("sha256"), F.lit("too large for one value").alias("problem"))
-    )
-
-
 def plan_missing(keys: DataFrame, log: DataFrame, key: Sequence[str], period: str, periods: Column, open_period: Column) -> DataFrame:
     """Expected (key, period) grid minus what is archived; the open period is always planned again."""
     grid = keys.select(*key, F.explode(periods).alias(period))

@@ -59,7 +59,7 @@ def compare(spark, con, q, sf: str) -> tuple[str, str, float]:
     cols = df.columns
     if q.sql is None:
         return "rows", f"{len(rows)} rows", took
-    cur = con.execute(q.oracle())
+    cur = con.execute(q.oracle().replace("'/root/testdata/sf0.01/", f"'{sf}/"))  # SQL that reads files names the folder
     ocols = [x[0] for x in cur.description]
     orows = cur.fetchall()
     if sorted(cols) != sorted(ocols):
