@@ -285,17 +285,20 @@ def stress_index(df: DataFrame, keys: Sequence[str], parts: Mapping[str, int], o
     )
 
 
-def pair_comovement(df: DataFrame, on: Sequence[str], member: str, a: str, b: str, value: str) -> DataFrame:
-    """Two members side by side per (keys, year): correlation and how often signs oppose.
+def pair_comovement(df: DataFrame, on: Sequence[str], member: str, value: str) -> DataFrame:
+    """Every two members (a before b) over the periods that both have: correlation and how often signs oppose.
 
-    A conditional aggregate pairs them in one pass instead of joining the frame to itself.
+    A period's members are one array (`on` and `member` are unique together), paired where they lie, so
+    the frame is shuffled once and not joined to itself; only grouped sums go on to a second exchange.
     """
-    wide = df.filter(F.col(member).isin(a, b)).groupBy(*on).agg(
-        F.max(F.when(F.col(member) == a, F.col(value))).alias("_a"), F.max(F.when(F.col(member) == b, F.col(value))).alias("_b")
-    ).dropna(subset=["_a", "_b"])
-    return wide.agg(
-        corr("_a", "_b").alias("r"), F.count(F.lit(1)).alias("n"),
-        F.sum((F.col("_a") * F.col("_b") < 0).cast("long")).alias("opposite"),
+    s = F.struct(F.col(member).alias("m"), F.col(value).alias("v"))
+    held = df.filter(F.col(member).isNotNull() & F.col(value).isNotNull())
+    per = held.groupBy(*on).agg(F.sort_array(F.collect_list(s)).alias("_s"))
+    later = F.slice("_s", F.col("_i") + 2, F.size("_s"))
+    pairs = per.select("_s", F.posexplode("_s").alias("_i", "_a")).select("_a", F.explode(later).alias("_b"))
+    both = pairs.select(F.col("_a.m").alias("a"), F.col("_b.m").alias("b"), F.col("_a.v").alias("_x"), F.col("_b.v").alias("_y"))
+    return both.groupBy("a", "b").agg(
+        corr("_x", "_y").alias("r"), F.count(F.lit(1)).alias("n"), F.sum((F.col("_x") * F.col("_y") < 0).cast("long")).alias("opposite")
     )
 
 
