@@ -133,8 +133,12 @@ def ols(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFr
     sigma2 = F.when(dof > 0, F.col("_sse") / dof)
     inv = [F.col("_s11"), F.col("_s00")] if p == 2 else [F.lit(1.0)]
     det = (F.col("_s00") * F.col("_s11") - F.col("_s01") * F.col("_s01")) if p == 2 else F.col("_s00")
+    # the rule of `slopes`: a regressor that gets slope zero has no error, the other one that of its own fit
+    ok = det > (F.col("_s00") * F.col("_s11") * 1e-12 if p == 2 else F.lit(0.0))
+    alone = [F.col("_s00"), F.when(F.col("_s00") <= 0, F.col("_s11"))]
     for i, x in enumerate(xs):
-        se = F.sqrt(sigma2 * div(inv[i], det * F.col("_n")))
+        spread = F.when(ok, div(inv[i], det)).otherwise(F.when(alone[i] > 0, div(F.lit(1.0), alone[i])))
+        se = F.sqrt(sigma2 * spread / F.col("_n"))
         m = m.withColumn(f"se_{x}", se).withColumn(f"t_{x}", div(f"b_{x}", f"se_{x}"))
     keep = [f"{q}_{x}" for x in xs for q in ("b", "se", "t")]
     return m.select(*keys, F.col("_n").alias("n"), "intercept", *keep, "r2", "adjusted_r2")
