@@ -42,3 +42,20 @@ def test_ols_errors_beside_a_constant(spark, value):
     assert got["a"].b_heat == 0 and got["a"].se_heat is None and got["a"].t_heat is None
     assert np.allclose([got["a"].b_rain, got["a"].r2, got["a"].se_rain, got["a"].t_rain], [b[0], r2, se, b[0] / se])
     assert got["b"].se_heat > 0 and got["b"].se_rain > 0
+
+
+@pytest.mark.parametrize("heat", [lambda h: 0.0, lambda h: 0.1, lambda h: 0.3 if h == 5 else 0.0, lambda h: 0.7 if h == 5 else 0.1])
+def test_horse_race_with_a_flat_or_spiked_forecast(spark, heat):
+    rows = record(heat)
+    got = {r.k: r for r in ST.horse_race(spark.createDataFrame(rows, SCHEMA), ["k"], "yield", "heat", "rain", "h").collect()}
+    for k in "ab":
+        mine = [r for r in rows if r[0] == k]
+
+        def r2(rows, cols):
+            return fit([r[4] for r in rows], [[r[c] for c in cols] for r in rows])[3]
+
+        inc = [r2([r for r in mine if r is not q], [2, 3]) - r2([r for r in mine if r is not q], [3]) for q in mine]
+        r = got[k]
+        want = [r2(mine, [2]), r2(mine, [3]), r2(mine, [2, 3]), fit([q[4] for q in mine], [[q[2]] for q in mine])[1][0], min(inc), max(inc)]
+        assert r.load_bearing_year == mine[int(np.argmin(np.round(inc, 10)))][1]
+        assert np.allclose([r.forecast_r2, r.price_r2, r.joint_r2, r.beta_alone, r.incremental_min, r.incremental_max], want, atol=1e-9)

@@ -182,7 +182,10 @@ def ols_wide(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str], alph
 
 
 def drop_one(m: dict[str, Column], y: Column, xs: Sequence[Column]) -> dict[str, Column]:
-    """Moments of a group without the current row, from the group's moments and the row itself."""
+    """Moments of a group without the current row, from the group's moments and the row itself.
+
+    A variance that the row held alone is zero without it, not what rounding leaves.
+    """
     n = m["_n"].cast("double")
     left = n - 1
     out = {"_n": left}
@@ -192,18 +195,24 @@ def drop_one(m: dict[str, Column], y: Column, xs: Sequence[Column]) -> dict[str,
     def cut(s: Column, a: Column, b: Column) -> Column:
         return (s * n - scale * a * b) / left
 
+    def cut_square(s: Column, a: Column) -> Column:
+        rest = cut(s, a, a)
+        return F.when(rest > s * 1e-12, rest).otherwise(F.when(rest.isNotNull(), 0.0))
+
     out["_my"] = (m["_my"] * n - y) / left
-    out["_syy"] = cut(m["_syy"], dy, dy)
+    out["_syy"] = cut_square(m["_syy"], dy)
     for i, x in enumerate(xs):
         dx = x - m[f"_m{i}"]
         out[f"_c{i}"] = cut(m[f"_c{i}"], dx, dy)
-        for j in range(i, len(xs)):
+        out[f"_s{i}{i}"] = cut_square(m[f"_s{i}{i}"], dx)
+        for j in range(i + 1, len(xs)):
             out[f"_s{i}{j}"] = cut(m[f"_s{i}{j}"], dx, xs[j] - m[f"_m{j}"])
     return out
 
 
 def r2_one(c: Column, s: Column, syy: Column) -> Column:
-    return div(c * c, s * syy)
+    """R2 of one regressor; a constant one explains nothing."""
+    return div(F.when(s > 0, c * c / F.when(s > 0, s)).otherwise(F.when(s.isNotNull(), 0.0)), syy)
 
 
 def r2_two(m: Mapping[str, Column]) -> Column:
@@ -226,10 +235,11 @@ def horse_race(df: DataFrame, keys: Sequence[str], actual: str, forecast: str, p
     each = each.select(*keys, year, inc)
     span = each.groupBy(*keys).agg(
         F.min("_inc").alias("incremental_min"), F.max("_inc").alias("incremental_max"),
-        F.min_by(year, F.struct("_inc", year)).alias("load_bearing_year"), F.min(year).alias("first_year"), F.max(year).alias("last_year"),
+        # rounded for ranking only, so that equal years go to the first one
+        F.min_by(year, F.struct(F.round("_inc", 12), year)).alias("load_bearing_year"), F.min(year).alias("first_year"), F.max(year).alias("last_year"),
     )
     joint = slopes(2, 0.0, c)
-    alone = div(c["_c0"], c["_s00"])
+    alone = slopes(1, 0.0, c)[0]
     out = m.select(
         *keys, F.col("_n").alias("harvests"), r2_one(c["_c0"], c["_s00"], c["_syy"]).alias("forecast_r2"),
         r2_one(c["_c1"], c["_s11"], c["_syy"]).alias("price_r2"), r2_two(c).alias("joint_r2"),
