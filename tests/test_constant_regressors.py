@@ -1,9 +1,12 @@
 """Regressions and refits where a regressor does not vary: it gets slope zero and the other one its own fit."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
 from tidemark.operators import stats as ST
+from tidemark.operators import uncertainty as UN
 
 SCHEMA = "k string, h long, heat double, rain double, yield double"
 SETS = {"heat": ["heat"], "weather": ["heat", "rain"]}
@@ -59,3 +62,18 @@ def test_horse_race_with_a_flat_or_spiked_forecast(spark, heat):
         want = [r2(mine, [2]), r2(mine, [3]), r2(mine, [2, 3]), fit([q[4] for q in mine], [[q[2]] for q in mine])[1][0], min(inc), max(inc)]
         assert r.load_bearing_year == mine[int(np.argmin(np.round(inc, 10)))][1]
         assert np.allclose([r.forecast_r2, r.price_r2, r.joint_r2, r.beta_alone, r.incremental_min, r.incremental_max], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("heat", [lambda h: 0.0, lambda h: 0.1, lambda h: 0.3 if h == 5 else 0.0])
+def test_draws_where_a_regressor_is_constant(spark, heat):
+    rows = record(heat)
+    got = {r.k: r for r in UN.coef_bootstrap(spark.createDataFrame(rows, SCHEMA), ["k"], "h", "yield", ["heat", "rain"], 200, 7).collect()}
+    for k in "ab":
+        mine = [r for r in rows if r[0] == k]
+        values = []
+        for draw in range(1, 201):
+            at = [int(hashlib.md5(f"7:{draw}:{s}".encode()).hexdigest()[:8], 16) % len(mine) for s in range(1, len(mine) + 1)]
+            values.append(fit([mine[i][4] for i in at], [mine[i][2:4] for i in at])[1][0])
+        q = np.quantile(values, [0.025, 0.5, 0.975])
+        assert got[k].draws == 200 and np.allclose([got[k].p025, got[k].median, got[k].p975], q)
+        assert got[k].probability_positive == np.mean(np.array(values) > 0)

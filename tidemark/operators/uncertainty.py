@@ -65,13 +65,18 @@ def _places(seed: int, draw: int, slots: Sequence, n: int) -> list[int]:
     return [int(hashlib.md5(f"{seed}:{draw}:{s}".encode()).hexdigest()[:8], 16) % n for s in slots]
 
 
+#: Spread that rounding leaves of a constant, as a share of the values.
+FLAT = 1e-10
+
+
 def coef_bootstrap(
     df: DataFrame, keys: Sequence[str], row: str, y: str, xs: Sequence[str], draws: int, seed: int, min_distinct: int = 4
 ) -> DataFrame:
     """Coefficient of the first regressor over resamples of a record's rows; thin draws are skipped.
 
-    A draw is a count per row, and its moments are those counts times the rows' products, for all draws
-    at once. A record (one key's harvests) is short; nothing is copied per draw.
+    A draw is a count per row, and all draws of a record (one key's harvests, so few rows) are solved at
+    once, each on its rows less their mean. A regressor that is constant in a draw gets slope zero there, and
+    regressors that are multiples of each other there share the slope.
     """
     keys, names = list(keys), [y, *xs]
 
@@ -79,15 +84,17 @@ def coef_bootstrap(
         table = table.sort_by([(row, "ascending")])
         n = table.num_rows
         v = np.column_stack([table[c].to_numpy() for c in names]).astype(float)
+        largest = np.abs(v).max(axis=0)
         v = v - v.mean(axis=0)
+        size = v.std(axis=0)
+        fixed = size <= FLAT * largest
+        v = np.where(fixed, 0.0, v / np.where(fixed, 1.0, size))
         counts = np.array([np.bincount(_places(seed, d, range(1, n + 1), n), minlength=n) for d in range(1, draws + 1)], float)
         counts = counts[(counts > 0).sum(axis=1) >= min_distinct]
-        mean = counts @ v / n
-        products = (v[:, :, None] * v[:, None, :]).reshape(n, -1)
-        cov = (counts @ products / n).reshape(-1, len(names), len(names)) - mean[:, :, None] * mean[:, None, :]
-        solved = np.full(len(counts), np.nan)
-        fine = np.abs(np.linalg.det(cov[:, 1:, 1:])) > 0
-        solved[fine] = np.linalg.solve(cov[fine, 1:, 1:], cov[fine, 1:, :1])[:, 0, 0]
+        rest = (v[None, :, :] - (counts @ v / n)[:, None, :]) * np.sqrt(counts)[:, :, None]
+        rest = np.where(np.abs(rest).max(axis=1, keepdims=True) > FLAT, rest, 0.0)
+        slopes = np.linalg.pinv(rest[:, :, 1:], rcond=FLAT) @ rest[:, :, :1]
+        solved = slopes[:, 0, 0] * np.where(fixed, 1.0, size)[0] / np.where(fixed, 1.0, size)[1]
         out = [pa.repeat(table[k][0], len(counts)) for k in keys]
         return pa.table([*out, pa.array(solved, from_pandas=True)], names=[*keys, "coefficient"])
 
