@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from tidemark.operators import folds as WF
 from tidemark.operators import stats as ST
 from tidemark.operators import uncertainty as UN
 
@@ -77,3 +78,30 @@ def test_draws_where_a_regressor_is_constant(spark, heat):
         q = np.quantile(values, [0.025, 0.5, 0.975])
         assert got[k].draws == 200 and np.allclose([got[k].p025, got[k].median, got[k].p975], q)
         assert got[k].probability_positive == np.mean(np.array(values) > 0)
+
+
+@pytest.mark.parametrize("heat", [lambda h: 0.0, lambda h: 0.1, lambda h: 0.3 if h == 5 else 0.0])
+def test_refits_in_folds_with_a_constant(spark, heat):
+    rows = record(heat, n=14)
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def forecast(train, x, cols):
+        h, y = np.array([r[1] for r in train], float), np.array([r[4] for r in train])
+        b, a = np.polyfit(h, y, 1)
+        t = y / (a + b * h) - 1
+        mean, w, _, _ = fit(t, [[r[c] for c in cols] for r in train], 1.0)
+        return (a + b * x[1]) * (1 + t.mean() + (np.array([x[c] for c in cols]) - mean) @ w)
+
+    by = {(r[0], r[1]): r for r in rows}
+    got = WF.expanding_predictions(df, ["k"], "h", "yield", SETS, 8).collect()
+    assert len(got) == 2 * 6 * 3
+    for r in got:
+        train = [q for q in rows if q[0] == r.k and q[1] < r.h]
+        cols = {"heat": [2], "weather": [2, 3]}.get(r.feature_set)
+        assert cols is None or np.isclose(r.predicted, forecast(train, by[r.k, r.h], cols))
+    for r in WF.fold_residuals(df, ["k"], "h", "yield", SETS, 8).collect():
+        train = [q for q in rows if q[0] == r.k and q[1] < r.h]
+        cols = {"heat": [2], "weather": [2, 3]}[r.feature_set]
+        signed = [q[4] - forecast([p for p in train if p is not q], q, cols) for q in train]
+        ahead = [forecast([p for p in train if p is not q], by[r.k, r.h], cols) for q in train]
+        assert np.allclose(r.signed, signed) and np.allclose(r.loo_point, ahead)
