@@ -127,3 +127,16 @@ def group_by_group(
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     return sorted_groups(df.select(*names, *[c for c in order if c not in names]), group, order).select(*names, "_g").mapInArrow(run, schema)
+
+
+#: Rows a task holds where each key's rows are sorted, joined and grouped together.
+TASK_ROWS = 1 << 18
+
+
+def dealt_by_rows(rows: int, *sides: tuple[DataFrame, str]) -> list[DataFrame]:
+    """The sides dealt by their key over as many tasks as `rows` asks for, so that a task's rows do not grow with the input.
+
+    Adaptive execution merges partitions by their compressed bytes, and a few bytes of keys and dates are many rows.
+    """
+    tasks = max(1, -(-rows // TASK_ROWS))
+    return [df.repartition(tasks, key) for df, key in sides]

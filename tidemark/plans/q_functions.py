@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.operators import vendor
+from tidemark.operators.common import dealt_by_rows
 
 from .base import BELT, PANEL, belt, panel, with_sql
 from .q_windows import busday_sql
@@ -174,7 +175,9 @@ def _(t):
     i="l_linenumber",
 )
 def _(t):
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # the count reads the files' footers; grouping by (l_orderkey, l_linenumber) needs no further exchange
+    lines, orders = dealt_by_rows(t.lineitem.count(), (t.lineitem, "l_orderkey"), (t.orders, "o_orderkey"))
+    j = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     days = S.busdays(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date"))
     return j.groupBy("l_orderkey", "l_linenumber").agg(F.sum(days).alias("days"))
 
