@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit as AU
 from tidemark.operators import windows as WN
+from tidemark.operators.common import dealt_by_rows
 
 from .base import BELT, ORDK, PANEL, belt, grid, panel, with_sql
 from .q_folds import WFRAME, frame
@@ -130,7 +131,8 @@ def _(t):
     product = F.when(F.col("l_returnflag") == "A", "610").when(F.col("l_returnflag") == "N", "814").otherwise("xxx")
     length = F.when(F.col("l_linenumber") < 6, F.when(F.col("l_returnflag") == "A", 4).otherwise(6)).otherwise(1)
     start = F.col("l_shipdate").cast("date")
-    x = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    lines, orders = dealt_by_rows(t.lineitem.count(), (t.lineitem, "l_orderkey"), (t.orders, "o_orderkey"))
+    x = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         product.alias("product"), F.col("o_orderdate").cast("date").alias("issued"), start.alias("start"), F.date_add(start, length).alias("end")
     )
     return AU.check_leads(x, "product", "issued", "start", "end", {"610": (6, 10), "814": (8, 14)})

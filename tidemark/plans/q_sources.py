@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.common import dealt_by_rows
 from tidemark.sources import parse as P
 from tidemark.sources.store import Store, read_results, write_results
 
@@ -529,7 +530,8 @@ def _(t):
         F.col("o_orderkey").alias("l_orderkey"), F.date_add(F.col("o_orderdate").cast("date"), 60).alias("available"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("lead"),
     )
-    rows = t.lineitem.join(o, "l_orderkey").withColumn("archived", F.col("l_shipdate").cast("date"))
+    lines, orders = dealt_by_rows(t.lineitem.count(), (t.lineitem, "l_orderkey"), (o, "l_orderkey"))
+    rows = lines.join(orders, "l_orderkey").withColumn("archived", F.col("l_shipdate").cast("date"))
     return P.filter_verified(rows, "archived", "available", "l_linenumber", "lead").groupBy("problem").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("l_quantity").cast("long")).alias("qty")
     )
