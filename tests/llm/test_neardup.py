@@ -74,3 +74,12 @@ def test_one_document_of_each_group_stays(odd):
     assert left.columns == odd.columns
     ids = sorted((r.doc_id for r in left.collect()), key=str)
     assert ids.count(6) == 1 and 7 not in ids and 1 in ids and 2 not in ids and 3 not in ids
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes 20 keys a value for one row, so the side of the pair join looks 20 times too small."""
+    edges, real = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda df: edges.append(df) or real(df))
+    neardup.link_values(spark.range(300).selectExpr("xxhash64(id) AS fp")).collect()
+    plan = edges[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

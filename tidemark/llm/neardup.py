@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, components, cut, packed, row_key, unpacked
+from .common import chunks, components, cut, packed, row_key, shuffled, unpacked
 
 LIMIT = 3
 FAMILIES = 6
@@ -117,7 +117,7 @@ def link_values(values: DataFrame) -> DataFrame:
     keyed = pivot_table(grouped).withColumn("key", F.explode(family_keys(F.col("fp"))))
     a, b = keyed.alias("a"), keyed.alias("b")
     same_key = (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.part") != F.col("b.part"))
-    pairs = a.join(b, same_key & within_pivots("a", "b") & near(F.col("a.fp"), F.col("b.fp")))
+    pairs = a.join(shuffled(b), same_key & within_pivots("a", "b") & near(F.col("a.fp"), F.col("b.fp")))
     second = components(pairs.select(F.col("a.part").alias("a"), F.col("b.part").alias("b")).distinct())
     joined = grouped.join(second.select(F.col("node").alias("part"), "component"), "part", "left")
     return joined.select("fp", F.coalesce("component", "part").alias("component"))
